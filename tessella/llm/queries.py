@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from .chat_format import OP5_SQL, op5
 from .exact_dedup import OP3_SQL, op3
+from .url_filter import op7
 
 QUERIES = {
     "op3_exact_dedup": op3,
+    "op5_chat_format": op5,
+    "op7_url_filter": op7,
 }
 
 ORACLES = {
     "op3_exact_dedup": OP3_SQL,
+    "op5_chat_format": OP5_SQL,
 }
