@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from .chat_format import OP5_SQL, op5
 from .exact_dedup import OP3_SQL, op3
+from .packing import op1
 from .sentence_pieces import op10
 from .token_counts import op9
+from .token_files import op6
 from .toxicity import op8
 from .url_filter import op7
 
 QUERIES = {
+    "op1_best_fit_packing": op1,
     "op3_exact_dedup": op3,
     "op5_chat_format": op5,
+    "op6_token_files": op6,
     "op7_url_filter": op7,
     "op8_toxicity": op8,
     "op9_token_counts": op9,
