@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP5_SQL, op5
 from .exact_dedup import OP3_SQL, op3
+from .ngram_join import op2
 from .packing import op1
 from .sentence_pieces import op10
 from .token_counts import op9
@@ -13,6 +14,7 @@ from .url_filter import op7
 
 QUERIES = {
     "op1_best_fit_packing": op1,
+    "op2_ngram_join": op2,
     "op3_exact_dedup": op3,
     "op5_chat_format": op5,
     "op6_token_files": op6,
