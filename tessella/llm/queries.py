@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP5_SQL, op5
+from .embedding_dedup import op4
 from .exact_dedup import OP3_SQL, op3
 from .ngram_join import op2
 from .packing import op1
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_best_fit_packing": op1,
     "op2_ngram_join": op2,
     "op3_exact_dedup": op3,
+    "op4_embedding_dedup": op4,
     "op5_chat_format": op5,
     "op6_token_files": op6,
     "op7_url_filter": op7,
