@@ -6,21 +6,21 @@ A document's set: the distinct shingles of ``WORDS`` words, as 64-bit hashes. Tw
 Under any order of all tokens, two linked sets share a token among the first n - ceil(0.75 n) + 1 of
 each (their prefixes). Rare and frequent tokens are indexed differently:
 
-1. Order by hash. A prefix token held by at most ``FEW`` nodes is rare: its nodes are paired. A pair's
-   common rare tokens are counted; with the frequent ones that both have, and all tokens behind the prefix,
-   they bound the overlap, and pairs that can't reach the threshold go. A linked pair not found here
-   shares a frequent prefix token, so both its nodes hold one ("crowded" nodes).
-2. Crowded nodes alone, now by their whole sets: order by the number of crowded nodes that hold a token, so the
-   prefix is extended past every frequent token until only rare ones fill it. A node whose rare tokens
-   don't fill it ends in a combination of frequent ones. Rare tokens are paired and bounded as above.
-3. Nodes that need frequent tokens (large groups of near copies, texts made of common passages) meet by
-   combination: all nodes of a frequent token are filed under its smallest node; each file's nodes are dealt
-   into blocks of ``BLOCK``, and each pair of blocks compares its whole sets in one product of incidence
-   matrices. It returns a spanning forest of its links, so output stays linear.
-4. Pairs of 1 and 2 are verified on whole sets; components are computed distributedly.
-
-Frequent tokens are first split off by a frequent-items sketch of bounded size and never shuffled by
-token; any choice of frequent tokens gives the same result. Null or empty texts have no
+1. A first pass counts how many nodes hold each token of the smallest hashes (half as many again as a prefix).
+   Tokens of more than ``FEW`` nodes are frequent; of these the ``FREQUENT`` most frequent at most are handed to all
+   tasks. Which tokens are called frequent changes the cost only, never the result.
+2. Order: the other tokens by hash, then the frequent ones, rarest first. So a prefix is extended past every
+   frequent token, and almost every node's is filled by rare tokens, which are indexed singly. Nodes that share one
+   are paired; the number of tokens that two prefixes share, and all tokens behind them, bound the overlap, and pairs that
+   can't reach the threshold go.
+3. A node whose rare tokens don't fill its prefix (a member of a large group of near copies, a text made of common
+   passages) goes on with a combination of frequent ones. All nodes of a frequent token are filed under its smallest
+   node; each file's nodes are dealt into blocks of about ``BLOCK`` nodes or ``TOKENS`` tokens, and each pair of blocks
+   compares its whole sets in one product of incidence matrices. It returns a spanning forest of its links, so output
+   stays linear.
+4. Pairs of 2 are verified on whole sets; components are computed distributedly.
+
+Null or empty texts have no
 shingles and link with nothing. Rows that share an id are one document of the join (they link); rows
 with a null id link with nothing and have a null component. An empty table gives no rows; extra columns are ignored.
 """
@@ -31,14 +31,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, only_ids, without_ids, written
+from .common import only_ids, without_ids, written
 from .components import components
-from .words import mix, slices, word_hashes
+from .words import mix, slices, trim, word_hashes
 
-WORDS, FEW, BLOCK, HEAVY = 5, 16, 256, 2048
+WORDS, FEW, BLOCK, TOKENS, FREQUENT = 5, 16, 256, 200_000, 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,32 +75,107 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)), pa.array(values))
 
 
-def _prefixes(batches):
+def prefix_size(n):
+    return n - -(-3 * n // 4) + 1
+
+
+def _first(batches):
+    """The tokens of the smallest hashes, half as many again as a prefix, and a digest of the whole set."""
     for b in batches:
-        texts = b.column(1).to_pylist()
-        for i, j in slices(texts):
-            sets = shingle_sets(texts[i:j])
+        for i, j, texts in slices(b.column(1)):
+            sets = shingle_sets(texts)
             sizes = [len(s) for s in sets]
-            cut = [s[: n - -(-3 * n // 4) + 1] for s, n in zip(sets, sizes, strict=True)]
+            cut = [s[: prefix_size(n) * 3 // 2 + 4] for s, n in zip(sets, sizes, strict=True)]
             marks = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes, pa.int32()), marks, _lists(cut)], names=["doc_id", "n", "mark", "tokens"])
+    trim()
+
+
+class Frequent:
+    """Frequent tokens in order, with the number of nodes that hold each."""
+
+    def __init__(self, tokens: np.ndarray, df: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens, self.df = tokens[order], df[order]
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        """df of each value, 0 where it isn't frequent."""
+        if not len(self.tokens):
+            return np.zeros(len(values), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, values), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == values, self.df[at], 0)
+
+
+def _filled(frequent, wanted: bool):
+    """From (node, n, first tokens): prefixes that rare tokens fill (wanted), or the nodes without one."""
+
+    def run(batches):
+        known = frequent.value
+        for b in batches:
+            lists = b.column(2)
+            values = lists.flatten().to_numpy().view(np.uint64)
+            size = pc.list_value_length(lists).to_numpy()
+            n = b.column(1).to_numpy().astype(np.int64)
+            need_ = prefix_size(n)
+            rare = known.of(values) == 0
+            row = np.repeat(np.arange(len(n)), size)
+            rank = np.cumsum(rare) - rare  # rare tokens before this one, over all rows
+            begin = np.cumsum(size) - size
+            before = np.concatenate([rank, [rare.sum()]])[begin]
+            own = np.bincount(row[rare], minlength=len(n))
+            full = (own >= need_) | (size == n) & (own == n)
+            if wanted:
+                take = rare & full[row] & (rank - before[row] < need_[row])
+                count = np.bincount(row[take], minlength=len(n))[full]
+                out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(values[take].view(np.int64)))
+                keep = pa.array(full)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), out], names=["node", "n", "tokens"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(~full))], names=["node"])
+        trim()
+
+    return run
+
+
+def _extended(frequent):
+    """From (node, text): a row for each prefix token, with its df if it is frequent, else 0."""
+
+    def run(batches):
+        known = frequent.value
+        for b in batches:
+            for i, j, texts in slices(b.column(1)):
+                sets = shingle_sets(texts)
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for node, s in zip(b.column(0).slice(i, j - i).to_pylist(), sets, strict=True):
+                    df = known.of(s)
+                    first = np.lexsort((s, df))[: prefix_size(len(s))]
+                    for column, v in zip(out, (s[first].view(np.int64), np.full(len(first), node), np.full(len(first), len(s)), df[first]), strict=True):
+                        column.append(v)
+                arrays = [np.concatenate([*c, np.zeros(0, dtype=np.int64)]).astype(np.int64) for c in out]
+                yield pa.RecordBatch.from_arrays([pa.array(arrays[0]), pa.array(arrays[1]), pa.array(arrays[2].astype(np.int32)), pa.array(arrays[3])], names=["token", "node", "n", "df"])
+        trim()
+
+    return run
 
 
 def _whole(batches):
     for b in batches:
-        texts = b.column(1).to_pylist()
-        for i, j in slices(texts):
-            sets = shingle_sets(texts[i:j])
+        for i, j, texts in slices(b.column(1)):
+            sets = shingle_sets(texts)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), _lists(sets)], names=["node", "n", "tokens"])
+    trim()
+
+
+def frequent_tokens(nodes: DataFrame, most: int = FREQUENT) -> Frequent:
+    """At most ``most`` tokens (8 MB) that more than FEW nodes hold."""
+    counts = nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > FEW)
+    top = counts.orderBy(F.desc("df"), "token").limit(most).toPandas()
+    return Frequent(top["token"].to_numpy(dtype=np.int64).view(np.uint64), top["df"].to_numpy(dtype=np.int64))
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """rows (token, node, n) whose token at least two nodes hold, with df, the number of its nodes (of the sketch's for the heaviest)."""
-    heavy = rows.agg(F.expr(f"approx_top_k(token, {HEAVY}, 16384)").alias("t")).select(F.explode("t").alias("t"))
-    heavy = written(heavy.where(F.col("t.count") >= 32 * FEW).select(F.col("t.item").alias("token"), F.col("t.count").cast("long").alias("h")), "heavy")
-    marked = rows.join(F.broadcast(heavy), "token", "left")
-    light = marked.where("h IS NULL").select("token", "node", "n", F.count(F.lit(1)).over(Window.partitionBy("token")).alias("df")).where("df > 1")
-    return light.unionAll(marked.where("h IS NOT NULL").select("token", "node", "n", F.col("h").alias("df")))
+    """rows (token, node, n) of rare tokens that at least two nodes hold, with df, the number of its nodes."""
+    return rows.select("token", "node", "n", F.count(F.lit(1)).over(Window.partitionBy("token")).alias("df")).where("df > 1")
 
 
 def rare_pairs(prefix: DataFrame) -> DataFrame:
@@ -118,7 +194,7 @@ def rare_pairs(prefix: DataFrame) -> DataFrame:
 
 def _verified(batches):
     for b in batches:
-        keep = []
+        keep: list[bool] = []
         for x, y in zip(b.column(2), b.column(3), strict=True):
             x, y = x.values.to_numpy(), y.values.to_numpy()
             keep.append(7 * len(np.intersect1d(x, y, assume_unique=True)) >= 3 * (len(x) + len(y)))
@@ -156,15 +232,21 @@ def _compared(t: pa.Table) -> pa.Table:
     node, first = np.unique(t.column("node").to_numpy(), return_index=True)
     tokens = t.column("tokens").combine_chunks()
     u, v = forest(node, [tokens[int(i)].values.to_numpy() for i in first])
+    trim()
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def crowded_links(prefix: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among nodes that share a frequent prefix token: a spanning forest of each pair of blocks."""
+def filed_nodes(prefix: DataFrame) -> DataFrame:
+    """(file, node, n): all nodes of each frequent prefix token, filed under its smallest node."""
     rows = prefix.where(F.col("df") > FEW)
-    leader = rows.groupBy("token").agg(F.min("node").alias("file"))
-    filed = written(rows.join(leader, "token").select("file", "node").distinct(), "files")
-    sizes = filed.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("g")).where("g > 1")
+    leader = rows.groupBy("token").agg(F.min("node").alias("file"), F.count(F.lit(1)).alias("g")).where("g > 1").drop("g")
+    return written(rows.join(leader, "token").select("file", "node", "n").distinct(), "files")
+
+
+def crowded_links(filed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the nodes of each file: a spanning forest of each pair of blocks."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / TOKENS)).cast("int")
+    sizes = filed.groupBy("file").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("g")).where("g > 1")
     dealt = filed.join(sizes, "file").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.select("file", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("file", "node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).distinct()
@@ -174,30 +256,28 @@ def crowded_links(prefix: DataFrame, sets: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = written(texts.mapInArrow(_prefixes, "doc_id bigint, n int, mark binary, tokens array<bigint>"), "prefixes")
+    first = written(texts.mapInArrow(_first, "doc_id bigint, n int, mark binary, tokens array<bigint>"), "first")
     known = first.where("n > 0 AND doc_id IS NOT NULL")
     reps = known.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     members = written(known.select("doc_id", "n", "mark").join(reps.where("copies > 1"), "mark", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "members")
     copies = members.where("doc_id <> node").select("doc_id").distinct()
     nodes = without_ids(known, copies, "doc_id", copies.count()).select(F.col("doc_id").alias("node"), "n", "tokens")
 
-    index = written(shared(nodes.select("node", "n", F.explode("tokens").alias("token"))), "index")
-    crowded = written(index.where(F.col("df") > FEW).select("node").distinct(), "crowded")
-    pairs = written(rare_pairs(index), "pairs")
-
-    wanted = written(crowded.unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct(), "wanted")
-    own = only_ids(texts.withColumnRenamed("doc_id", "node"), wanted, "node", wanted.count())
-    sets = written(own.mapInArrow(_whole, "node bigint, n int, tokens array<bigint>").where("n > 0"), "sets")
-
-    tokens = sets.join(crowded if crowded.count() > BROADCAST_IDS else F.broadcast(crowded), "node", "left_semi").select("node", "n", F.explode("tokens").alias("token"))
-    dense = written(shared(tokens), "dense")
-    by_node = Window.partitionBy("node")
-    ranked = dense.withColumns({"m": F.count(F.lit(1)).over(by_node), "r": F.row_number().over(by_node.orderBy("df", "token"))})
-    prefix = written(ranked.where(F.col("r") <= need(F.col("n")) - (F.col("n") - F.col("m"))).select("token", "node", "n", "df"), "prefix")
-    pairs = pairs.unionAll(rare_pairs(prefix)).distinct()
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(nodes))
+    named = texts.withColumnRenamed("doc_id", "node")
+    short = written(nodes.mapInArrow(_filled(frequent, False), "node bigint").distinct(), "short")
+    more = written(only_ids(named, short, "node", short.count()).mapInArrow(_extended(frequent), "token bigint, node bigint, n int, df bigint"), "extended")
+    rare = nodes.mapInArrow(_filled(frequent, True), "node bigint, n int, tokens array<bigint>").select(F.explode("tokens").alias("token"), "node", "n")
+    prefix = shared(rare.unionAll(more.where("df = 0").select("token", "node", "n")))
+    prefix = written(prefix.unionAll(more.where("df > 0").select("token", "node", "n", "df")), "prefix")
+    pairs = written(rare_pairs(prefix), "pairs")
+    filed = filed_nodes(prefix)
+
+    wanted = written(filed.select("node").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct(), "wanted")
+    sets = written(only_ids(named, wanted, "node", wanted.count()).mapInArrow(_whole, "node bigint, n int, tokens array<bigint>").where("n > 0"), "sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified, "u bigint, v bigint")
-    found = components(links.unionAll(crowded_links(prefix, sets)))
+    found = components(links.unionAll(crowded_links(filed, sets)))
 
     placed = members.join(found, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component_id"))
     alone = first.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))

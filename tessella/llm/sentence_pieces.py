@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pieces import MARK, codes, load, words_of
-from .words import slices
+from .words import BLOCK, slices
 
 CACHE, LONG = 600_000, 64
 
@@ -145,9 +145,8 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         c = codec(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in slices(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(c.encode(texts[i:j]), pa.binary())], names=["doc_id", "ids"])
+            for i, j, texts in slices(b.column(1), 4 * BLOCK):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(c.encode(texts), pa.binary())], names=["doc_id", "ids"])
 
     return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(run, "doc_id bigint, ids binary")
 
@@ -169,13 +168,13 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = codec(path)
         for b in batches:
-            doc, texts = b.column(0), b.column(1).to_pylist()
-            for i, j in slices(texts):
-                ids = c.encode(texts[i:j])
+            doc = b.column(0)
+            for i, j, texts in slices(b.column(1), 4 * BLOCK):
+                ids = c.encode(texts)
                 back = [c.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([
                     doc.slice(i, j - i), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()), pa.array([t == (x or "") for t, x in zip(back, texts[i:j], strict=True)], pa.bool_()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()), pa.array([t == (x or "") for t, x in zip(back, texts, strict=True)], pa.bool_()),
                 ], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, lossless boolean")

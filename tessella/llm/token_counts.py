@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pieces import codes, load, words_of
-from .words import slices
+from .words import BLOCK, slices
 
 CACHE, LONG = 1_000_000, 64
 
@@ -111,9 +111,9 @@ def counted(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         c = _counters.setdefault(path, Counter(path))
         for b in batches:
-            doc, texts = b.column(0), b.column(1).to_pylist()
-            for i, j in slices(texts):
-                n, words = c.count(texts[i:j])
+            doc = b.column(0)
+            for i, j, texts in slices(b.column(1), 4 * BLOCK):
+                n, words = c.count(texts)
                 yield pa.RecordBatch.from_arrays([doc.slice(i, j - i), pa.array(n, pa.int64()), pa.array(words, pa.int64())], names=["doc_id", "n_tokens", "n_pretokens"])
 
     return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(run, "doc_id bigint, n_tokens bigint, n_pretokens bigint")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, written
 from .tokenize import encoder
-from .words import slices
+from .words import slices, trim
 
 END, BUFFER = 1, 1 << 22
 
@@ -76,10 +76,10 @@ def write_shards(docs: DataFrame, path: str, folder: str, end: int = END, id_col
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
         enc, tail, at, tokens, offsets, out = encoder(path), np.array([end], dtype="<u4").tobytes(), 0, 0, [], None
         for b in batches:
-            ids_of, texts = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for i, j in slices(texts, 4_000_000):
+            ids_of = b.column(0).to_pylist()
+            for i, j, texts in slices(b.column(2)):
                 out = out or system.open_output_stream(f"{root}/{name}.rec", buffer_size=BUFFER)
-                for d, ids in zip(ids_of[i:j], enc.encode(texts[i:j]), strict=True):
+                for d, ids in zip(ids_of[i:j], enc.encode(texts), strict=True):
                     raw = record(d, np.frombuffer(ids + tail, dtype="<u4"))
                     out.write(raw)
                     offsets.append(at)
@@ -88,6 +88,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end: int = END, id_col
         if out is None:
             return
         out.close()
+        trim()
         with system.open_output_stream(f"{root}/{name}.idx") as f:
             f.write(np.array([*offsets, at], dtype="<u8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([len(offsets)], pa.int64()), pa.array([tokens], pa.int64())], names=["shard", "file", "records", "tokens"])

@@ -104,10 +104,10 @@ class Model:
             return np.full(len(begin) - 1, float(self.c[0]))
         return self.pooled(self.slots(h), begin) @ self.v + self.c[0]
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: pa.Array | list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts))
-        for i, j in slices(texts, 2_000_000):
-            h, begin = word_hashes(texts[i:j], PUNCTUATION)
+        for i, j, some in slices(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())):
+            h, begin = word_hashes(some, PUNCTUATION)
             margin = self.logits(h, begin).astype(np.float64) - self.cut[self.language(h, begin)]
             out[i:j] = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
         return out
@@ -228,7 +228,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str
 
     def score(batches):
         for b in batches:
-            s = shared.value.scores(b.column("__text").to_pylist())
+            s = shared.value.scores(b.column("__text"))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "toxicity"])
 
     schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[:-1])] + ["toxicity double"])

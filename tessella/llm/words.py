@@ -9,9 +9,13 @@ Null counts as empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 21
 _rng = np.random.default_rng(20240607)
@@ -92,13 +96,19 @@ def word_hashes(texts: list[str | None], separators: np.ndarray = SPACE) -> tupl
     return np.concatenate([*found, np.zeros(0, dtype=np.uint64)]), np.concatenate([*begins, [so_far]]).astype(np.int64)
 
 
-def slices(texts: list, size: int = 4 * BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about ``size`` characters each."""
-    begin, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t or "") + 1
-        if total >= size:
-            yield begin, i + 1
-            begin, total = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def slices(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(begin, end, texts) of a column's ranges with about ``size`` bytes each; only one range is in Python's hands at a time."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    begin = 0
+    while begin < len(column):
+        before = int(total[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + size, side="right")))
+        yield begin, end, column.slice(begin, end - begin).to_pylist()
+        begin = end
+
+
+def trim() -> None:
+    """Gives freed memory back, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
