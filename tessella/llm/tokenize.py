@@ -3,25 +3,48 @@
 A text is cut in front of every space that follows a character which is not
 white space. Both vocabularies in use start a new pre-token there whatever
 stands on either side, so the ids of the pieces, strung together, are the ids
-of the text. Frequent pieces are looked up; new ones go to the library together.
-A text with a space after other white space goes to the library as it is.
+of the text. Words seen before are looked up. A new word of Latin letters alone is one
+pre-token and goes straight to the library's merge model in the vocabulary's byte alphabet; a closing
+mark or a line break behind such a word starts the next pre-token; anything else, and a text
+with a space after other white space, goes to the library as it is.
 
 Null counts as the empty text. Special-token strings inside texts are ordinary
-text. The cache holds at most ``cache_size`` pieces of up to ``MAX_PIECE``
-characters, then starts anew, so memory is bounded however long the input.
+text. The caches hold at most ``cache_size`` words of up to ``MAX_PIECE``
+characters, then start anew, so memory is bounded however long the input.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 MAX_PIECE = 64
 _ODD_SPACE = re.compile(r"\s ")
-_BATCH = 2000
-_SEPARATOR = "\x01"
+_CLOSING = ".,;:!?"
+
+
+def _byte_alphabet() -> list[str]:
+    """The printable character of each byte in byte-level vocabularies: itself, or the next one from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
+class _Words(dict):
+    """Words to their ids; a missing one is made on the way."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.make(word)
+        if len(word) <= MAX_PIECE:
+            self[word] = ids
+        return ids
 
 
 class CachedEncoder:
@@ -31,59 +54,54 @@ class CachedEncoder:
 
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
-        self._ids: dict[str, bytes] = {}
+        self._merge = self._library.model.tokenize
+        self._letters = _byte_alphabet()
         self._cache_size = cache_size
-        # Which token begins with a space, if the vocabulary keeps spaces; else pieces are set apart by a control character.
-        vocab = self._library.get_vocab()
-        self._begins = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self._begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-        self._keeps_space = bool(self._begins[np.frombuffer(self._raw(" a"), dtype="<u4")[0]])
-        self._mark = np.frombuffer(self._raw(_SEPARATOR), dtype="<u4")
+        space = self._letters[0x20]
+        self._keeps_space = self._library.encode(" a", add_special_tokens=False).tokens[0].startswith(space)
+        self._spaced = _Words(lambda w: self._word(w, " ", self._spaced))
+        self._bare = _Words(lambda w: self._word(w, "", self._bare)) if self._keeps_space else self._spaced
+        self._lead = {" ": space if self._keeps_space else "", "": ""}
+        self._closing = {c: self._raw(c) for c in _CLOSING}
+        self._line = self._raw("\n")
 
     def _raw(self, text: str) -> bytes:
         return np.asarray(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if text else b""
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces that stand after a space; they are kept without it."""
-        ids = self._ids
-        for i in range(0, len(pieces), _BATCH):
-            part = pieces[i : i + _BATCH]
-            joined = " " + (" " if self._keeps_space else f" {_SEPARATOR} ").join(part)
-            flat = np.asarray(self._library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-            if self._keeps_space:
-                begin, gap = np.flatnonzero(self._begins[flat]), 0
-                end = np.append(begin[1:], len(flat))
-            else:
-                end, gap = np.flatnonzero(flat == self._mark[0]), 1
-                begin, end = np.append(0, end + gap), np.append(end, len(flat))
-            raw = flat.tobytes()
-            if len(begin) != len(part):
-                raise AssertionError("a piece was cut in an unexpected place")
-            for p, x, y in zip(part, (begin * 4).tolist(), (end * 4).tolist(), strict=True):
-                ids[p] = raw[x:y]
+    @staticmethod
+    def _latin(word: str) -> bool:
+        return word.isalpha() and (word.isascii() or max(word) < "ɐ" and "İ" not in word)
+
+    def _word(self, word: str, space: str, own: _Words) -> bytes:
+        if self._latin(word):
+            if not self._keeps_space:
+                word = word.lower()
+            if not word.isascii():
+                word = "".join([self._letters[b] for b in word.encode()])
+            return array("I", [t.id for t in self._merge(self._lead[space] + word)]).tobytes()
+        if word[-1:] in self._closing and self._latin(word[:-1]):
+            return own[word[:-1]] + self._closing[word[-1]]
+        before, line, after = word.partition("\n")
+        if line and before and after and not before[-1].isspace() and not after[0].isspace():
+            return own[before] + self._line + self._bare[after]
+        return self._raw(space + word)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        ids, cut, new = self._ids, [], set()
-        if len(ids) > self._cache_size:
-            ids.clear()
+        if len(self._spaced) + len(self._bare) * self._keeps_space > self._cache_size:
+            self._spaced.clear()
+            self._bare.clear()
+        spaced, bare, out = self._spaced.__getitem__, self._bare, []
         for text in texts:
             if not text or _ODD_SPACE.search(text):
-                cut.append(None)
+                out.append(self._raw(text or ""))
                 continue
             words = text.split(" ")
-            cut.append(words)
-            new.update(words[1:])
-        new.difference_update(ids)
-        alone = {w: self._raw(" " + w) for w in new if len(w) > MAX_PIECE or not w or _SEPARATOR in w}
-        self._learn([w for w in new if w not in alone])
-        get = ids.__getitem__ if not alone else lambda w: alone[w] if w in alone else ids[w]
-        out = []
-        for text, words in zip(texts, cut, strict=True):
-            if words is None:
-                out.append(self._raw(text) if text else b"")
-            else:
-                out.append(self._raw(words[0]) + b"".join(map(get, words[1:])))
+            first = words[0]
+            words[0] = ""
+            ids = map(spaced, words)
+            next(ids)
+            out.append((bare[first] if first else b"") + b"".join(ids))
         return out
 
 
