@@ -6,7 +6,7 @@ A document's set: the distinct shingles of ``WORDS`` words, as 64-bit hashes. Tw
 Under any order of all tokens, two linked sets share a token among the first n - ceil(0.75 n) + 1 of
 each (their prefixes). Rare and frequent tokens are indexed differently:
 
-1. A first pass counts how many nodes hold each token of the smallest hashes (half as many again as a prefix).
+1. A first pass counts how many nodes hold each token of the smallest hashes (a quarter more than a prefix).
    Tokens of more than ``FEW`` nodes are frequent; of these the ``FREQUENT`` most frequent at most are handed to all
    tasks. Which tokens are called frequent changes the cost only, never the result.
 2. Order: the other tokens by hash, then the frequent ones, rarest first. So a prefix is extended past every
@@ -80,12 +80,12 @@ def prefix_size(n):
 
 
 def _first(batches):
-    """The tokens of the smallest hashes, half as many again as a prefix, and a digest of the whole set."""
+    """The tokens of the smallest hashes, a quarter more than a prefix, and a digest of the whole set."""
     for b in batches:
         for i, j, texts in slices(b.column(1)):
             sets = shingle_sets(texts)
             sizes = [len(s) for s in sets]
-            cut = [s[: prefix_size(n) * 3 // 2 + 4] for s, n in zip(sets, sizes, strict=True)]
+            cut = [s[: prefix_size(n) * 5 // 4 + 4] for s, n in zip(sets, sizes, strict=True)]
             marks = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes, pa.int32()), marks, _lists(cut)], names=["doc_id", "n", "mark", "tokens"])
     trim()
