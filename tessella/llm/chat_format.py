@@ -25,9 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RECORD = T.StructType.fromDDL(
-    "messages array<struct<role string, content string>>, conversations array<struct<`from` string, value string>>, "
-    "prompt string, completion string, response string, instruction string, input string, output string, system string, role string, text string"
+def _fields(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+RECORD = T.StructType(
+    [T.StructField("messages", T.ArrayType(_fields("role", "content"))), T.StructField("conversations", T.ArrayType(_fields("from", "value")))]
+    + _fields("prompt", "completion", "response", "instruction", "input", "output", "system", "role", "text").fields
 )
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
