@@ -33,7 +33,7 @@ def main_content(html: Column) -> Column:
     """The first main element, else article, else div of a content or main class, else all of it."""
     kept = without_unwanted(html)
     found = [F.regexp_extract(kept, p, 1) for p in (r"(?is)<main\b[^>]*>(.*?)</main>", r"(?is)<article\b[^>]*>(.*?)</article>", r"""(?is)<div\b[^>]*class=["'][^"']*(?:content|main)[^"']*["'][^>]*>(.*?)</div>""")]
-    return F.coalesce(*[F.when(f != "", f) for f in found], kept)
+    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found], kept)
 
 
 def page_text(html: Column) -> Column:
@@ -44,7 +44,7 @@ def meta(html: Column, name: str, attribute: str = "name") -> Column:
     """Content of a meta element, null if there is none."""
     a = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*{attribute}=["']{name}["'][^>]*content=["']([^"']*)["']""", 1)
     b = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*content=["']([^"']*)["'][^>]*{attribute}=["']{name}["']""", 1)
-    return F.coalesce(F.when(a != "", a), F.when(b != "", b))
+    return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
 
 
 def title(html: Column, url: Column) -> Column:
@@ -52,7 +52,7 @@ def title(html: Column, url: Column) -> Column:
     t = plain(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1))
     h = plain(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
     last = F.substring_index(url, "/", -1)
-    return F.trim(F.coalesce(F.when(t != "", t), F.when(h != "", h), meta(html, "og:title", "property"), F.when(last != "", last), F.lit("Untitled")))
+    return F.trim(F.coalesce(F.nullif(t, F.lit("")), F.nullif(h, F.lit("")), meta(html, "og:title", "property"), F.nullif(last, F.lit("")), F.lit("Untitled")))
 
 
 def headings(html: Column, limit: int = 10) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
-from ..functions.text import contains_any, count_of, words
+from ..functions.text import contains_any, words
 
 #: Terms of research texts; weights of relevance; page types in order of precedence.
 RESEARCH_TERMS = ("research", "publication", "paper", "study", "analysis", "journal", "conference", "proceedings", "phd", "thesis", "professor")
@@ -28,9 +28,9 @@ def valid(url: Column, title: Column, raw: Column) -> Column:
     return ok(url) & ok(title) & ok(raw)
 
 
-def quality_reason(text: Column, status: Column) -> Column:
-    """Why a page is dropped (short, repetitive, redirect), null if it stays."""
-    w = words(text)
+def quality_reason(text: Column, status: Column, split: Column | None = None) -> Column:
+    """Why a page is dropped (short, repetitive, redirect), null if it stays. ``split``: the text's words, if they are at hand."""
+    w = words(text) if split is None else split
     repeated = 1 - F.size(F.array_distinct(w)) / F.size(w)
     return F.when(F.size(w) < 50, "short").when(repeated > 0.7, "repetitive").when(F.coalesce(status, F.lit(200)).isin(*REDIRECTS), "redirect")
 
@@ -41,9 +41,9 @@ def filter_statistics(pages: DataFrame, reason: str = "reason") -> DataFrame:
     return pages.agg(n.alias("total"), dropped.alias("dropped"), F.when(n > 0, 100.0 * dropped / n).otherwise(0.0).alias("dropped_percent"))
 
 
-def text_quality(text: Column) -> Column:
+def text_quality(text: Column, split: Column | None = None) -> Column:
     """From 0 (empty) over 0.5 to 1 by length, research terms and diversity."""
-    w = words(text)
+    w = words(text) if split is None else split
     n, low = F.size(w), F.lower(text)
     terms = sum((F.contains(low, F.lit(t)).cast("int") for t in RESEARCH_TERMS), F.lit(0))
     score = 0.5 + F.when(n >= 200, 0.2).when(n >= 100, 0.1).otherwise(0.0) + F.when(terms >= 3, 0.2).when(terms >= 1, 0.1).otherwise(0.0) + F.when(F.size(F.array_distinct(w)) / n > 0.5, 0.1).otherwise(0.0)
@@ -67,11 +67,15 @@ def chunk_hints(kind: Column, heading_count: Column) -> Column:
 
 def relevance(raw: Column) -> Column:
     """Weighted keyword counts (five at most each) of the raw page, against twice the weights of those present."""
-    low = F.lower(raw)
-    counts = [(F.least(count_of(low, k), F.lit(5)), w) for k, w in RELEVANCE]
-    top = sum((c * w for c, w in counts), F.lit(0.0))
-    present = sum((F.when(c > 0, w).otherwise(0.0) for c, w in counts), F.lit(0.0))
-    return F.when(present > 0, F.least(F.lit(1.0), top / (2 * present))).otherwise(0.0)
+    terms = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in RELEVANCE])
+    times = lambda low, k: F.least((F.length(low) - F.length(F.replace(low, k, F.lit("")))) / F.length(k), F.lit(5.0))
+    start = F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("present"))
+
+    def step(acc: Column, t: Column) -> Column:
+        n = F.floor(times(F.lower(raw), t["k"]))
+        return F.struct((acc["top"] + n * t["w"]).alias("top"), (acc["present"] + F.when(n > 0, t["w"]).otherwise(0.0)).alias("present"))
+
+    return F.aggregate(terms, start, step, lambda a: F.when(a["present"] > 0, F.least(F.lit(1.0), a["top"] / (2 * a["present"]))).otherwise(0.0))
 
 
 def process(raw: DataFrame, url: str = "url", body: str = "html", status: str | None = None) -> DataFrame:
@@ -79,10 +83,11 @@ def process(raw: DataFrame, url: str = "url", body: str = "html", status: str |
     u, h = F.col(url), F.col(body)
     code = F.col(status) if status else F.lit(200)
     out = raw.select("*", html.title(h, u).alias("title"), urls.part(u, "host").alias("domain"), html.page_text(h).alias("cleaned_text"), html.metadata(h).alias("metadata"), code.alias("response_status"))
-    out = out.withColumns({
-        "word_count": F.size(words(F.col("cleaned_text"))), "page_type": page_type(u, F.col("cleaned_text")), "text_quality_score": text_quality(F.col("cleaned_text")),
-        "relevance_score": relevance(h), "content_length": F.octet_length(h), "page_id": urls.page_id(u, F.col("domain")), "drop_reason": quality_reason(F.col("cleaned_text"), F.col("response_status")),
-    })
+    text = F.col("cleaned_text")
+    out = out.withColumn("__w", words(text)).withColumns({
+        "word_count": F.size("__w"), "page_type": page_type(u, text), "text_quality_score": text_quality(text, F.col("__w")),
+        "relevance_score": relevance(h), "content_length": F.octet_length(h), "page_id": urls.page_id(u, F.col("domain")), "drop_reason": quality_reason(text, F.col("response_status"), F.col("__w")),
+    }).drop("__w")
     return out.withColumn("chunking_hints", chunk_hints(F.col("page_type"), F.size("metadata.headings")))
 
 
