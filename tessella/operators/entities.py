@@ -38,6 +38,11 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _all_where(text: Column, pattern: str, *needles: str) -> Column:
+    """As _all, but only texts that hold a literal without which the pattern can't match are searched."""
+    return F.when(contains_any(text, needles), _all(text, pattern)).otherwise(F.array().cast("array<string>"))
+
+
 def _titled(found: Column, longer_than: int = 3, without=()) -> Column:
     kept = F.filter(F.transform(found, F.trim), lambda x: (F.length(x) > longer_than) & ~x.isin(*(without or ("",))))
     return F.array_sort(F.array_distinct(F.transform(kept, title_case)))
@@ -45,18 +50,18 @@ def _titled(found: Column, longer_than: int = 3, without=()) -> Column:
 
 def labs(text: Column) -> Column:
     low = F.lower(text)
-    return _titled(F.concat(*[_all(low, p) for p in LAB_PATTERNS]), without=NOT_LABS)
+    return _titled(F.concat(*[_all_where(low, p, "lab" if "group" not in p else "research") for p in LAB_PATTERNS]), without=NOT_LABS)
 
 
 def topics(text: Column, gazetteer=TOPICS) -> Column:
     low = F.lower(text)
     listed = _all(low, "(" + "|".join(t.replace(" ", r"\s+") for t in gazetteer) + ")")
-    return _titled(F.concat(*[_all(low, p) for p in TOPIC_PATTERNS], listed))
+    return _titled(F.concat(*[_all_where(low, p, *needles) for p, needles in zip(TOPIC_PATTERNS, (("research",), ("stud", "work")), strict=True)], listed))
 
 
 def organizations(text: Column, institutes: bool = False) -> Column:
     low = F.lower(text)
-    return _titled(F.concat(*[_all(low, p) for p in ORG_PATTERNS + ((INSTITUTE_PATTERN,) if institutes else ())]))
+    return _titled(F.concat(*[_all_where(low, p, p.split("\\")[0]) for p in ORG_PATTERNS + ((INSTITUTE_PATTERN,) if institutes else ())]))
 
 
 def url_persons(url: Column, without=NOT_NAMES) -> Column:
@@ -96,8 +101,10 @@ def page_entities(text: Column, url: Column, title: Column, longer_than: int = 2
 def mentions(pages: DataFrame, page_id: str = "page_id", entities: str = "entities") -> DataFrame:
     """page_id, entity_name, entity_type, count: a row for each distinct entity of a page."""
     kinds = (("persons", "Person"), ("labs", "Lab"), ("topics", "ResearchTopic"), ("organizations", "Organization"))
-    every = F.concat(*[F.transform(F.col(f"{entities}.{k}"), lambda n, t=t: F.struct(n.alias("n"), F.lit(t).alias("t"))) for k, t in kinds])
-    return pages.select(page_id, F.explode(every).alias("e")).select(page_id, F.col("e.n").alias("entity_name"), F.col("e.t").alias("entity_type"), F.lit(1).cast("long").alias("count"))
+    # A generator of the struct itself keeps the entities from being worked out once for each kind.
+    rows = pages.select(page_id, F.explode(F.array(entities)).alias("x"))
+    every = F.concat(*[F.transform(F.col(f"x.{k}"), lambda n, t=t: F.struct(n.alias("n"), F.lit(t).alias("t"))) for k, t in kinds])
+    return rows.select(page_id, F.explode(every).alias("e")).select(page_id, F.col("e.n").alias("entity_name"), F.col("e.t").alias("entity_type"), F.lit(1).cast("long").alias("count"))
 
 
 def term_mentions(docs: DataFrame, gazetteer: dict[str, str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:

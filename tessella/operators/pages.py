@@ -65,14 +65,18 @@ def chunk_hints(kind: Column, heading_count: Column) -> Column:
     return F.struct(size.alias("suggested_chunk_size"), F.lit(50).alias("overlap"), strategy.alias("strategy"), (heading_count > 0).alias("has_headings"), heading_count.alias("heading_count"))
 
 
-def relevance(raw: Column) -> Column:
-    """Weighted keyword counts (five at most each) of the raw page, against twice the weights of those present."""
+def relevance(raw: Column, lowered: Column | None = None) -> Column:
+    """Weighted keyword counts (five at most each) of the raw page, against twice the weights of those present.
+
+    ``lowered``: the page in lower case, if a column has it; else it is made anew for every keyword.
+    """
+    low = F.lower(raw) if lowered is None else lowered
     terms = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in RELEVANCE])
-    times = lambda low, k: F.least((F.length(low) - F.length(F.replace(low, k, F.lit("")))) / F.length(k), F.lit(5.0))
+    times = lambda k: F.least((F.length(low) - F.length(F.replace(low, k, F.lit("")))) / F.length(k), F.lit(5.0))
     start = F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("present"))
 
     def step(acc: Column, t: Column) -> Column:
-        n = F.floor(times(F.lower(raw), t["k"]))
+        n = F.floor(times(t["k"]))
         return F.struct((acc["top"] + n * t["w"]).alias("top"), (acc["present"] + F.when(n > 0, t["w"]).otherwise(0.0)).alias("present"))
 
     return F.aggregate(terms, start, step, lambda a: F.when(a["present"] > 0, F.least(F.lit(1.0), a["top"] / (2 * a["present"]))).otherwise(0.0))
@@ -82,12 +86,12 @@ def process(raw: DataFrame, url: str = "url", body: str = "html", status: str |
     """Raw pages to page rows: text, title, metadata, type, quality, ids and hints; one pass, no shuffle."""
     u, h = F.col(url), F.col(body)
     code = F.col(status) if status else F.lit(200)
-    out = raw.select("*", html.title(h, u).alias("title"), urls.part(u, "host").alias("domain"), html.page_text(h).alias("cleaned_text"), html.metadata(h).alias("metadata"), code.alias("response_status"))
+    out = raw.select("*", html.title(h, u).alias("title"), urls.part(u, "host").alias("domain"), html.page_text(h).alias("cleaned_text"), html.metadata(h).alias("metadata"), code.alias("response_status"), F.lower(h).alias("__low"))
     text = F.col("cleaned_text")
     out = out.withColumn("__w", words(text)).withColumns({
         "word_count": F.size("__w"), "page_type": page_type(u, text), "text_quality_score": text_quality(text, F.col("__w")),
-        "relevance_score": relevance(h), "content_length": F.octet_length(h), "page_id": urls.page_id(u, F.col("domain")), "drop_reason": quality_reason(text, F.col("response_status"), F.col("__w")),
-    }).drop("__w")
+        "relevance_score": relevance(h, F.col("__low")), "content_length": F.octet_length(h), "page_id": urls.page_id(u, F.col("domain")), "drop_reason": quality_reason(text, F.col("response_status"), F.col("__w")),
+    }).drop("__w", "__low")
     return out.withColumn("chunking_hints", chunk_hints(F.col("page_type"), F.size("metadata.headings")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
+from ..functions.partitions import spread
 from ..functions.profile import EXAMPLE, Profile
 from ..operators import adaptive, analyze, chat, context, entities, fuse, graph, pages, rerank, vector
 from . import sql as S
@@ -28,6 +29,11 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _wide(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """For work that is heavy on the CPU: a small table is dealt out to all cores."""
+    return spread(_t(spark, sf, name))
+
+
 # --- URLs and raw pages
 
 
@@ -89,13 +95,13 @@ def titles(spark, sf):
 
 @query("page_processing", S.PAGE_PROCESSING)
 def page_processing(spark, sf):
-    out = pages.process(_t(spark, sf, "pages").withColumnRenamed("page_id", "number"))
+    out = pages.process(_wide(spark, sf, "pages").withColumnRenamed("page_id", "number"))
     return out.select("number", "word_count", "page_type", F.round("text_quality_score", 6).alias("text_quality_score"), F.round("relevance_score", 6).alias("relevance_score"), "drop_reason", F.col("chunking_hints.suggested_chunk_size").alias("chunk_size"), F.col("chunking_hints.strategy").alias("strategy"), F.col("content_length").cast("long").alias("content_length"))
 
 
 @query("page_filter_statistics", S.FILTER_STATISTICS)
 def filter_statistics(spark, sf):
-    out = pages.process(_t(spark, sf, "pages").withColumnRenamed("page_id", "number"))
+    out = pages.process(_wide(spark, sf, "pages").withColumnRenamed("page_id", "number"))
     return pages.filter_statistics(out, "drop_reason").withColumn("dropped_percent", F.round("dropped_percent", 6))
 
 
@@ -118,23 +124,23 @@ def top_domains(spark, sf):
 
 @query("clean_text", S.CLEAN_TEXT)
 def clean_text(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.md5(text.clean_text(F.col("text"))).alias("md5"), F.length(text.clean_text(F.col("text"))).alias("n"))
+    return _wide(spark, sf, "documents").select("doc_id", F.md5(text.clean_text(F.col("text"))).alias("md5"), F.length(text.clean_text(F.col("text"))).alias("n"))
 
 
 @query("sentences", S.SENTENCES)
 def sentences(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n"), F.md5(F.array_join(text.sentences(F.col("text")), "|")).alias("md5"))
+    return _wide(spark, sf, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n"), F.md5(F.array_join(text.sentences(F.col("text")), "|")).alias("md5"))
 
 
 @query("text_stats", S.TEXT_STATS)
 def text_stats(spark, sf):
-    rows = _t(spark, sf, "documents").select("doc_id", text.text_stats(F.col("text")).alias("s"))
+    rows = _wide(spark, sf, "documents").select("doc_id", text.text_stats(F.col("text")).alias("s"))
     return rows.select("doc_id", "s.char_count", "s.word_count", "s.sentence_count", F.round("s.avg_word_length", 6).alias("avg_word_length"), F.round("s.avg_sentence_length", 6).alias("avg_sentence_length"))
 
 
 @query("chunks", S.CHUNKS)
 def chunks(spark, sf):
-    out = text.chunks(_t(spark, sf, "documents"), ["doc_id"])
+    out = text.chunks(_wide(spark, sf, "documents"), ["doc_id"])
     return out.select("doc_id", F.col("chunk_id").cast("int").alias("chunk_id"), "word_count", F.col("start_word").cast("int").alias("start_word"), F.col("end_word").cast("int").alias("end_word"), F.md5("text").alias("md5"))
 
 
@@ -153,7 +159,7 @@ def keyword_categories(spark, sf):
 
 @query("keywords_tfidf", S.TFIDF)
 def keywords_tfidf(spark, sf):
-    return entities.tfidf_keywords(_t(spark, sf, "documents").select("doc_id", "text"), 5).withColumn("rank", F.col("rank").cast("int"))
+    return entities.tfidf_keywords(_wide(spark, sf, "documents").select("doc_id", "text"), 5).withColumn("rank", F.col("rank").cast("int"))
 
 
 # --- Entities and graph: a gazetteer of frequent words of the data stands in for names
@@ -421,8 +427,9 @@ def hybrid_retrieval(spark, sf):
     """All four strategies to diversified hits, over processed pages with hashed embeddings."""
     from .retrieval import ingest, retrieve
 
-    made = ingest(_t(spark, sf, "pages").drop("page_id"))
-    corpus = made["chunks"].select(F.xxhash64("chunk_key").alias("doc_id"), F.col("url").alias("source"), "title", "page_type", "domain", "text", "embedding")
+    made = ingest(_wide(spark, sf, "pages").drop("page_id"))
+    corpus = made["chunks"].select(F.xxhash64("chunk_key").alias("doc_id"), F.col("url").alias("source"), "title", "page_type", "domain", "text", "embedding").persist()
+    made["mentions"] = made["mentions"].persist()
     known = made["mentions"].select("entity_name", "entity_type").distinct().withColumn("alias", F.lit(None).cast("string"))
     out = retrieve(_questions(spark, sf), corpus, made["mentions"], known, 20)
     return out.select("query_id", "source", F.round("final_score", 9).alias("final_score"), F.col("rank").cast("int").alias("rank"))

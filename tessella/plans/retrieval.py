@@ -61,13 +61,23 @@ def ask(queries: DataFrame, corpus: DataFrame, mentions: DataFrame | None = None
     return out.withColumn("prompt", made).withColumn("answer", generate(F.col("prompt")) if generate else context.extractive_answer(F.col("context"))).select("query_id", "query", "answer", "context", "sources")
 
 
-def ingest(raw: DataFrame, dim: int = 64, embedder=None) -> dict[str, DataFrame]:
-    """From raw pages: page rows, dropped pages, chunks with embeddings, mentions."""
-    every = pages.process(raw).withColumn("entities", entities.page_entities(F.col("cleaned_text"), F.col("url"), F.col("title")))
+def ingest(raw: DataFrame, dim: int = 64, embedder=None, path: str | None = None) -> dict[str, DataFrame]:
+    """From raw pages: page rows, dropped pages, chunks with embeddings, mentions.
+
+    Pages are processed once: written under ``path`` and read back, or kept by persist() where no path is given. Without
+    that border the optimizer would work out a page's text again in every expression that is made from it.
+    """
+    every = pages.process(raw)
+    if path:
+        every.write.mode("overwrite").parquet(f"{path}/pages")
+        every = raw.sparkSession.read.parquet(f"{path}/pages")
+    else:
+        every = every.persist()
     kept = every.where("drop_reason IS NULL")
     cut = chunks(kept, ["page_id", "url", "domain", "page_type", "title"], "cleaned_text")
     cut = embed(cut.withColumn("chunk_key", F.concat("page_id", F.lit("_"), F.col("chunk_id").cast("string"))), "text", embedder, dim)
-    return {"pages": kept, "dropped": every.where("drop_reason IS NOT NULL"), "chunks": cut, "mentions": entities.mentions(kept)}
+    named = kept.select("page_id", entities.page_entities(F.col("cleaned_text"), F.col("url"), F.col("title")).alias("entities"))
+    return {"pages": kept, "dropped": every.where("drop_reason IS NOT NULL"), "chunks": cut, "mentions": entities.mentions(named)}
 
 
 def ranked(df: DataFrame, score: Column, tie: str, k: int | None = None) -> DataFrame:
