@@ -57,7 +57,11 @@ def title(html: Column, url: Column) -> Column:
 
 def headings(html: Column, limit: int = 10) -> Column:
     """Structs (level, text) of h1, then h2, then h3, the first ten."""
-    parts = [F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<h{k}\b[^>]*>(.*?)</h{k}>"), F.lit(1)), lambda h, k=k: F.struct(F.lit(k).alias("level"), plain(h).alias("text"))) for k in (1, 2, 3)]
+    def level(k: int) -> Column:
+        found = F.regexp_extract_all(html, F.lit(rf"(?is)<h{k}\b[^>]*>(.*?)</h{k}>"), F.lit(1))
+        return F.transform(found, lambda h: F.struct(F.lit(k).alias("level"), plain(h).alias("text")))
+
+    parts = [level(k) for k in (1, 2, 3)]
     return F.slice(F.concat(*parts), 1, limit)
 
 

@@ -103,7 +103,8 @@ def mentions(pages: DataFrame, page_id: str = "page_id", entities: str = "entiti
     kinds = (("persons", "Person"), ("labs", "Lab"), ("topics", "ResearchTopic"), ("organizations", "Organization"))
     # A generator of the struct itself keeps the entities from being worked out once for each kind.
     rows = pages.select(page_id, F.explode(F.array(entities)).alias("x"))
-    every = F.concat(*[F.transform(F.col(f"x.{k}"), lambda n, t=t: F.struct(n.alias("n"), F.lit(t).alias("t"))) for k, t in kinds])
+    typed = lambda k, t: F.transform(F.col(f"x.{k}"), lambda n: F.struct(n.alias("n"), F.lit(t).alias("t")))
+    every = F.concat(*[typed(k, t) for k, t in kinds])
     return rows.select(page_id, F.explode(every).alias("e")).select(page_id, F.col("e.n").alias("entity_name"), F.col("e.t").alias("entity_type"), F.lit(1).cast("long").alias("count"))
 
 

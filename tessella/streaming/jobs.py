@@ -36,8 +36,11 @@ def windowed_counts(events: DataFrame, time: str, window: str, key: str, late: s
     return rows.groupBy(F.window("__t", window).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
 
 
-def conversation_history(messages: DataFrame, keep: int = 20, ttl_minutes: int = 120) -> DataFrame:
-    """The last ``keep`` messages of each conversation (conv_id, ts, role, content) after each batch; state goes after two quiet hours."""
+def conversation_history(messages: DataFrame, keep: int = 20, ttl_minutes: int | None = 120) -> DataFrame:
+    """The last ``keep`` messages of each conversation (conv_id, ts, role, content) after each batch; state goes after two quiet hours.
+
+    With no ttl the state stays; a run over what is available now needs that, as timeouts keep asking for another batch.
+    """
 
     def update(key, parts: Iterator[pd.DataFrame], state):
         if state.hasTimedOut:
@@ -47,10 +50,11 @@ def conversation_history(messages: DataFrame, keep: int = 20, ttl_minutes: int =
         new = pd.concat(list(parts)).sort_values(["ts", "role", "content"])
         rows = (old + list(zip(new["role"], new["content"], strict=True)))[-keep:]
         state.update(([r for r, _ in rows], [c for _, c in rows]))
-        state.setTimeoutDuration(ttl_minutes * 60_000)
+        if ttl_minutes:
+            state.setTimeoutDuration(ttl_minutes * 60_000)
         yield pd.DataFrame({"conv_id": [key[0]], "messages": [len(rows)], "history": ["\n".join(f"{r.upper()}: {c}" for r, c in rows)]})
 
-    return messages.select("conv_id", "ts", "role", "content").groupBy("conv_id").applyInPandasWithState(update, "conv_id bigint, messages int, history string", "roles array<string>, contents array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.select("conv_id", "ts", "role", "content").groupBy("conv_id").applyInPandasWithState(update, "conv_id bigint, messages int, history string", "roles array<string>, contents array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout if ttl_minutes else GroupStateTimeout.NoTimeout)
 
 
 def ingest(raw: DataFrame, sink: str, checkpoint: str, keep: bool = False):
