@@ -43,7 +43,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, mentions: DataFrame | None =
     return fuse.diversified(fuse.intelligence_boost(fused), k).withColumn("rank", F.col("div_rank"))
 
 
-def ask(queries: DataFrame, corpus: DataFrame, mentions: DataFrame | None = None, known: DataFrame | None = None, history: DataFrame | None = None, k: int = 50, scorer=None, generate=None, profile: Profile = EXAMPLE) -> DataFrame:
+def ask(queries: DataFrame, corpus: DataFrame, mentions: DataFrame | None = None, known: DataFrame | None = None, history: DataFrame | None = None, k: int = 50, filters: dict | None = None, scorer=None, generate=None, profile: Profile = EXAMPLE) -> DataFrame:
     """query_id, query, answer, context, sources: retrieval, reranking, context and an answer (extractive without a generator).
 
     history (query_id, history_size, last_question) resolves references. generate: a function of the prompt struct's columns.
@@ -52,7 +52,7 @@ def ask(queries: DataFrame, corpus: DataFrame, mentions: DataFrame | None = None
     if history is not None:
         q = q.join(history, "query_id", "left").withColumn("query", analyze.resolved(F.col("query"), F.coalesce("history_size", F.lit(0)), F.coalesce("last_question", F.lit("")))).select(*queries.columns)
     q = q.withColumn("query", analyze.expand_acronyms(F.col("query"), profile))
-    hits = retrieve(q, corpus, mentions, known, k, profile=profile).withColumn("score", F.col("final_score"))
+    hits = retrieve(q, corpus, mentions, known, k, filters, profile).withColumn("score", F.col("final_score"))
     best = rerank.rerank(hits, k, scorer, profile)
     text = context.enhanced_context(best)
     cited = context.sources(best).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url", "page_type", "relevance_score"))).alias("sources"))
@@ -61,6 +61,24 @@ def ask(queries: DataFrame, corpus: DataFrame, mentions: DataFrame | None = None
     return out.withColumn("prompt", made).withColumn("answer", generate(F.col("prompt")) if generate else context.extractive_answer(F.col("context"))).select("query_id", "query", "answer", "context", "sources")
 
 
+#: Questions with their metadata filters, for batches of names, departments or topics.
+TEMPLATES = {
+    "faculty": ("Tell me about %s, including their research interests and affiliations.", None),
+    "faculty_list": ("List all faculty members in the %s department", None),
+    "topic": ("What research is being done on %s?", {"page_type": "faculty"}),
+    "courses": ("%s", {"page_type": "course"}),
+}
+
+
+def templated(names: DataFrame, kind: str, column: str = "name") -> tuple[DataFrame, dict | None]:
+    """(queries, filters) from rows with query_id and a name; an empty department asks for all faculty members."""
+    pattern, filters = TEMPLATES[kind]
+    question = F.format_string(pattern, F.col(column))
+    if kind == "faculty_list":
+        question = F.when(F.coalesce(column, F.lit("")) == "", "List all faculty members").otherwise(question)
+    return names.select("query_id", question.alias("query")), filters
+
+
 def ingest(raw: DataFrame, dim: int = 64, embedder=None, path: str | None = None) -> dict[str, DataFrame]:
     """From raw pages: page rows, dropped pages, chunks with embeddings, mentions.
 

@@ -280,3 +280,10 @@ def test_ingest_store_and_ask(spark, sf, tmp_path):
     assert set(out) == {1, 2} and all(o.answer for o in out.values()) and out[2]["query"].startswith("previous question was")
     store.reset()
     assert store.rows().count() == 0
+
+
+def test_templates(spark):
+    df = spark.createDataFrame([(1, "physics"), (2, None)], "query_id int, name string")
+    q, f = retrieval.templated(df, "faculty_list")
+    assert [r["query"] for r in q.orderBy("query_id").collect()] == ["List all faculty members in the physics department", "List all faculty members"] and f is None
+    assert retrieval.templated(df, "courses")[1] == {"page_type": "course"}
