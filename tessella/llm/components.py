@@ -11,18 +11,26 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Edges up to which the nodes' minima are broadcast (at most two nodes an edge: 16 MB).
+EDGES = 500_000
 
-def _large(edges: DataFrame) -> DataFrame:
+
+def _to_edges(edges: DataFrame, minima: DataFrame, few: bool) -> DataFrame:
+    """Joins each node's minimum to its edges: by broadcast up to EDGES edges, so that a hub's edges stay spread out; else by shuffle."""
+    return edges.join(F.broadcast(minima) if few else minima, "u")
+
+
+def _large(edges: DataFrame, few: bool) -> DataFrame:
     """Each node's larger neighbours move to its smallest neighbour (or itself)."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _to_edges(both.where("v > u"), low, few).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, few: bool) -> DataFrame:
     """Each node and its smaller neighbours move to the smallest of them; edges have u > v."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+    moved = _to_edges(edges, low, few).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
     return moved.select("e.u", "e.v").where("u <> v").distinct()
 
 
@@ -32,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = mark(now)
     while before[0]:
-        now = written(_small(_large(now)), "edges")
+        few = before[0] <= EDGES
+        now = written(_small(_large(now, few), few), "edges")
         after = mark(now)
         if after == before:
             break
