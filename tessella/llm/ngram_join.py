@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only_ids, without_ids, written
+from .common import BROADCAST_IDS, only_ids, without_ids, written
 from .components import components
 from .words import mix, slices, trim, word_hashes
 
@@ -240,7 +240,9 @@ def filed_nodes(prefix: DataFrame) -> DataFrame:
     """(file, node, n): all nodes of each frequent prefix token, filed under its smallest node."""
     rows = prefix.where(F.col("df") > FEW)
     leader = rows.groupBy("token").agg(F.min("node").alias("file"), F.count(F.lit(1)).alias("g")).where("g > 1").drop("g")
-    return written(rows.join(leader, "token").select("file", "node", "n").distinct(), "files")
+    leader = written(leader, "leaders")
+    side = F.broadcast(leader) if leader.count() <= BROADCAST_IDS else leader  # a frequent token's rows stay spread out
+    return written(rows.join(side, "token").select("file", "node", "n").distinct(), "files")
 
 
 def crowded_links(filed: DataFrame, sets: DataFrame) -> DataFrame:
