@@ -260,8 +260,10 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = written(texts.mapInArrow(_first, "doc_id bigint, n int, mark binary, tokens array<bigint>"), "first")
     known = first.where("n > 0 AND doc_id IS NOT NULL")
-    reps = known.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    members = written(known.select("doc_id", "n", "mark").join(reps.where("copies > 1"), "mark", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "members")
+    reps = known.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    reps = written(reps.select("mark", "node"), "copied")
+    side = F.broadcast(reps) if reps.count() <= BROADCAST_IDS // 2 else reps  # the rows of a set with many copies stay spread out
+    members = written(known.select("doc_id", "n", "mark").join(side, "mark", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "members")
     copies = members.where("doc_id <> node").select("doc_id").distinct()
     nodes = without_ids(known, copies, "doc_id", copies.count()).select(F.col("doc_id").alias("node"), "n", "tokens")
 
