@@ -39,5 +39,11 @@ def only_ids(rows: DataFrame, ids: DataFrame, column: str, count: int) -> DataFr
     return rows.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, column, "left_semi")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows: with whole texts in them, the default of 10,000 takes hundreds of MB beside the heap."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

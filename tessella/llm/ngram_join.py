@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, only_ids, without_ids, written
+from .common import BROADCAST_IDS, only_ids, small_batches, without_ids, written
 from .components import components
 from .words import mix, slices, trim, word_hashes
 
@@ -257,6 +257,7 @@ def crowded_links(filed: DataFrame, sets: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = written(texts.mapInArrow(_first, "doc_id bigint, n int, mark binary, tokens array<bigint>"), "first")
     known = first.where("n > 0 AND doc_id IS NOT NULL")

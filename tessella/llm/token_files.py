@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, small_batches, written
 from .tokenize import encoder
 from .words import slices, trim
 
@@ -66,6 +66,7 @@ def _system(uri: str):
 
 def write_shards(docs: DataFrame, path: str, folder: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files and returns a table of them: shard, file, records, tokens, base (tokens in the shards before)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
 

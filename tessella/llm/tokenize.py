@@ -48,7 +48,7 @@ class _Words(dict):
 
 
 class CachedEncoder:
-    def __init__(self, path: str, cache_size: int = 800_000):
+    def __init__(self, path: str, cache_size: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -108,7 +108,7 @@ class CachedEncoder:
 _encoders: dict[tuple[str, int], CachedEncoder] = {}
 
 
-def encoder(path: str, cache_size: int = 800_000) -> CachedEncoder:
+def encoder(path: str, cache_size: int = 500_000) -> CachedEncoder:
     """One for each Python worker, kept between tasks."""
     key = (path, cache_size)
     if key not in _encoders:

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import PUNCTUATION, slices, word_hashes
+from .common import small_batches
+from .words import PUNCTUATION, slices, trim, word_hashes
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 PER_CLASS, MAX_CHARS, EPOCHS, BATCH, RATE, L2, MIN_TEXTS = 4000, 20_000, 8, 32, 0.08, 1e-4, 5
@@ -222,6 +223,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_c
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in ``keep`` and toxicity (double), which no column in keep may be named."""
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 8 MB, whatever the input
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("__text"))
@@ -230,6 +232,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str
         for b in batches:
             s = shared.value.scores(b.column("__text"))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "toxicity"])
+        trim()
 
     schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[:-1])] + ["toxicity double"])
     return rows.mapInArrow(score, schema).toDF(*keep, "toxicity")
