@@ -1,14 +1,16 @@
 """URL filter: rules, then a character language-model ratio; DataFrame operations only.
 
 Two smoothed variable-order Markov models over the characters of host and path, one of
-accepted URLs and one of rejected ones, share a table of hashed character-gram counts.
+accepted URLs and one of rejected ones, share a table of character-gram counts.
 The probability of a character mixes all orders from 0 to ORDER, each with the weight of
 its context's count against MIX (an unseen context leaves the shorter one's estimate).
 A URL is blocked when the log ratio (rejected over accepted), divided by its
 length, exceeds a threshold calibrated on a held-out fifth of the URLs: above the share
 1 - MAX_FALSE of the accepted ones, and half way to the low end of the rejected ones when
-the two lie apart. The counts come from all other URLs, in one aggregation that combines
-on the map side; its size is bounded by SLOTS * BUCKETS rows, whatever the input.
+the two lie apart. The counts come from all other URLs, in aggregations that combine on the
+map side. They are kept for the grams themselves, so the table grows with the input. Each
+different window of ORDER + 1 characters is looked up once; the smallest tables, up to
+BROADCAST_GRAMS rows together, are broadcast, the others shuffled.
 
 Labels come from seed terms: a URL whose host has one is a rejected example, any other an
 accepted one. A list of labelled URLs can be passed instead.
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-ORDER, BUCKETS, MIX, MAX_FALSE, SEGMENT = 4, 1 << 15, 2.0, 0.001, 128
+ORDER, MIX, MAX_FALSE, SEGMENT = 4, 2.0, 0.001, 128
+#: Rows of grams, and of windows with their log ratios, up to which tables are broadcast.
+BROADCAST_GRAMS = 300_000
 ALPHABET = 96.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEED_TERMS = ("casino", "adult", "porn", "xxx", "pills", "viagra", "spam", "bets", "betting", "poker", "lottery", "ads-", "-ads", "adserver", "track", "malware", "phish", "warez")
@@ -63,41 +67,54 @@ def _segments(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / SEGMENT).cast("int")), lambda j: F.substring(text, j * SEGMENT + 1, F.lit(SEGMENT + ORDER)))
 
 
-def _slot(gram: Column, size: int) -> Column:
-    return (F.pmod(F.xxhash64(gram), F.lit(BUCKETS)) + size * BUCKETS).cast("int")
-
-
-def _positions(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each character, with the slots of the grams that end there (odd) and of the contexts before it (even)."""
+def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each character, with the window w of ORDER characters before it and itself."""
     cut = rows.select(*keys, F.explode(_segments(_text(F.col("host"), F.col("path")))).alias("s"))
     cut = cut.select(*keys, "s", F.explode(F.sequence(F.lit(ORDER + 1), F.length("s"))).alias("i"))
-    part = lambda k, n: F.substring("s", F.col("i") - k, F.lit(n))
-    return cut.select(*keys, *[_slot(part(k, k + n), 2 * k + n).alias(f"s{2 * k + n}") for k in range(ORDER + 1) for n in (0, 1)])
+    return cut.select(*keys, F.substring("s", F.col("i") - ORDER, F.lit(ORDER + 1)).alias("w"))
 
 
 SLOTS = 2 * (ORDER + 1)
 
 
+def _gram(slot: int) -> Column:
+    """Of a window: the last character with the k = slot // 2 before it (odd slots), or these k alone (even slots)."""
+    k, n = divmod(slot, 2)
+    return F.substring("w", ORDER + 1 - k, k + n)
+
+
 def train(urls: DataFrame) -> DataFrame:
-    """From host, path, rejected: slot, a, r (counts among accepted and rejected URLs); at most SLOTS * BUCKETS rows."""
-    slots = _positions(urls, ["rejected"]).select("rejected", F.explode(F.array(*[f"s{j}" for j in range(SLOTS)])).alias("slot"))
-    return slots.groupBy("slot").agg(F.sum(F.when(F.col("rejected"), 0.0).otherwise(1.0)).alias("a"), F.sum(F.when(F.col("rejected"), 1.0).otherwise(0.0)).alias("r"))
+    """From host, path, rejected: slot, gram, a, r (counts among accepted and rejected URLs), a row for each gram that occurs."""
+    counts = _windows(urls, ["rejected"]).groupBy("w").agg(F.sum(F.when(F.col("rejected"), 0.0).otherwise(1.0)).alias("a"), F.sum(F.when(F.col("rejected"), 1.0).otherwise(0.0)).alias("r"))
+    grams = counts.select(F.explode(F.array(*[F.struct(F.lit(j).alias("slot"), _gram(j).alias("gram")) for j in range(SLOTS)])).alias("g"), "a", "r")
+    return grams.select("g.*", "a", "r").groupBy("slot", "gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
 
 
-def scored(rows: DataFrame, keys: list[str], model: DataFrame) -> DataFrame:
-    """keys (host and path among them) and score: the length-normalised log-likelihood difference, rejected less accepted."""
-    at = _positions(rows, keys)
-    for j in range(SLOTS):
-        at = at.join(F.broadcast(model.select(F.col("slot").alias(f"s{j}"), F.col("a").alias(f"a{j}"), F.col("r").alias(f"r{j}"))), f"s{j}", "left")
+def _ratios(windows: DataFrame, model: DataFrame) -> DataFrame:
+    """For each different window: ratio, the log-likelihood of its last character among rejected URLs less that among accepted ones."""
+    size = {r["slot"]: r["count"] for r in model.groupBy("slot").count().collect()}
+    out, room = windows.select("w").distinct(), BROADCAST_GRAMS
+    for j in sorted(range(SLOTS), key=lambda j: (size.get(j, 0), j)):
+        room -= size.get(j, 0)
+        grams = model.where(F.col("slot") == j).select(F.col("gram").alias(f"g{j}"), F.col("a").alias(f"a{j}"), F.col("r").alias(f"r{j}"))
+        out = out.withColumn(f"g{j}", _gram(j)).join(F.broadcast(grams) if room >= 0 else grams.hint("shuffle_merge"), f"g{j}", "left").drop(f"g{j}")
 
     def prob(side: str) -> Column:
         p = F.lit(1 / ALPHABET)
         for k in range(ORDER + 1):
             seen, context = (F.coalesce(f"{side}{2 * k + n}", F.lit(0.0)) for n in (1, 0))
-            p = (F.least(seen, context) + F.lit(MIX) * p) / (context + F.lit(MIX))
+            p = (seen + F.lit(MIX) * p) / (context + F.lit(MIX))
         return p
 
-    return at.groupBy(*keys).agg((F.sum(F.log(prob("r")) - F.log(prob("a"))) / F.count(F.lit(1))).alias("score"))
+    return out.select("w", (F.log(prob("r")) - F.log(prob("a"))).alias("ratio"))
+
+
+def scored(rows: DataFrame, keys: list[str], model: DataFrame) -> DataFrame:
+    """keys (host and path among them) and score: the length-normalised log-likelihood difference, rejected less accepted."""
+    at = _windows(rows, keys)
+    ratios = written(_ratios(at, model), "url_ratios")
+    at = at.join(F.broadcast(ratios) if ratios.count() <= BROADCAST_GRAMS else ratios.hint("shuffle_merge"), "w")
+    return at.groupBy(*keys).agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
 
 
 def judged(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", rules=RULES, seed_terms=SEED_TERMS, examples: DataFrame | None = None) -> DataFrame:
