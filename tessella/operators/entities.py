@@ -138,12 +138,13 @@ def categorized(text: Column) -> Column:
     return F.struct(*[F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t)).alias(name) for name, terms in KEYWORDS.items()])
 
 
-def tfidf_keywords(docs: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", limit: int = 10_000, digits: int = 6) -> DataFrame:
-    """The k one- and two-word terms of highest tf-idf in each text's first ``limit`` characters: doc_id, keyword, score, rank.
+def tfidf_keywords(docs: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", limit: int | None = None, digits: int = 6) -> DataFrame:
+    """The k one- and two-word terms of highest tf-idf in each text (its first ``limit`` characters, if given): doc_id, keyword, score, rank.
 
     A substitute for an embedding model's keywords, deterministic and native. Stop words and short words are left out.
     """
-    tokens = F.filter(_all(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, limit)), W, 0), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
+    read = F.coalesce(text, F.lit(""))
+    tokens = F.filter(_all(F.lower(F.substring(read, 1, limit) if limit else read), W, 0), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
     rows = docs.select(doc_id, tokens.alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
     terms = rows.select(doc_id, F.explode(F.concat("w", F.filter(pairs, lambda p: p.isNotNull()))).alias("keyword")).groupBy(doc_id, "keyword").agg(F.count(F.lit(1)).alias("tf"))

@@ -159,6 +159,12 @@ def keyword_categories(spark, sf):
 
 @query("keywords_tfidf", S.TFIDF)
 def keywords_tfidf(spark, sf):
+    """Over the first 10,000 characters, as its SQL; keywords_tfidf_whole reads everything."""
+    return entities.tfidf_keywords(_wide(spark, sf, "documents").select("doc_id", "text"), 5, limit=10_000).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("keywords_tfidf_whole")
+def keywords_tfidf_whole(spark, sf):
     return entities.tfidf_keywords(_wide(spark, sf, "documents").select("doc_id", "text"), 5).withColumn("rank", F.col("rank").cast("int"))
 
 
