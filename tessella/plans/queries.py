@@ -179,13 +179,26 @@ def _mentions(spark, sf):
 
 @query("entity_patterns", S.ENTITY_PATTERNS)
 def entity_patterns(spark, sf):
-    """The literal rules, on texts with sentences that they are made for."""
+    """The literal rules, on sentences that they are made for; entity_patterns_whole and page_entities read the texts of the tables."""
     said = F.concat(F.lit("The robotics lab of Prof. Ada Byron studies data science. Department of physics. "), F.substring("text", 1, 40))
     u, t = F.concat(F.lit("https://x.example.com/faculty/"), F.col("source"), F.lit("-name/")), F.lit("Vision Systems Lab of Dr. Ada Byron")
     rows = _t(spark, sf, "documents").where("lang = 'en'").select("doc_id", entities.page_entities(said, u, t).alias("e"))
     return rows.select("doc_id", F.array_join("e.persons", "|").alias("persons"), F.get("e.labs", F.lit(0)).alias("lab"), F.array_contains("e.topics", "Data Science").alias("data_science"), F.size("e.organizations").alias("organizations"))
 
 
+@query("entity_patterns_whole")
+def entity_patterns_whole(spark, sf):
+    """The rules on the whole texts of all documents, which have neither URL nor title."""
+    return _wide(spark, sf, "documents").select("doc_id", F.explode(F.array(entities.page_entities(F.coalesce("text", F.lit("")), F.lit(""), F.lit("")))).alias("e")).select("doc_id", "e.labs", "e.topics", "e.organizations")
+
+
+@query("page_entities")
+def page_entities(spark, sf):
+    """The rules on the whole texts of all pages, with their own URLs and titles."""
+    rows = pages.process(_wide(spark, sf, "pages").drop("page_id")).select("page_id", "cleaned_text", "url", "title")
+    return rows.select("page_id", "url", F.explode(F.array(entities.page_entities(F.col("cleaned_text"), F.col("url"), F.col("title")))).alias("e")).select("page_id", "url", "e.*")
+
+
 @query("mentions", S.MENTIONS)
 def mentions(spark, sf):
     return _mentions(spark, sf)

@@ -37,3 +37,39 @@ def test_keywords_of_whole_texts(spark, sf):
     got = {(r["doc_id"], r["rank"]): (r["score"], r["keyword"]) for r in QUERIES["keywords_tfidf_whole"](spark, sf).collect()}
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
     assert {k: v[0] for k, v in got.items()} == pytest.approx({k: v[0] for k, v in want.items()}, abs=2e-6)
+
+
+# --- entities
+
+
+def found(text, patterns, longer_than=3, without=()):
+    out = set()
+    for p in patterns:
+        out |= {m.strip() for m in re.findall(p.replace(r"[\p{L}\p{N}_]", r"\w"), text.lower(), re.ASCII if text.isascii() else 0)}
+    return sorted({re.sub(r"[^\W\d_]+", lambda m: m[0].capitalize(), x) for x in out if len(x) > longer_than and x not in without})
+
+
+def test_entities_of_whole_texts(spark, sf, tmp_path):
+    """In every language, wherever they stand; the table's own texts hold none of the patterns' words, so some are added."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    said = " The robotics lab works on deep learning. Department of physics. School of design, research in quantum computing!"
+    added = F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(said))).otherwise(F.col("text"))
+    docs.withColumn("text", added).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["entity_patterns_whole"](spark, str(tmp_path)).collect()}
+    every = rows(spark, tmp_path, "documents", "doc_id", "text", "lang")
+    assert len(got) == len(every) and len({lang for _, _, lang in every}) > 1
+    e = plans.entities
+    for d, x, _ in every:
+        listed = ("(" + "|".join(w.replace(" ", r"\s+") for w in e.TOPICS) + ")",)
+        assert got[d].labs == found(x or "", e.LAB_PATTERNS, without=e.NOT_LABS)
+        assert got[d].topics == found(x or "", e.TOPIC_PATTERNS + listed)
+        assert got[d].organizations == found(x or "", e.ORG_PATTERNS)
+        assert d % 3 or {"Physics"} <= set(got[d].organizations) and "Deep Learning" in got[d].topics and got[d].labs
+
+
+def test_entities_of_pages(spark, tmp_path):
+    body = "<p>" + "plain words of no lab at all " * 300 + "</p><p>The robotics lab of the department of physics.</p>"
+    page = (1, "https://cs.example.com/people/ada-byron/x", f"<html><title>Vision Lab - Dr. Ada Byron</title><body>{body}</body></html>")
+    spark.createDataFrame([page], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    r = QUERIES["page_entities"](spark, str(tmp_path)).first()
+    assert "Ada Byron" in r.persons and {"Vision", "The Robotics"} & set(r.labs) and any("Physics" in o for o in r.organizations)
