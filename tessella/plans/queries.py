@@ -223,7 +223,7 @@ def top_labs(spark, sf):
 
 def _questions(spark, sf, least: int = 0):
     rows = _t(spark, sf, "conversations").where((F.col("role") == "user") & (F.col("turn") == 0) & (F.col("conv_id") >= least))
-    return rows.select(F.col("conv_id").alias("query_id"), F.concat(F.lit("list all faculty "), F.substring("text", 1, 60)).alias("query"))
+    return rows.select(F.col("conv_id").alias("query_id"), F.concat(F.lit("list all faculty "), F.col("text")).alias("query"))
 
 
 @query("graph_search", S.GRAPH_SEARCH)
@@ -459,8 +459,18 @@ def hybrid_retrieval(spark, sf):
 
 @query("query_analysis", S.QUERY_ANALYSIS)
 def query_analysis(spark, sf):
+    """Over the first 30 characters of each question, as its SQL; query_analysis_whole reads everything."""
+    return _analysed(spark, sf, F.substring("text", 1, 30))
+
+
+@query("query_analysis_whole")
+def query_analysis_whole(spark, sf):
+    return _analysed(spark, sf, F.col("text"))
+
+
+def _analysed(spark, sf, text):
     q = F.element_at(F.array(*[F.lit(x) for x in S.QUESTIONS]), (F.col("conv_id") % 7 + 1).cast("int"))
-    rows = _t(spark, sf, "conversations").where("turn = 0").select("conv_id", F.concat(q, F.lit(" "), F.substring("text", 1, 30)).alias("query"))
+    rows = _t(spark, sf, "conversations").where("turn = 0").select("conv_id", F.concat(q, F.lit(" "), text).alias("query"))
     out = analyze.analyze(rows)
     return out.select("conv_id", F.array_join("intents", ",").alias("intents"), "query_type", F.array_join("entities.acronyms", ",").alias("acronyms"), F.size("entities.keywords").alias("keywords"), F.size("entities.proper_nouns").alias("proper_nouns"), "is_list_query", "is_faculty_query", F.col("search_strategy.graph_weight").alias("graph_weight"), F.array_join("expansion_terms", ",").alias("expansion"), F.array_join("target_page_types", ",").alias("targets"))
 

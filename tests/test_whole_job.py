@@ -73,3 +73,25 @@ def test_entities_of_pages(spark, tmp_path):
     spark.createDataFrame([page], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     r = QUERIES["page_entities"](spark, str(tmp_path)).first()
     assert "Ada Byron" in r.persons and {"Vision", "The Robotics"} & set(r.labs) and any("Physics" in o for o in r.organizations)
+
+
+# --- questions
+
+
+def test_questions_are_whole(spark, sf):
+    """What hybrid_retrieval and graph_search ask is the whole text of each first turn."""
+    turns = rows(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    assert any(len(x or "") > 60 for _, _, _, x in turns)
+    got = {r["query_id"]: r["query"] for r in plans._questions(spark, sf).collect()}
+    assert got == {c: "list all faculty " + x for c, turn, role, x in turns if role == "user" and turn == 0}
+
+
+def test_analysis_of_whole_questions(spark, tmp_path):
+    """Acronyms, proper nouns, keywords and the intent behind the 30th character."""
+    long = "weather in some far away place, " + "then " * 30 + "CDS and the laboratory of Byron with CSA"
+    spark.createDataFrame([(6, 0, "user", long)], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    r = QUERIES["query_analysis_whole"](spark, str(tmp_path)).first()
+    w = ("weather " + long).split()
+    assert "lab_query" in r["intents"] and r["acronyms"] == "CDS,CSA"
+    assert r["proper_nouns"] == sum(x[0].isupper() for x in w[1:])
+    assert r["keywords"] == sum(len(x) > 2 and x.lower() not in ("the", "and", "for", "are", "with", "this", "that") for x in w)
