@@ -95,3 +95,28 @@ def test_analysis_of_whole_questions(spark, tmp_path):
     assert "lab_query" in r["intents"] and r["acronyms"] == "CDS,CSA"
     assert r["proper_nouns"] == sum(x[0].isupper() for x in w[1:])
     assert r["keywords"] == sum(len(x) > 2 and x.lower() not in ("the", "and", "for", "are", "with", "this", "that") for x in w)
+
+
+# --- lexical search
+
+
+def test_bm25_with_whole_passages(spark, sf):
+    """All terms of each passage take part."""
+    tokens = lambda x: re.findall(r"\w+", (x or "").lower())
+    docs = {d: Counter(tokens(x)) for d, x in rows(spark, sf, "documents", "doc_id", "text")}
+    size = {d: sum(c.values()) for d, c in docs.items()}
+    mean = sum(size.values()) / len(docs)
+    want = {}
+    for i, x in rows(spark, sf, "benchmark", "item_id", "text"):
+        if i % 10 == 0:
+            scores = Counter()
+            for term in set(tokens(x)):
+                df = sum(term in c for c in docs.values())
+                for d, c in docs.items():
+                    if term in c:
+                        scores[d] += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * c[term] * 2.2 / (c[term] + 1.2 * (0.25 + 0.75 * size[d] / mean))
+            best = sorted(((round(v, 6), d) for d, v in scores.items()), key=lambda s: (-s[0], s[1]))[:10]
+            want |= {(i, rank): s for rank, s in enumerate(best, 1)}
+    got = {(r["query_id"], r["rank"]): (r["score"], r["doc_id"]) for r in QUERIES["bm25_whole"](spark, sf).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert {k: v[0] for k, v in got.items()} == pytest.approx({k: v[0] for k, v in want.items()}, abs=2e-6)
