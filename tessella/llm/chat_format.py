@@ -163,13 +163,13 @@ def formatted(turns: DataFrame, conv: str = "conv_id", order: tuple[str, ...] =
 
 
 def parsed(out: DataFrame) -> DataFrame:
-    """Adds turns and loss_texts, read back from formatted and loss_spans."""
+    """Adds turns, read back from formatted, and loss_texts, what the spans' starts and lengths cut from it."""
     cut = F.split("formatted", END, -1)
     pieces = F.slice(cut, 1, F.size(cut) - 1)
     after = lambda p: F.locate(">\n", p)
     turn = lambda p: F.struct(F.url_decode(F.substring(p, F.lit(7), after(p) - 7)).alias("role"), unescaped(F.substring(p, after(p) + 2, F.length(p))).alias("text"))
     read = out.withColumn("turns", F.transform(pieces, turn))
-    return read.withColumn("loss_texts", F.transform("loss_spans", lambda s: F.element_at("turns", s["turn"])["text"]))
+    return read.withColumn("loss_texts", F.transform("loss_spans", lambda s: unescaped(F.substring("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

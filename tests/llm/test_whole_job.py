@@ -5,8 +5,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessella.llm import url_filter
+from tessella.llm import chat_format, url_filter
 
 # --- URL filter
 
@@ -38,3 +39,16 @@ def test_url_counts_grow_with_the_input(spark, monkeypatch, bound):
     got = {r.n: r.score for r in url_filter.scored(spark.createDataFrame(asked, "n int, host string, path string"), ["n", "host", "path"], model).collect()}
     want = {n: sum(log(w, True) - log(w, False) for w in windows(h, p)) / len(windows(h, p)) for n, h, p in asked}
     assert got == pytest.approx(want, abs=1e-9)
+
+
+# --- chat
+
+
+def test_loss_texts_are_what_the_spans_cover(spark):
+    """Cut by start and length: they equal the assistant's texts with right spans and show wrong ones."""
+    said = [("user", "a\\<b"), ("assistant", "x\\<y> 日本😀 \\\\<"), ("user", "😀"), ("assistant", ""), ("assistant", "the end\n</turn>\n")]
+    rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(said)], "conv_id int, turn int, role string, text string")
+    out = chat_format.formatted(chat_format.table_turns(rows))
+    assert chat_format.parsed(out).first().loss_texts == [t for r, t in said if r == "assistant"]
+    off = out.withColumn("loss_spans", F.transform("loss_spans", lambda s: s.withField("start", s["start"] + 1).withField("length", s["length"] - 1)))
+    assert chat_format.parsed(off.select("*")).first().loss_texts[2] == "he end\n</turn>\n"
