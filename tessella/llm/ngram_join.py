@@ -1,4 +1,4 @@
-"""N-gram Jaccard join with token-combination prefixes; exact.
+"""N-gram Jaccard join with prefixes, blocks of whole sets in place of token combinations; exact.
 
 A document's set: the distinct shingles of ``WORDS`` words, as 64-bit hashes. Two sets link when
 7 * common >= 3 * (n + m), a Jaccard similarity of 0.75. Copies of one set are one node.
@@ -14,7 +14,7 @@ each (their prefixes). Rare and frequent tokens are indexed differently:
    are paired; the number of tokens that two prefixes share, and all tokens behind them, bound the overlap, and pairs that
    can't reach the threshold go.
 3. A node whose rare tokens don't fill its prefix (a member of a large group of near copies, a text made of common
-   passages) goes on with a combination of frequent ones. All nodes of a frequent token are filed under its smallest
+   passages) goes on with single frequent ones; combinations of k tokens are not indexed. All nodes of a frequent token are filed under its smallest
    node; each file's nodes are dealt into blocks of about ``BLOCK`` nodes or ``TOKENS`` tokens, and each pair of blocks
    compares its whole sets in one product of incidence matrices. It returns a spanning forest of its links, so output
    stays linear.
