@@ -74,13 +74,13 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[
     home = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
     n = lengths[doc].astype(np.int64)
     open_ = fill > 0
-    closed = np.zeros(len(bins), dtype=bool)  # sources from which no step was found
-    steps = 4 * len(bins) + 64
-    while steps and (open_ & ~closed).any():
-        source = int(np.flatnonzero(open_ & ~closed)[fill[open_ & ~closed].argmin()])
+    step, changed, tried = 0, np.zeros(len(bins), dtype=np.int64), np.full(len(bins), -1)  # numbers of the step that last changed a bin, and at which a source had none
+    while (wait := np.flatnonzero(open_ & (tried < step))).size:
+        source = int(wait[fill[wait].argmin()])
         mine = np.flatnonzero(home == source)
         x = n[mine]
-        away = np.flatnonzero(open_ & (fill < size) & (np.arange(len(bins)) != source))
+        new = changed > (tried[source] if changed[source] <= tried[source] else -1)  # a source that was tried and not changed looks at changed bins
+        away = np.flatnonzero(open_ & new & (fill < size) & (np.arange(len(bins)) != source))
         best = (0, None)
 
         def offer(net, target, what, best=None, source=source):
@@ -101,16 +101,17 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[
                 if len(x) > 1:
                     i, j = np.triu_indices(len(x), 1)
                     pair, at = np.unique(x[i] + x[j], return_index=True)
-                    pair, at = pair[:64], at[:64]
-                    net = (pair[:, None] - y[None, :]).ravel()
-                    best = offer(net, np.tile(ty, len(pair)), lambda k: ([mine[i[at[k // len(theirs)]]], mine[j[at[k // len(theirs)]]]], [theirs[k % len(theirs)]], ty[k % len(theirs)]), best)
+                    fits = np.searchsorted(pair, y + size - fill[ty], "right") - 1  # the largest sum that fits raises the fills most
+                    net = np.where(fits >= 0, pair[fits] - y, 0)
+                    best = offer(net, ty, lambda k: ([mine[i[at[fits[k]]]], mine[j[at[fits[k]]]]], [theirs[k]], ty[k]), best)
         if best[1] is None:
-            closed[source] = True
+            tried[source] = step
             continue
-        steps -= 1
+        step += 1
         out, back, target = best[1]
         home[out], home[back] = target, source
         net = int(n[out].sum() - n[back].sum())
+        changed[[source, target]] = step
         fill[target] += net
         fill[source] -= net
         open_[source] = fill[source] > 0

@@ -4,10 +4,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, url_filter
+from tessella.llm import chat_format, packing, url_filter
 
 # --- URL filter
 
@@ -52,3 +53,28 @@ def test_loss_texts_are_what_the_spans_cover(spark):
     assert chat_format.parsed(out).first().loss_texts == [t for r, t in said if r == "assistant"]
     off = out.withColumn("loss_spans", F.transform("loss_spans", lambda s: s.withField("start", s["start"] + 1).withField("length", s["length"] - 1)))
     assert chat_format.parsed(off.select("*")).first().loss_texts[2] == "he end\n</turn>\n"
+
+
+# --- packing
+
+
+def test_search_ends_where_no_step_is_left():
+    """A pair sum above the 64 smallest is found; random bins end where no move or exchange raises the squares."""
+    x = np.array([2, 4, 8, 16, 26, 42, 62, 90, 132, 162, 194, 246, 439, 584])
+    assert sorted(x[b].sum() for b in packing.local_search([list(range(12)), [12, 13]], x, 1024)) == [983, 1024]
+    rnd = random.Random(4)
+    for _ in range(30):
+        n = np.array([rnd.randint(1, 40) for _ in range(40)])
+        bins: list[list[int]] = []
+        for d in range(40):
+            bins = bins if bins and n[bins[-1]].sum() + n[d] <= 100 else [*bins, []]
+            bins[-1].append(d)
+        bins = [b for b in bins if n[b].sum() < 100]
+        out = packing.local_search(bins, n, 100)
+        assert sorted(d for b in out for d in b) == sorted(d for b in bins for d in b)
+        for a in out:
+            for b in out:
+                fa, fb = n[a].sum(), n[b].sum()
+                if a is not b and fb < 100:
+                    sums = [n[i] for i in a] + [n[i] - n[k] for i in a for k in b] + [n[i] + n[j] - n[k] for i in a for j in a if i < j for k in b]
+                    assert not any(0 < net <= 100 - fb and fb - fa + net > 0 for net in sums)
