@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written
 
 #: Edges up to which the nodes' minima are broadcast (at most two nodes an edge: 16 MB).
 EDGES = 500_000
@@ -41,10 +41,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(now)
     while before[0]:
         few = before[0] <= EDGES
-        now = written(_small(_large(now, few), few), "edges")
+        old, now = now, written(_small(_large(now, few), few), "edges")
+        removed(old)
         after = mark(now)
         if after == before:
             break
         before = after
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+    out.table_path = now.table_path
+    return out
