@@ -13,7 +13,7 @@ BROADCAST_IDS = 1_000_000
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch with whole texts in it: the default of 10,000 takes hundreds of MB beside the heap.
-TEXTS = 1000
+TEXTS = 200
 
 _own: dict[str, str] = {}
 
@@ -29,17 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessella-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, batch: int | None = None, packed: bool = True) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing.
 
-    ``batch``: rows of an Arrow batch while this is written; the session's setting is put back.
+    ``batch``: rows of an Arrow batch while this is written; the session's setting is put back. ``packed``: compressed;
+    tables of hashes don't shrink, and the codecs' buffers are memory beside the heap.
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}"
     before = spark.conf.get(BATCH_ROWS)
     try:
         if batch:
             spark.conf.set(BATCH_ROWS, batch)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=None if packed else "uncompressed")
     finally:
         if batch:
             spark.conf.set(BATCH_ROWS, before)
@@ -64,7 +65,7 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
-def without_ids(rows: DataFrame, ids: DataFrame, column: str, count: int) -> DataFrame:
+def without_ids(rows: DataFrame, ids: DataFrame, column: str | list[str], count: int) -> DataFrame:
     """Rows whose id is not among ``count`` ids: broadcast up to BROADCAST_IDS, shuffled beyond."""
     return rows.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, column, "left_anti")
 

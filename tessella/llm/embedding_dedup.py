@@ -5,9 +5,11 @@
    number of classes by one rule at every size: 2 bits more than it takes to give each class a bucket of its own (16
    at least), and as many tables as a pair at exactly the threshold needs to meet with
    probability RECALL. Closer pairs meet more surely: 0.9996 at cosine 0.95 for 16 bits.
-3. Buckets of two or more classes are dealt into blocks of BLOCK vectors; each pair of blocks of a bucket is compared in one
-   matrix product in double precision. A pair is counted only in the first table where its keys agree, so link
-   counts need no list of pairs; edges for the components are a spanning forest of each block pair. No bucket is capped.
+3. A row (bucket, class) of 16 bytes stands for each key; buckets of two or more classes are dealt into blocks of BLOCK
+   classes, and pairs of blocks into lots of about LOT rows. Only there the vectors join them, in the precision they came in, and a lot's
+   buckets are compared together, in matrix products in double precision. A pair is counted only in the first
+   table where its keys agree, so link counts need no list of pairs; keys are worked out again from the planes, for linked
+   vectors alone. Edges for the components are all links of a bucket of FEW classes at most, else a spanning forest. No bucket is capped.
 
 Null and zero vectors and vectors with null or non-finite components link with nothing. A table may mix lengths; only
 vectors of equal length are compared. Repeated rows are separate vectors of one class. Rows with a null
@@ -23,13 +25,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import written
+from .common import BROADCAST_IDS, removed, written
 from .components import components
+from .words import mix
 
-COSINE, RECALL, BLOCK, SEED = 0.9, 0.92, 512, 11
+COSINE, RECALL, BLOCK, LOT, FEW, SEED = 0.9, 0.92, 512, 20_000, 8, 11
+#: Low bits of a bucket's number that hold its table; the others are a hash of the key.
+TABLE = 12
 
 
 def plan(classes: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
@@ -63,83 +70,155 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return x / np.abs(x).max(1, keepdims=True)
 
 
-def compared(node, x, key, weight, side_a, side_b, table, cosine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of block a with block b (the same one, if equal): counts for each vector, and a spanning forest."""
-    same = side_a is side_b
-    sims = x[side_a] @ x[side_b].T
-    link = sims >= cosine
-    for t in range(table if link.any() else 0):
-        link &= key[side_a, t][:, None] != key[side_b, t][None, :]
-    if same:
-        np.fill_diagonal(link, False)
-    count = np.zeros(len(node), dtype=np.int64)
-    count[side_a] += link @ weight[side_b]
-    if not same:
-        count[side_b] += link.T @ weight[side_a]
-    u, v, seen_a, seen_b = [], [], np.zeros(len(side_a), dtype=bool), np.zeros(len(side_b), dtype=bool)
+def buckets(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """(vectors, tables) of bucket numbers."""
+    t = np.arange(tables, dtype=np.uint64)
+    h = mix(mix(keys(x, bits, tables).view(np.uint64) + np.uint64(x.shape[1])) + t)
+    return ((h >> np.uint64(TABLE) << np.uint64(TABLE)) | t).view(np.int64)
+
+
+def first_tables(x: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The first table where the keys of x[a] and x[b] agree; there is one."""
+    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    key, out = np.concatenate([keys(x[used[i : i + 4096]], bits, tables) for i in range(0, len(used), 4096)]), []
+    mine, other = at[: len(a)], at[len(a) :]
+    for i in range(0, len(a), 65536):  # memory: 65536 pairs x tables at a time
+        out.append((key[mine[i : i + 65536]] == key[other[i : i + 65536]]).argmax(1))
+    return np.concatenate(out)
+
+
+def forest(node: np.ndarray, link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links between the nodes at ``left`` and at ``right`` (the same ones, if equal)."""
+    same = left is right
+    u, v, seen = [], [], [np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)]
     if same:
-        seen_b = seen_a
-    for i in range(len(side_a)):
-        if seen_a[i] or not link[i].any():
+        seen[1] = seen[0]
+    for i in np.flatnonzero(link.any(1)):
+        if seen[0][i]:
             continue
-        seen_a[i], todo = True, [(0, i)]
+        seen[0][i], todo = True, [(0, int(i))]
         while todo:
             s, k = todo.pop()
-            row, seen, other, own = (link[k], seen_b, side_b, side_a) if s == 0 else (link[:, k], seen_a, side_a, side_b)
-            new = np.flatnonzero(row & ~seen)
-            seen[new] = True
-            u += [node[own[k]]] * len(new)
-            v += node[other[new]].tolist()
+            new = np.flatnonzero((link[:, k] if s else link[k]) & ~seen[1 - s])
+            seen[1 - s][new] = True
+            u += [node[(right if s else left)[k]]] * len(new)
+            v += node[(left if s else right)[new]].tolist()
             todo += [(0 if same else 1 - s, int(q)) for q in new]
-    return count, np.array(u, dtype=np.int64), np.array(v, dtype=np.int64)
+    return u, v
+
+
+def compared(node, x, weight, table, side, groups, bits, tables, cosine) -> tuple[np.ndarray, list[int], list[int]]:
+    """Links within the runs of rows that begin at ``groups`` (the end last): counts for each row, and edges.
+
+    ``side``: 0 where a run is one block, else 0 and 1 for its two blocks, which are compared with each other.
+    """
+    count = np.zeros(len(node), dtype=np.int64)
+    size = np.diff(groups)
+    u: list[int] = []
+    v: list[int] = []
+
+    def tally(a, b):
+        """Counts the pairs (a, b) of rows, which met in table[a], if that is their first."""
+        first = first_tables(x, a, b, bits, tables) == table[a]
+        np.add.at(count, a[first], weight[b[first]])
+        np.add.at(count, b[first], weight[a[first]])
+        return first
+
+    pair = np.add.reduceat(side, groups[:-1]) > 0 if len(size) else size
+    for m in np.unique(size[(size <= FEW) & ~pair]).tolist() if len(size) else []:
+        begin = groups[:-1][(size == m) & ~pair]
+        for i in range(0, len(begin), 4096):
+            at = begin[i : i + 4096, None] + np.arange(m)
+            g, p, q = np.nonzero(np.triu(x[at] @ x[at].transpose(0, 2, 1) >= cosine, 1))
+            if len(g):
+                a, b = at[g, p], at[g, q]
+                first = tally(a, b)
+                u += node[a[first]].tolist()
+                v += node[b[first]].tolist()
+    for k in np.flatnonzero((size > FEW) | pair):
+        rows = np.arange(groups[k], groups[k + 1])
+        left = rows[side[rows] == 0]
+        right = rows[side[rows] == 1] if pair[k] else left
+        link = x[left] @ x[right].T >= cosine
+        if not pair[k]:
+            np.fill_diagonal(link, False)
+        p, q = np.nonzero(link if pair[k] else np.triu(link, 1))
+        if len(p):
+            first = tally(left[p], right[q])
+            link[p[~first], q[~first]] = False
+            if not pair[k]:
+                link[q[~first], p[~first]] = False
+            more = forest(node, link, left, right)
+            u += more[0]
+            v += more[1]
+    return count, u, v
 
 
 def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept."""
     v = F.col("v")
     good = v.isNotNull() & ~F.coalesce(F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda e: e != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col).cast("array<double>"), lambda e: e + 0.0).alias("v"))
+    kind = vectors.schema[vector_col].dataType.elementType
+    single = isinstance(kind, T.FloatType)  # carried as they came, compared in double precision
+    zero = F.lit(0.0).cast("float" if single else "double")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col).cast("array<float>" if single else "array<double>"), lambda e: e + zero).alias("v"))
     rows = written(rows.select("vec_id", F.when(good, v).alias("v"), F.when(good, F.sha2(F.to_json(F.struct(v)), 256)).alias("mark")), "vectors")
     marks = rows.where("mark IS NOT NULL").groupBy("mark").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
     marks = written(marks.withColumn("node", F.monotonically_increasing_id()), "marks")
     classes = marks.count()
     bits, tables = plan(classes, cosine, recall)
-    # One vector of each class: a member of the smallest id (equal vectors, so any will do).
+    # One vector of each class; equal vectors, so any will do.
     one = rows.where("mark IS NOT NULL").groupBy("mark").agg(F.first("v").alias("v"))
-    held = written(one.join(marks, "mark").select("node", "weight", "v", F.size("v").alias("dim")), "classes")
 
-    def keyed(batches):
+    def each_length(batches, column):
         for b in batches:
-            dim = b.column(1).to_numpy()
+            dim = pa.compute.list_value_length(b.column(column)).to_numpy()
             for d in np.unique(dim):
                 part = b.filter(pa.array(dim == d))
-                k = keys(_unit(_scaled(_vectors(part.column(2)))), bits, tables)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * tables), pa.array(k.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["node", "dim", "keys"])
-
-    signs = held.select("node", "dim", "v").mapInArrow(keyed, "node bigint, dim int, keys array<bigint>")
-    signs = written(signs, "signs")
-    cells = signs.select("node", "dim", F.posexplode("keys").alias("t", "key"))
-    sizes = cells.groupBy("dim", "t", "key").agg(F.count(F.lit(1)).alias("g")).where("g > 1").withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int"))
-    dealt = written(cells.join(sizes, ["dim", "t", "key"]).select("node", "dim", "t", "key", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "cells")
+                yield part, int(d), _unit(_scaled(_vectors(part.column(column))))
+
+    def packed(batches):
+        for part, d, _ in each_length(batches, 2):
+            raw = part.column(2).flatten().to_numpy().reshape(len(part), d)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in raw], pa.binary())], names=["node", "weight", "raw"])
+
+    def keyed(batches):
+        for part, _, x in each_length(batches, 1):
+            cell = buckets(x, bits, tables)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), tables))], names=["cell", "node"])
+
+    held = written(one.join(marks, "mark").select("node", "weight", "v"), "classes")
+    cells = written(held.select("node", "v").mapInArrow(keyed, "cell bigint, node bigint"), "keys", 1000, packed=False)
+    whole = held.mapInArrow(packed, "node bigint, weight bigint, raw binary")
+    sizes = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("cell", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks")), "buckets", packed=False)
     # A bucket with the same members as one of an earlier table adds nothing, but telling so would cost more than comparing.
+    dealt = cells.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS // 2 else sizes, "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("node", "dim", "t", "key", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    full = dealt.join(held.join(signs, ["node", "dim"]).select("node", "v", "weight", "keys"), "node")
+    dealt = written(dealt.select("cell", "node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side")), "cells", packed=False)
+    lots = max(1, -(-dealt.count() // LOT))
 
     def block(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
-        node, weight, own = (t.column(c).to_numpy() for c in ("node", "weight", "own"))
-        x, table = _unit(_scaled(_vectors(t.column("v")))), t.column("t")[0].as_py()
-        key = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        lo, hi = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        a = np.flatnonzero(own == lo)
-        b = a if lo == hi else np.flatnonzero(own == hi)
-        count, u, v = compared(node, x, key, weight, a, b, table, cosine)
-        some = np.flatnonzero(count)
-        return pa.table({"node": pa.array(np.concatenate([node[some], u])), "peer": pa.array(np.concatenate([np.full(len(some), -1), v]).astype(np.int64)), "links": pa.array(np.concatenate([count[some], np.zeros(len(u), dtype=np.int64)]))})
-
-    found = written(full.groupBy("dim", "t", "key", "x", "y").applyInArrow(block, "node bigint, peer bigint, links bigint"), "found")
+        out: list[list[np.ndarray]] = [[], [], []]
+        raws = t.column("raw").combine_chunks()
+        length = pa.compute.binary_length(raws).to_numpy()
+        columns = {c: t.column(c).to_numpy() for c in ("node", "weight", "cell", "x", "y", "side")}
+        for n in np.unique(length):
+            own = np.flatnonzero(length == n)
+            c = {k: col[own] for k, col in columns.items()}
+            order = np.lexsort((c["node"], c["side"], c["y"], c["x"], c["cell"]))
+            c = {k: col[order] for k, col in c.items()}
+            raw = np.frombuffer(b"".join(raws.take(pa.array(own[order])).to_pylist()), dtype=np.float32 if single else np.float64).reshape(len(own), -1).astype(np.float64)
+            new = np.flatnonzero(np.any([np.diff(c[k], prepend=c[k][0] - 1) != 0 for k in ("cell", "x", "y")], axis=0))
+            side = np.where(c["x"] == c["y"], 0, c["side"])
+            count, u, v = compared(c["node"], _unit(_scaled(raw)), c["weight"], c["cell"] & ((1 << TABLE) - 1), side, np.append(new, len(own)), bits, tables, cosine)
+            some = np.flatnonzero(count)
+            for column, a, b in zip(out, (c["node"][some], np.full(len(some), -1), count[some]), (u, v, np.zeros(len(u))), strict=True):
+                column += [a, np.asarray(b, dtype=np.int64)]
+        return pa.table({k: pa.array(np.concatenate([*col, np.zeros(0)]).astype(np.int64)) for k, col in zip(("node", "peer", "links"), out, strict=True)})
+
+    full = dealt.join(whole, "node").withColumn("lot", F.pmod(F.xxhash64("cell", "x", "y"), F.lit(lots)))
+    found = written(full.groupBy("lot").applyInArrow(block, "node bigint, peer bigint, links bigint"), "found")
+    removed(held, cells, sizes, dealt)
     links = found.where("peer < 0").groupBy("node").agg(F.sum("links").alias("links"))
     group = components(found.where("peer >= 0").select(F.col("node").alias("u"), F.col("peer").alias("v")))
     joined = marks.join(links, "node", "left").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))

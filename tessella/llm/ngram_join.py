@@ -25,7 +25,7 @@ A document's set: the distinct shingles of ``WORDS`` words, as 64-bit hashes. Tw
 5. Components are computed distributedly.
 
 Null or empty texts have no
-shingles and link with nothing. Rows that share an id are one document of the join (they link); rows
+shingles and link with nothing. Rows that share an id are placed each by its own text; different sets that stand under one id count as linked. Rows
 with a null id link with nothing and have a null component. An empty table gives no rows; extra columns are ignored,
 and kept by ``keep_one`` whatever their names.
 """
@@ -316,9 +316,9 @@ def _starred(t: pa.Table) -> pa.Table:
 def filed_nodes(rows: DataFrame) -> DataFrame:
     """From signature rows (token, node, n): (file, node, n), all nodes of each signature filed under its smallest node."""
     leader = rows.groupBy("token").agg(F.min("node").alias("file"), F.count(F.lit(1)).alias("g")).where("g > 1").drop("g")
-    leader = written(leader, "leaders")
+    leader = written(leader, "leaders", packed=False)
     side = F.broadcast(leader) if leader.count() <= BROADCAST_IDS // 2 else leader  # a frequent token's rows stay spread out
-    filed = written(rows.join(side, "token").select("file", "node", "n").distinct(), "files")
+    filed = written(rows.join(side, "token").select("file", "node", "n").distinct(), "files", packed=False)
     removed(leader)
     return filed
 
@@ -366,28 +366,28 @@ def other_links(filed: DataFrame, found: DataFrame, sets: DataFrame) -> DataFram
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = written(texts.mapInArrow(_first, "doc_id bigint, n int, mark binary, tokens array<bigint>"), "first", TEXTS)
+    first = written(texts.mapInArrow(_first, "doc_id bigint, n int, mark binary, tokens array<bigint>"), "first", TEXTS, packed=False)
     known = first.where("n > 0 AND doc_id IS NOT NULL")
     reps = known.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     reps = written(reps.select("mark", "node"), "copied")
     side = F.broadcast(reps) if reps.count() <= BROADCAST_IDS // 2 else reps  # the rows of a set with many copies stay spread out
-    members = written(known.select("doc_id", "n", "mark").join(side, "mark", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "members")
-    copies = members.where("doc_id <> node").select("doc_id").distinct()
-    nodes = without_ids(known, copies, "doc_id", copies.count()).select(F.col("doc_id").alias("node"), "n", "tokens")
+    members = known.select("doc_id", "n", "mark").join(side, "mark", "left").select("doc_id", "n", "mark", F.coalesce("node", "doc_id").alias("node"))
+    copies = written(members.where("doc_id <> node").select("doc_id", "mark").distinct(), "copies")
+    nodes = without_ids(known, copies, ["doc_id", "mark"], 3 * copies.count()).select(F.col("doc_id").alias("node"), "n", "tokens")
 
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(nodes))
     named = texts.withColumnRenamed("doc_id", "node")
     short = written(nodes.mapInArrow(_filled(frequent, False), "node bigint").distinct(), "short", TEXTS)
-    more = written(only_ids(named, short, "node", short.count()).mapInArrow(_extended(frequent), "token bigint, node bigint, n int, f int, combined boolean"), "extended", TEXTS)
+    more = written(only_ids(named, short, "node", short.count()).mapInArrow(_extended(frequent), "token bigint, node bigint, n int, f int, combined boolean"), "extended", TEXTS, packed=False)
     rare = nodes.mapInArrow(_filled(frequent, True), "node bigint, n int, tokens array<bigint>").select(F.explode("tokens").alias("token"), "node", "n", F.lit(0).alias("f"))
-    prefix = written(shared(rare.unionAll(more.where("NOT combined").drop("combined"))), "prefix", TEXTS)
+    prefix = written(shared(rare.unionAll(more.where("NOT combined").drop("combined"))), "prefix", TEXTS, packed=False)
     pairs = written(rare_pairs(prefix), "pairs")
     filed = filed_nodes(prefix.where(F.col("df") > FEW).select("token", "node", "n").unionAll(more.where("combined").select("token", "node", "n")))
     frequent.destroy()
-    removed(reps, short, more, prefix)
+    removed(copies, short, more, prefix)
 
     wanted = written(filed.select("node").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct(), "wanted")
-    sets = written(only_ids(named, wanted, "node", wanted.count()).mapInArrow(_whole, "node bigint, n int, tokens binary"), "sets", TEXTS)
+    sets = written(only_ids(named, wanted, "node", wanted.count()).mapInArrow(_whole, "node bigint, n int, tokens binary"), "sets", TEXTS, packed=False)
     left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified, "u bigint, v bigint")
     found = components(links.unionAll(first_links(filed, sets)))
@@ -397,7 +397,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         removed(before)
     removed(rest, pairs, filed, wanted, sets)
 
-    placed = members.join(found, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component_id"))
+    placed = members.drop("mark").join(found, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component_id"))
     alone = first.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return placed.unionAll(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
