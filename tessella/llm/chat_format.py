@@ -33,6 +33,7 @@ RECORD = T.StructType(
     [T.StructField("messages", T.ArrayType(_fields("role", "content"))), T.StructField("conversations", T.ArrayType(_fields("from", "value")))]
     + _fields("prompt", "completion", "response", "instruction", "input", "output", "system", "role", "text").fields
 )
+#: Names of roles in JSON records; the roles of turn rows stay as they are.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -92,7 +93,7 @@ def _instruction(answer: str, *before: tuple[str, str]):
 
 def _layouts() -> list[tuple[str, list[str], object]]:
     found = [
-        ("turn rows", ["role", "text"], lambda r: F.array(_turn(_named(r["role"]), r["text"]))),
+        ("turn rows", ["role", "text"], lambda r: F.array(_turn(r["role"], r["text"]))),
         ("messages", ["messages[].role", "messages[].content"], lambda r: F.transform(r["messages"], lambda m: _turn(_named(m["role"]), m["content"]))),
         ("from/value", ["conversations[].from", "conversations[].value"], lambda r: F.transform(r["conversations"], lambda m: _turn(_named(m["from"]), m["value"]))),
     ]
@@ -186,7 +187,7 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE role END, '') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,

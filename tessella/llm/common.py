@@ -13,7 +13,7 @@ BROADCAST_IDS = 1_000_000
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch with whole texts in it: the default of 10,000 takes hundreds of MB beside the heap.
-TEXTS = 200
+TEXTS = 1000
 
 _own: dict[str, str] = {}
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import TEXTS, written
 from .tokenize import encoder
 from .words import slices, trim
 
@@ -149,8 +149,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, id_col:
 
 def packed(docs: DataFrame, path: str, size: int = SIZE, end: int = END, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces with sequence_id and offset."""
-    small_batches(docs.sparkSession)
-    made = written(pieces(docs, path, size, end, id_col, text_col), "pieces")
+    made = written(pieces(docs, path, size, end, id_col, text_col), "pieces", TEXTS)
     part = made.where(F.col("length") < size)
     blocks = max(1, -(-part.count() // block))
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, written
+from .common import TEXTS, shared_dir, written
 from .tokenize import encoder
 from .words import slices, trim
 
@@ -66,7 +66,6 @@ def _system(uri: str):
 
 def write_shards(docs: DataFrame, path: str, folder: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files and returns a table of them: shard, file, records, tokens, base (tokens in the shards before)."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
 
@@ -94,7 +93,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end: int = END, id_col
             f.write(np.array([*offsets, at], dtype="<u8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([len(offsets)], pa.int64()), pa.array([tokens], pa.int64())], names=["shard", "file", "records", "tokens"])
 
-    made = written(rows.mapInArrow(run, "shard bigint, file string, records bigint, tokens bigint"), "shards")
+    made = written(rows.mapInArrow(run, "shard bigint, file string, records bigint, tokens bigint"), "shards", TEXTS)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return written(made.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))), "files")
 

@@ -15,7 +15,8 @@ from its own function words, so that a score depends on the text alone; the scor
 function of the margin over the language's threshold, hence 0.5 is the cut for every language.
 
 Null and empty texts have no words and get the score of the bias alone. Without labelled rows of both
-classes every score is 0. Repeated rows are scored alike. Extra columns are ignored.
+classes every score is 0. Repeated rows are scored alike. Rows with a null id are scored, never learnt from, and not
+held out. Extra columns are ignored, and kept by ``keep_clean`` whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import TEXTS, free, small_batches, written
 from .words import PUNCTUATION, slices, trim, word_hashes
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
@@ -221,31 +222,32 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_c
     return rows["text"].tolist(), rows["y"].to_numpy(dtype=np.float64)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns in ``keep`` and toxicity (double), which no column in keep may be named."""
-    small_batches(docs.sparkSession)
+def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, score: str = "toxicity") -> DataFrame:
+    """The columns in ``keep`` and one named by ``score`` (double), which no column in keep may be named."""
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 8 MB, whatever the input
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text"))
 
-    def score(batches):
+    def run(batches):
         for b in batches:
-            s = shared.value.scores(b.column("__text"))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "toxicity"])
+            s = shared.value.scores(b.column(b.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "score"])
         trim()
 
-    schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[:-1])] + ["toxicity double"])
-    return rows.mapInArrow(score, schema).toDF(*keep, "toxicity")
+    schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[:-1])] + ["score double"])
+    return rows.mapInArrow(run, schema).toDF(*keep, score)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows scored below 0.5, with their columns."""
-    columns = docs.columns
-    return scored(docs, train(*sample(docs, labels))).where("toxicity < 0.5").select(*[f"`{c}`" for c in columns])
+    """Rows scored below 0.5, with their columns, whatever these are named. Rows go through once, so the session's Arrow batches stay at TEXTS rows."""
+    columns, score = docs.columns, free("toxicity", docs.columns)
+    small_batches(docs.sparkSession)
+    return scored(docs, train(*sample(docs, labels)), score=score).where(F.col(score) < 0.5).select(*[f"`{c}`" for c in columns])
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(*sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    rows = scored(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    return rows.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+    rows = written(scored(docs.select("doc_id", "text"), model, keep=["doc_id"]), "scores", TEXTS)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return rows.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

@@ -5,15 +5,15 @@ accepted URLs and one of rejected ones, share a table of character-gram counts.
 The probability of a character mixes all orders from 0 to ORDER, each with the weight of
 its context's count against MIX (an unseen context leaves the shorter one's estimate).
 A URL is blocked when the log ratio (rejected over accepted), divided by its
-length, exceeds a threshold calibrated on a held-out fifth of the URLs: above the share
-1 - MAX_FALSE of the accepted ones, and half way to the low end of the rejected ones when
-the two lie apart. The counts come from all other URLs, in aggregations that combine on the
+length, exceeds a threshold calibrated on the URLs of a held-out fifth of the hosts, so on hosts whose names the
+model hasn't seen: above the share 1 - MAX_FALSE of the accepted ones, and half way to the low end of the rejected ones when
+the two lie apart and some are held out. The counts come from all other URLs, in aggregations that combine on the
 map side. They are kept for the grams themselves, so the table grows with the input. Each
 different window of ORDER + 1 characters is looked up once; the smallest tables, up to
 BROADCAST_GRAMS rows together, are broadcast, the others shuffled.
 
-Labels come from seed terms: a URL whose host has one is a rejected example, any other an
-accepted one. A list of labelled URLs can be passed instead.
+Labelled URLs can be passed as ``examples``. Without them labels come from seed terms: a URL whose host has one is a
+rejected example, any other an accepted one, so some accepted examples may be bad ones that no term names.
 
 Null URLs and URLs without ``://`` have an empty host and path, no rule, and are allowed, as
 are all URLs without a rule when there are no rejected or no accepted examples. Very long
@@ -123,11 +123,13 @@ def judged(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", rule
     rows = pages.select(F.col(id_col).alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"))
     seeds = (examples.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "rejected") if examples is not None
              else rows.where("host <> ''").select("host", "path", F.greatest(F.lit(False), *[F.contains("host", F.lit(t)) for t in seed_terms]).alias("rejected")))
-    seeds = seeds.withColumn("fold", F.pmod(F.xxhash64("host", "path"), F.lit(5)))
+    seeds = seeds.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(5)))
     model = written(train(seeds.where("fold <> 0").select("host", "path", "rejected")), "url_model")
+    taught = not model.where("r > 0").isEmpty()
     held = scored(seeds.where("fold = 0").withColumn("n", F.monotonically_increasing_id()), ["n", "host", "path", "rejected"], model)
     cut = held.agg(F.percentile_approx(F.when(~F.col("rejected"), F.col("score")), 1 - MAX_FALSE, 10000).alias("a"), F.percentile_approx(F.when(F.col("rejected"), F.col("score")), 0.05, 10000).alias("r"))
-    cut = written(cut.select(F.when(F.col("a").isNotNull() & F.col("r").isNotNull(), F.greatest(F.col("a"), (F.col("a") + F.col("r")) / 2)).alias("threshold")), "url_threshold")
+    above = F.greatest(F.col("a"), F.coalesce((F.col("a") + F.col("r")) / 2, F.col("a")))
+    cut = written(cut.select((above if taught else F.lit(None).cast("double")).alias("threshold")), "url_threshold")
     rows = rows.withColumn("hit", ruled(F.col("host"), F.col("path"), rules))
     left = rows.where("hit IS NULL").withColumn("n", F.monotonically_increasing_id()).select("n", "page_id", "host", "path")
     decided = rows.where("hit IS NOT NULL").select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict"), F.lit(None).cast("double").alias("score"))

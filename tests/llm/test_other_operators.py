@@ -128,7 +128,7 @@ def test_formatting_is_reversible_and_masks_assistants(spark):
     rows += [(20, 1, "user", "b", "e", 5), (20, 1, "user", "a", "e", 5), (20, 1, "assistant", "c", "e", 5), (20, None, "user", "z", "e", 5), (None, 0, "user", "none", "e", 5)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, piece string, n int")
     out = chat_format.parsed(chat_format.formatted(chat_format.table_turns(df))).collect()
-    name = {None: "", "human": "user"}
+    name = {None: ""}  # roles of turn rows stay as they are
     want = {}
     for c, t, r, x, *_ in sorted(rows, key=lambda r: (r[0] or -1, r[1] is not None, r[1] or 0, name.get(r[2], r[2]), r[3] or "")):
         want.setdefault(c, []).append((name.get(r, r), x or ""))
