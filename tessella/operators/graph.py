@@ -91,12 +91,29 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+GRAM = 3
+
+
+def containing(terms: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
+    """terms (term, not empty) and the distinct texts that hold them in one of the columns, in any case: (term, *columns).
+
+    An equality join on the first GRAM characters of a term (all of a shorter one) with the texts' runs of characters, then the
+    comparison itself; no term meets a text that doesn't hold its beginning.
+    """
+    low = [F.lower(F.coalesce(c, F.lit(""))) for c in columns]
+    runs = lambda t: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.array(*[F.substring(t, i, F.lit(n)) for n in range(1, GRAM + 1)])))
+    kept = texts.select(*columns).distinct()
+    index = kept.select(*columns, F.explode(F.array_distinct(F.concat(*[runs(t) for t in low]))).alias("gram"))
+    asked = terms.select("term", F.substring("term", 1, GRAM).alias("gram")).distinct()
+    fits = F.greatest(*[F.contains(t, F.col("term")) for t in low]) if len(low) > 1 else F.contains(low[0], F.col("term"))
+    return index.join(asked, "gram").where(fits).select("term", *columns)
+
+
 def _matching(queries: DataFrame, entities: DataFrame, terms: str) -> DataFrame:
-    """(query_id, entity) pairs where a term is part of the entity's name or type; the questions' terms go to the entities."""
+    """(query_id, entity) pairs where a term is part of the entity's name or type."""
     asked = queries.select("query_id", F.explode(terms).alias("term")).where("term <> ''").distinct()
-    fits = F.contains(F.lower("entity_name"), F.col("term")) | F.contains(F.lower("entity_type"), F.col("term"))
-    each = asked.select("term").distinct()
-    return entities.join(F.broadcast(each) if each.count() <= 100_000 else each, fits).join(asked, "term").drop("term").distinct()
+    named = containing(asked, entities, ["entity_name", "entity_type"])
+    return named.join(asked, "term").select("query_id", "entity_name", "entity_type").distinct().join(entities, ["entity_name", "entity_type"])
 
 
 def search(queries: DataFrame, mentions: DataFrame, entities: DataFrame, pages: DataFrame | None = None, k: int = 20, divisor: float = 100.0) -> DataFrame:
@@ -130,9 +147,12 @@ def aggregate_entities(queries: DataFrame, mentions: DataFrame, pages: DataFrame
     for name, types in AGGREGATED_TYPES.items():
         own = (F.when if own is None else own.when)(F.lower("entity_type").isin(name.lower(), *types), name)
     rows = mentions.withColumn("kind", own).where("kind IS NOT NULL").join(pages.select("page_id", "url", "title"), "page_id")
-    fits = F.contains(F.lower("url"), F.col("term")) | F.contains(F.lower("title"), F.col("term")) | F.contains(F.lower("entity_name"), F.col("term"))
-    hit = rows.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, (rows["kind"] == asked["kind"]) & fits).drop(asked["kind"])
-    hit = hit.select("query_id", "entity_name", "entity_type", "page_id", "url", "title", "count").distinct()
+    named = containing(asked, rows, ["entity_name"]).join(asked, "term").select("query_id", "kind", "entity_name").distinct()
+    paged = containing(asked, pages, ["url", "title"]).join(asked, "term").select("query_id", "kind", "url", "title").distinct()
+    same = lambda c: F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}"))
+    one = rows.join(named, ["kind", "entity_name"])
+    two = rows.alias("r").join(paged.alias("p"), same("kind") & same("url") & same("title")).select("query_id", "r.*")
+    hit = one.unionByName(two).select("query_id", "entity_name", "entity_type", "page_id", "url", "title", "count").distinct()
     out = hit.groupBy("query_id", "entity_name", "entity_type").agg(F.countDistinct("page_id").alias("page_count"), F.sum("count").alias("total_mentions"), F.min(F.struct("url", "title")).alias("p"))
     out = _top(out.where(F.col("total_mentions") > least), k)
     return out.select("query_id", "entity_name", "entity_type", "page_count", "total_mentions", F.col("p.url").alias("source"), F.col("p.title").alias("title"), F.least(F.col("total_mentions") / divisor, F.lit(1.0)).alias("score"), "rank")

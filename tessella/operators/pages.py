@@ -131,8 +131,10 @@ def expand_frontier(seeds: DataFrame, link_table: DataFrame, primary_host: str,
         step = step.join(seen.select("url"), "url", "left_anti")
         if visited is not None:
             step = step.join(visited.select("url").distinct(), "url", "left_anti")
+        # With a folder for checkpoints each round is cut off from the ones before; else the kept rounds are the caller's to unpersist.
         front = step.checkpoint() if seeds.sparkSession.sparkContext.getCheckpointDir() else step.persist()
         if front.isEmpty():
+            front.unpersist()
             break
         seen = seen.unionByName(front)
     return seen

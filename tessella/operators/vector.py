@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from ..functions.text import words
 
 #: Query vectors up to which the queries go to every task (64 dimensions: 26 MB in doubles); more run in rounds of that size.
 QUERIES_AT_ONCE = 50_000
+#: Queries and corpus rows of one matrix product (a block of 16 MB).
+QUERY_BLOCK, ROW_BLOCK = 1024, 2048
 
 
 def _double(v: Column) -> Column:
@@ -46,57 +49,83 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", q
     """The k nearest corpus rows of each query: query_id, doc_id, distance, rank. Ties go to the smaller id.
 
     The corpus stays where it is: each task compares its rows with the queries in blocks, as matrix products, and keeps its own
-    k best a query; only those are shuffled and ranked. ``match`` names a query column (an array of allowed values) and a
+    k best a query; only those are shuffled and ranked. The queries are read when this is called, in rounds. Rows of one query id are one query
+    with several vectors, whose best distance to a row counts; rows of one doc_id count as one. Only vectors of equal length are compared. ``match`` names a query column (an array of allowed values) and a
     corpus column to filter by. Distances are rounded to ``digits`` places before ranking.
     """
     spark = corpus.sparkSession
     cols = [F.col(query_id).cast("long").alias("q"), _double(F.col(query_vector)).alias("v")] + ([F.col(match[0]).cast("array<string>").alias("m")] if match else [])
-    asked = queries.select(*cols).where("v IS NOT NULL")
+    asked = queries.select(*cols).where("v IS NOT NULL").orderBy("q", "v")
     rows = corpus.select(F.col(doc_id).cast("long").alias("d"), _double(F.col(vector)).alias("v"), (F.col(match[1]).cast("string") if match else F.lit(None).cast("string")).alias("m")).where("v IS NOT NULL")
-    found = None
-    last = None
+    found, at = None, 0
     while True:
-        part = (asked if last is None else asked.where(F.col("q") > last)).orderBy("q").limit(QUERIES_AT_ONCE).toPandas()
-        if not len(part) and found is not None:
-            break
-        shared = spark.sparkContext.broadcast((part["q"].to_numpy(dtype=np.int64), np.array(part["v"].tolist(), dtype=np.float64).reshape(len(part), -1 if len(part) else 0), [set(x) for x in part["m"]] if match else None))
-        best = rows.mapInArrow(_block_search(shared, k, metric, digits), "query_id bigint, doc_id bigint, distance double")
-        found = best if found is None else found.unionAll(best)
+        part = asked.offset(at).limit(QUERIES_AT_ONCE).toPandas()
+        if len(part) or found is None:
+            shared = spark.sparkContext.broadcast((part["q"].to_numpy(dtype=np.int64), part["v"].tolist(), [set(x) for x in part["m"]] if match else None))
+            best = rows.mapInArrow(_block_search(shared, k, metric, digits), "query_id bigint, doc_id bigint, distance double")
+            found = best if found is None else found.unionAll(best)
         if len(part) < QUERIES_AT_ONCE:
             break
-        last = int(part["q"].max())
+        at += QUERIES_AT_ONCE
+    found = found.repartition("query_id").groupBy("query_id", "doc_id").agg(F.min("distance").alias("distance"))  # one shuffle for both steps
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _by_length(vectors: list) -> dict[int, np.ndarray]:
+    """Places of the vectors of each length."""
+    size = np.array([len(v) for v in vectors], dtype=np.int64)
+    return {int(n): np.flatnonzero(size == n) for n in np.unique(size)}
+
+
 def _block_search(shared, k: int, metric: str, digits: int):
+    """Beside the queries a task holds its k best of each query and one block of distances (QUERY_BLOCK x ROW_BLOCK)."""
+
     def run(batches: Iterator[pa.RecordBatch]):
-        ids, queries, allowed = shared.value
+        ids, raw, allowed = shared.value
         if not len(ids):
             return
-        best_d = np.full((len(ids), 0), 0.0)
-        best_i = np.zeros((len(ids), 0), dtype=np.int64)
+        kinds_of = np.array([frozenset(m) for m in allowed], dtype=object) if allowed else None
+        sides = {n: (at, np.array([raw[i] for i in at], dtype=np.float64).reshape(len(at), n)) for n, at in _by_length(raw).items()}
+        best_d, best_i = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), dtype=np.int64)
         for b in batches:
-            doc, kind = b.column(0).to_numpy(), b.column(2).to_pylist() if allowed else None
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(doc), -1)
-            for at in range(0, len(doc), 4096):
-                part, own = x[at : at + 4096], doc[at : at + 4096]
-                d = _distances(queries, part, metric)
-                d = np.round(d, digits) + 0.0
-                if allowed:
-                    kinds = kind[at : at + 4096]
-                    for i, ok in enumerate(allowed):
-                        d[i, [c not in ok for c in kinds]] = np.inf
-                d, i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(own, d.shape)], 1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+            doc, kind = b.column(0).to_numpy(), np.array(b.column(2).to_pylist(), dtype=object)
+            lists = b.column(1)
+            length = pc.list_value_length(lists).to_numpy()
+            for n, (places, queries) in sides.items():
+                own = np.flatnonzero(length == n)
+                x = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), n)
+                for r in range(0, len(own), ROW_BLOCK):
+                    rows, part = own[r : r + ROW_BLOCK], x[r : r + ROW_BLOCK]
+                    for c in range(0, len(places), QUERY_BLOCK):
+                        at = places[c : c + QUERY_BLOCK]
+                        d = np.round(_distances(queries[c : c + QUERY_BLOCK], part, metric), digits) + 0.0
+                        if allowed:
+                            for ok in set(kinds_of[at]):
+                                d[np.ix_(np.array([m == ok for m in kinds_of[at]]), np.array([t not in ok for t in kind[rows]]))] = np.inf
+                        best_d[at], best_i[at] = _smallest(best_d[at], best_i[at], d, doc[rows], k)
         ok = np.isfinite(best_d)
-        q = np.broadcast_to(ids[:, None], best_d.shape)[ok]
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best_i[ok]), pa.array(best_d[ok])], names=["query_id", "doc_id", "distance"])
+        for c in range(0, len(ids), QUERY_BLOCK):
+            some = ok[c : c + QUERY_BLOCK]
+            q = np.broadcast_to(ids[c : c + QUERY_BLOCK, None], some.shape)[some]
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best_i[c : c + QUERY_BLOCK][some]), pa.array(best_d[c : c + QUERY_BLOCK][some])], names=["query_id", "doc_id", "distance"])
 
     return run
 
 
+def _smallest(best_d: np.ndarray, best_i: np.ndarray, d: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest of each row's best and new distances, ties to the smaller id: a partition by distance leaves few to sort."""
+    i = np.broadcast_to(doc, d.shape)
+    if d.shape[1] > 2 * k:
+        last = np.partition(d, k - 1, axis=1)[:, k - 1]
+        many = (d <= last[:, None]).sum(1).max()
+        near = np.argpartition(d, min(many, d.shape[1]) - 1, axis=1)[:, :many]  # all ties of the kth are among them
+        d, i = np.take_along_axis(d, near, 1), np.take_along_axis(i, near, 1)
+    d, i = np.concatenate([best_d, d], 1), np.concatenate([best_i, i], 1)
+    order = np.lexsort((i, d), axis=1)[:, :k]
+    return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+
+
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     dots = a @ b.T
     na, nb = (a * a).sum(1), (b * b).sum(1)
@@ -118,30 +147,24 @@ def filtered(df: DataFrame, filters: dict | None) -> DataFrame:
     return df
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
 def hashed_embedding(text: Column, dim: int = 64, limit: int = 8000) -> Column:
     """The offline embedding: signed feature hashing of lower-cased words, scaled to unit length (zero for no words).
 
-    Arrow batches; the same hashes and values as ``embed_words``, which is native and takes whole texts.
+    Words are cut and hashed natively; Arrow batches of their slots and signs are counted without a loop. The same hashes and
+    values as ``embed_words``, which is native throughout and takes whole texts.
     """
-
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        import xxhash
-
-        def one(t: str | None) -> list[float]:
-            x = np.zeros(dim)
-            for w in (t or "")[:limit].lower().split():
-                x[_signed(xxhash.xxh64_intdigest(w, 42)) % dim] += 1.0 if xxhash.xxh64_intdigest(w + "#", 42) % 2 == 0 else -1.0
-            n = np.sqrt(x @ x)
-            return (x / n if n else x).tolist()
-
-        return texts.map(one)
-
-    return run(text)
+    slot = F.transform(words(F.lower(F.substring(text, 1, limit))), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)) * 2 + F.pmod(F.xxhash64(F.concat(w, F.lit("#"))), F.lit(2)))
+
+    @F.arrow_udf("array<double>")
+    def run(slots: pa.Array) -> pa.Array:
+        lists = slots.fill_null([])
+        code, row = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        x = np.bincount(row * dim + code // 2, 1.0 - 2.0 * (code % 2), minlength=len(lists) * dim).reshape(len(lists), dim)
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+
+    return run(slot)
 
 
 def embed(df: DataFrame, text_col: str, model=None, dim: int = 64, limit: int = 8000, out: str = "embedding") -> DataFrame:

@@ -159,12 +159,6 @@ def keyword_categories(spark, sf):
 
 @query("keywords_tfidf", S.TFIDF)
 def keywords_tfidf(spark, sf):
-    """Over the first 10,000 characters, as its SQL; keywords_tfidf_whole reads everything."""
-    return entities.tfidf_keywords(_wide(spark, sf, "documents").select("doc_id", "text"), 5, limit=10_000).withColumn("rank", F.col("rank").cast("int"))
-
-
-@query("keywords_tfidf_whole")
-def keywords_tfidf_whole(spark, sf):
     return entities.tfidf_keywords(_wide(spark, sf, "documents").select("doc_id", "text"), 5).withColumn("rank", F.col("rank").cast("int"))
 
 
@@ -179,17 +173,10 @@ def _mentions(spark, sf):
 
 @query("entity_patterns", S.ENTITY_PATTERNS)
 def entity_patterns(spark, sf):
-    """The literal rules, on sentences that they are made for; entity_patterns_whole and page_entities read the texts of the tables."""
-    said = F.concat(F.lit("The robotics lab of Prof. Ada Byron studies data science. Department of physics. "), F.substring("text", 1, 40))
-    u, t = F.concat(F.lit("https://x.example.com/faculty/"), F.col("source"), F.lit("-name/")), F.lit("Vision Systems Lab of Dr. Ada Byron")
-    rows = _t(spark, sf, "documents").where("lang = 'en'").select("doc_id", entities.page_entities(said, u, t).alias("e"))
-    return rows.select("doc_id", F.array_join("e.persons", "|").alias("persons"), F.get("e.labs", F.lit(0)).alias("lab"), F.array_contains("e.topics", "Data Science").alias("data_science"), F.size("e.organizations").alias("organizations"))
-
-
-@query("entity_patterns_whole")
-def entity_patterns_whole(spark, sf):
-    """The rules on the whole texts of all documents, which have neither URL nor title."""
-    return _wide(spark, sf, "documents").select("doc_id", F.explode(F.array(entities.page_entities(F.coalesce("text", F.lit("")), F.lit(""), F.lit("")))).alias("e")).select("doc_id", "e.labs", "e.topics", "e.organizations")
+    """The rules on the whole texts of all documents, which have neither URL nor title; what they find in lower case."""
+    e = entities.page_entities(F.coalesce("text", F.lit("")), F.lit(""), F.lit(""))
+    rows = _wide(spark, sf, "documents").select("doc_id", F.explode(F.array(e)).alias("e"))
+    return rows.select("doc_id", *[F.array_join(F.array_sort(F.transform(f"e.{k}", F.lower)), "|").alias(k) for k in ("labs", "topics", "organizations")])
 
 
 @query("page_entities")
@@ -352,7 +339,7 @@ def _page_hits(spark, sf):
     title = F.element_at(F.array(*[F.lit(x) for x in ("Faculty of physics", "People directory", "All labs", "About")]), (F.col("page_id") % 4 + 1).cast("int"))
     rows = _t(spark, sf, "pages").select(
         "page_id", (F.col("page_id") % 7).alias("query_id"), F.concat(urls.part(u, "scheme"), F.lit("://"), urls.part(u, "host"), path, (F.col("page_id") % 40).cast("string"), F.lit("/")).alias("source"), kind.alias("page_type"), F.concat(title, F.lit(" "), (F.col("page_id") % 9).cast("string")).alias("title"),
-        urls.part(u, "host").alias("domain"), F.substring("html", 1, 200).alias("text"), ((F.col("page_id") * 37 % 101) / 1000.0).alias("rrf_score"), (F.col("page_id") % 4).cast("long").alias("num_strategies"), (F.col("page_id") % 3 == 0).alias("matches_dept"),
+        urls.part(u, "host").alias("domain"), F.col("html").alias("text"), ((F.col("page_id") * 37 % 101) / 1000.0).alias("rrf_score"), (F.col("page_id") % 4).cast("long").alias("num_strategies"), (F.col("page_id") % 3 == 0).alias("matches_dept"),
     )
     question = F.element_at(F.array(*[F.lit(x) for x in S.QUESTIONS]), (F.col("query_id") + 1).cast("int"))
     rows = rows.withColumn("query", question)
@@ -432,17 +419,9 @@ def adaptive_k(spark, sf):
 
 @query("bm25", S.BM25)
 def bm25(spark, sf):
-    """With the first 8 longer words of each passage, as its SQL; bm25_whole searches with all words."""
-    return _searched(spark, sf, lambda w: F.slice(F.filter(w, lambda x: F.length(x) > 3), 1, 8))
-
-
-@query("bm25_whole")
-def bm25_whole(spark, sf):
-    return _searched(spark, sf, lambda w: w)
-
-
-def _searched(spark, sf, terms):
-    asked = _t(spark, sf, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), terms(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("terms"))
+    """With all words of each passage of the query set."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    asked = _t(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), words.alias("terms"))
     return vector.bm25(asked, _t(spark, sf, "documents").select("doc_id", "text"), 10).withColumn("rank", F.col("rank").cast("int"))
 
 
@@ -469,18 +448,8 @@ def hybrid_retrieval(spark, sf):
 
 @query("query_analysis", S.QUERY_ANALYSIS)
 def query_analysis(spark, sf):
-    """Over the first 30 characters of each question, as its SQL; query_analysis_whole reads everything."""
-    return _analysed(spark, sf, F.substring("text", 1, 30))
-
-
-@query("query_analysis_whole")
-def query_analysis_whole(spark, sf):
-    return _analysed(spark, sf, F.col("text"))
-
-
-def _analysed(spark, sf, text):
     q = F.element_at(F.array(*[F.lit(x) for x in S.QUESTIONS]), (F.col("conv_id") % 7 + 1).cast("int"))
-    rows = _t(spark, sf, "conversations").where("turn = 0").select("conv_id", F.concat(q, F.lit(" "), text).alias("query"))
+    rows = _t(spark, sf, "conversations").where("turn = 0").select("conv_id", F.concat(q, F.lit(" "), F.col("text")).alias("query"))
     out = analyze.analyze(rows)
     return out.select("conv_id", F.array_join("intents", ",").alias("intents"), "query_type", F.array_join("entities.acronyms", ",").alias("acronyms"), F.size("entities.keywords").alias("keywords"), F.size("entities.proper_nouns").alias("proper_nouns"), "is_list_query", "is_faculty_query", F.col("search_strategy.graph_weight").alias("graph_weight"), F.array_join("expansion_terms", ",").alias("expansion"), F.array_join("target_page_types", ",").alias("targets"))
 
@@ -579,7 +548,9 @@ def incremental_dedupe(spark, sf):
 
 @query("event_counters", S.EVENT_COUNTERS)
 def event_counters(spark, sf):
-    return _t(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean_value"))
+    from ..streaming.jobs import progress
+
+    return progress(_t(spark, sf, "events"), "event_type", F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("largest"))
 
 
 @query("context_pack", S.CONTEXT_PACK)

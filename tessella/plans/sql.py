@@ -161,15 +161,25 @@ KEYWORD_CATEGORIES = "WITH d AS (SELECT doc_id, lower(text || ' ' || source || '
 _W = r"[\p{L}\p{N}_]+"
 _STOP = "(" + ", ".join(q(w) for w in ("the a an and or but in on at to for of with by from as is are was were be this that these those what which who when where how why all about tell me").split()) + ")"
 TFIDF = f"""
-WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(substr(coalesce(text, ''), 1, 10000)), '{_W}'), lambda w: length(w) > 2 AND w NOT IN {_STOP}) AS w FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '{_W}'), lambda w: length(w) > 2 AND w NOT IN {_STOP}) AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS keyword FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
 tf AS (SELECT doc_id, keyword, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT keyword, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT doc_id, keyword, round(tf * ln((1 + (SELECT count(*) FROM documents)) / (1 + df)), 6) AS score FROM tf JOIN df USING (keyword))
 SELECT doc_id, keyword, score, (row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, keyword))::INT AS rank FROM s QUALIFY rank <= 5"""
 
-ENTITY_PATTERNS = """
-SELECT doc_id, 'Ada Byron|' || upper(source[1:1]) || regexp_replace(source[2:], '[0-9]+$', '') || regexp_extract(source, '[0-9]+$') || ' Name|X.Example.Com' AS persons, 'Prof' AS lab, true AS data_science, 1 AS organizations
-FROM documents WHERE lang = 'en'"""
+
+
+def _named(patterns, without=()) -> str:
+    """What the patterns find in a text t, joined."""
+    every = " || ".join(f"regexp_extract_all(t, {q(p)}, 1)" for p in patterns)
+    kept = f"list_filter(list_transform({every}, lambda x: trim(x)), lambda x: length(x) > 3" + (f" AND x NOT IN ({lst(without)[1:-1]}))" if without else ")")
+    return f"array_to_string(list_sort(list_distinct({kept})), '|')"
+
+
+_TOPIC_LIST = "(" + "|".join(t.replace(" ", r"\s+") for t in entities.TOPICS) + ")"
+ENTITY_PATTERNS = f"""
+SELECT doc_id, {_named(entities.LAB_PATTERNS, entities.NOT_LABS)} AS labs, {_named((*entities.TOPIC_PATTERNS, _TOPIC_LIST))} AS topics, {_named(entities.ORG_PATTERNS)} AS organizations
+FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)"""
 
 TERMS = {"the": "Lab", "and": "Lab", "that": "Person", "der": "Person", "die": "ResearchTopic", "que": "ResearchTopic", "les": "Organization", "una": "Organization"}
 _TERMS = "(VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in TERMS.items()) + ") AS g(entity_name, entity_type)"
@@ -232,7 +242,7 @@ def _pick(values, index: str) -> str:
 
 
 _PH = f"""h0 AS (SELECT page_id, page_id % 7 AS query_id, {part("url", "scheme")} || '://' || {part("url", "host")} || {_pick(("/faculty/", "/people/", "/department/", "/lab/", "/form/", "/x/"), "page_id * 5 % 6")} || page_id % 40 || '/' AS source,
-  {_pick(("faculty-list", "faculty", "department", "lab", "profile", "general"), "page_id % 6")} AS page_type, {_pick(("Faculty of physics", "People directory", "All labs", "About"), "page_id % 4")} || ' ' || page_id % 9 AS title, {part("url", "host")} AS domain, substr(html, 1, 200) AS text,
+  {_pick(("faculty-list", "faculty", "department", "lab", "profile", "general"), "page_id % 6")} AS page_type, {_pick(("Faculty of physics", "People directory", "All labs", "About"), "page_id % 4")} || ' ' || page_id % 9 AS title, {part("url", "host")} AS domain, html AS text,
   (page_id * 37 % 101) / 1000.0::DOUBLE AS rrf_score, page_id % 4 AS n, page_id % 3 = 0 AS matches FROM pages),
 h AS (SELECT *, {_pick(QUESTIONS, "query_id")} AS query, {any_in(f"lower({_pick(QUESTIONS, 'query_id')})", analyze.FACULTY_WORDS)} AS fac, {any_in(f"lower({_pick(QUESTIONS, 'query_id')})", analyze.LIST_WORDS)} AS lis,
   query_id % 2 = 0 AS has_dept, query_id % 2 = 0 AND contains(source, 'tion') AS dept, rrf_score * 4 AS score, row_number() OVER (PARTITION BY query_id ORDER BY page_id) AS rank FROM h0)"""
@@ -302,7 +312,7 @@ WITH {_PH}, c AS (SELECT query_id, count(*) AS n, {", ".join(f"{_conf(f'rank <=
 SELECT query_id, (CASE WHEN c3 >= 0.65 THEN 3 WHEN c6 >= 0.65 THEN 6 WHEN c12 >= 0.65 THEN 12 WHEN c3 >= greatest(c6, c12) THEN 3 WHEN c6 >= c12 THEN 6 ELSE 12 END)::INT AS k,
   round(CASE WHEN c3 >= 0.65 THEN c3 WHEN c6 >= 0.65 THEN c6 WHEN c12 >= 0.65 THEN c12 ELSE greatest(c3, c6, c12) END, 6)::DOUBLE AS confidence, least(n, k) AS hits FROM c"""
 BM25 = f"""
-WITH a AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '{_W}'), lambda w: length(w) > 3)[1:8]) AS term FROM benchmark WHERE item_id % 10 = 0),
+WITH a AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{_W}')) AS term FROM benchmark WHERE item_id % 100 = 0),
 w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_W}') AS w FROM documents), s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM w),
 tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM a) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 r AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN a USING (term), s GROUP BY ALL)
@@ -314,7 +324,7 @@ def _bounded(p: str) -> str:
     return p[:-2] + r"(?:[^\p{L}\p{N}_]|$)" if p.endswith(r"\b") else p
 
 
-_QA = f"SELECT conv_id, {_pick(QUESTIONS, 'conv_id % 7')} || ' ' || substr(text, 1, 30) AS query FROM conversations WHERE turn = 0"
+_QA = f"SELECT conv_id, {_pick(QUESTIONS, 'conv_id % 7')} || ' ' || text AS query FROM conversations WHERE turn = 0"
 _INT = "list_sort(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"regexp_matches(lower(query), {q('(?i)' + _bounded(p))})" for p in ps) + f" THEN {q(n)} END" for n, ps in analyze.INTENTS.items()) + "], lambda x: x IS NOT NULL))"
 _QT = "CASE " + " ".join(f"WHEN list_contains(i, {q(n)}) THEN {q(k)}" for n, k in analyze.QUERY_TYPES) + " ELSE 'general_search' END"
 QUERY_ANALYSIS = f"""
@@ -351,7 +361,7 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS events FROM s GROUP BY user_id, k"""
 RESUME = "SELECT CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'p' || doc_id END AS page_id, 'u' || doc_id AS url FROM documents WHERE doc_id % 3 <> 0"
 INCREMENTAL = "SELECT DISTINCT regexp_extract(url, 'https?://([^/]+)', 1) AS url FROM pages EXCEPT SELECT regexp_extract(url, 'https?://([^/]+)', 1) FROM pages WHERE page_id % 10 = 0"
-EVENT_COUNTERS = "SELECT event_type, count(*) AS total, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean_value FROM events GROUP BY 1"
+EVENT_COUNTERS = "SELECT event_type, count(*) AS total, round(avg(value), 6) AS mean_value, max(value) AS largest FROM events GROUP BY 1"
 CONTEXT_PACK = f"""
 WITH w AS (SELECT doc_id % 20 AS query_id, doc_id, text, {words("text")} AS w FROM documents), b AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY query_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS words_before FROM w)
 SELECT query_id, doc_id, words_before, md5(CASE WHEN words_before + len(w) > 2000 THEN array_to_string(w[1 : 2000 - words_before], ' ') ELSE text END) AS md5 FROM b WHERE words_before < 2000"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -26,9 +26,9 @@ def new_urls(found: DataFrame, visited: DataFrame | None = None, time: str = "ts
     return rows if visited is None else rows.join(visited.select("url").distinct(), "url", "left_anti")
 
 
-def progress(events: DataFrame, key: str = "domain") -> DataFrame:
-    """Running counts (update or complete mode)."""
-    return events.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+def progress(events: DataFrame, key: str = "domain", *more: Column) -> DataFrame:
+    """Running counts, and more aggregates, of a stream (update or complete mode) or a table."""
+    return events.groupBy(key).agg(F.count(F.lit(1)).alias("total"), *more)
 
 
 def windowed_counts(events: DataFrame, time: str, window: str, key: str, late: str = "10 minutes") -> DataFrame:
