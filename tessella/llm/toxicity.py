@@ -188,6 +188,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
                     seen[t][own] += total * total
                     m.e[t][own] -= RATE * total / np.sqrt(seen[t][own])
     _calibrate(m, [docs[i] for i in np.flatnonzero(back)], labels[back])
+    del h, docs, seen
+    trim()  # the driver goes on without what training took
     return m
 
 

@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 21
+#: Bytes; a worker keeps two tables of as many 8-byte powers, and works with arrays of that size.
+BLOCK = 1 << 19
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
