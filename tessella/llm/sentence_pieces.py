@@ -145,7 +145,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         c = codec(path)
         for b in batches:
-            for i, j, texts in slices(b.column(1), 4 * BLOCK):
+            for i, j, texts in slices(b.column(1), 16 * BLOCK):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(c.encode(texts), pa.binary())], names=["doc_id", "ids"])
 
     return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(run, "doc_id bigint, ids binary")
@@ -169,7 +169,7 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         for b in batches:
             doc = b.column(0)
-            for i, j, texts in slices(b.column(1), 4 * BLOCK):
+            for i, j, texts in slices(b.column(1), 16 * BLOCK):
                 ids = c.encode(texts)
                 back = [c.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([

@@ -112,7 +112,7 @@ def counted(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         c = _counters.setdefault(path, Counter(path))
         for b in batches:
             doc = b.column(0)
-            for i, j, texts in slices(b.column(1), 4 * BLOCK):
+            for i, j, texts in slices(b.column(1), 16 * BLOCK):
                 n, words = c.count(texts)
                 yield pa.RecordBatch.from_arrays([doc.slice(i, j - i), pa.array(n, pa.int64()), pa.array(words, pa.int64())], names=["doc_id", "n_tokens", "n_pretokens"])
 
