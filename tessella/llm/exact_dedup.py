@@ -32,7 +32,8 @@ def frequent(rows: DataFrame, heavy: int, tracked: int) -> DataFrame:
     """key, n: the ``heavy`` most frequent hashes of digests, by a sketch of ``tracked`` counters; FAN merged sketches reach the last task."""
     key = F.xxhash64("digest").alias("key")
     part = rows.select(key, F.pmod(F.shiftright("row", 33), F.lit(FAN)).alias("fan")).groupBy("fan").agg(F.expr(f"approx_top_k_accumulate(key, {tracked})").alias("s"))
-    top = part.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s")).where("s IS NOT NULL").select(F.explode(F.expr(f"approx_top_k_estimate(s, {heavy})")).alias("t"))
+    # Under a key: without one each empty partition would send an empty sketch, which can't be serialised.
+    top = part.groupBy(F.lit(0).alias("one")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s")).select(F.explode(F.expr(f"approx_top_k_estimate(s, {heavy})")).alias("t"))
     return top.select(F.col("t.item").alias("key"), F.col("t.count").alias("n"))
 
 

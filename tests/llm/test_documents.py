@@ -236,3 +236,18 @@ def test_token_counts_on_words():
     ids = sentence_pieces.codec(PIECES).viterbi(["▁" + w for w in some])
     assert token_counts.counts_of(["▁" + w for w in some], PIECES).tolist() == [len(i) for i in ids]
     assert words_of(None) == [] and words_of(" ") == ["▁▁"] and words_of("a  b ") == ["▁a", "▁▁b", "▁"]
+
+
+def test_heavy_digests_with_empty_partitions(spark):
+    """Of 300 shuffle partitions most are empty, and stay so without adaptive execution."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 300)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        docs = spark.createDataFrame([(i, "same" if i % 2 else str(i)) for i in range(40)], "doc_id bigint, text string")
+        top = exact_dedup.frequent(exact_dedup.digests(docs), 4, 64)
+        assert max(r.n for r in top.collect()) == 20
+        assert exact_dedup.frequent(exact_dedup.digests(docs.limit(0)), 4, 64).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
