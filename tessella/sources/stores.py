@@ -1,13 +1,21 @@
-"""The vector store: chunk rows with embeddings and metadata as a Parquet table of versions."""
+"""Durable stores: chunks with embeddings, the property graph and chat threads, as Parquet tables of versions.
+
+Every change writes a new version beside the old one, then a pointer to it; a store opened again reads the last pointer.
+One writer at a time; readers keep the version that they began with.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chat, graph
 from ..operators.vector import embed, filtered, nearest, similarity
 
 CHUNKS = "chunk_key string, page_id string, chunk_id int, text string, word_count int, start_word int, end_word int, url string, domain string, page_type string, title string, embedding array<float>"
+THREADS = "thread_id string, user_id string, title string, created_at timestamp, updated_at timestamp, status string, message_count bigint"
+MESSAGES = "message_id string, thread_id string, role string, content string, context_used int, created_at timestamp"
+CONTEXTS = "message_id string, chunk_text string, source string, score double"
 
 
 def chunk_rows(processed: DataFrame) -> DataFrame:
@@ -18,26 +26,67 @@ def chunk_rows(processed: DataFrame) -> DataFrame:
     return rows.where(F.col("embedding").isNotNull())
 
 
+def load_counts(processed: DataFrame) -> DataFrame:
+    """Totals of a batch load: pages, stored (with a URL and an embedded chunk), failed, chunks stored."""
+    embedded = F.coalesce(F.size(F.filter("chunks", lambda c: c["embedding"].isNotNull())), F.lit(0))
+    ok = (F.coalesce("url", F.lit("")) != "") & (embedded > 0)
+    return processed.agg(F.count(F.lit(1)).alias("pages"), F.count_if(ok).alias("stored"), F.count_if(~ok).alias("failed"), F.coalesce(F.sum(embedded), F.lit(0)).alias("chunks"))
+
+
+class Versions:
+    """Tables under a path, read and replaced by version numbers that survive the session."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, part: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+
+    def version(self, table: str) -> int:
+        """The largest number that a pointer names, 0 without one. A version whose writing broke off has no pointer."""
+        folder = self._at(f"{table}/pointers")
+        if not self._fs.exists(folder):
+            return 0
+        return max((int(f.getPath().getName()) for f in self._fs.listStatus(folder)), default=0)
+
+    def read(self, table: str, schema: str) -> DataFrame:
+        n = self.version(table)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/v{n}") if n else self.spark.createDataFrame([], schema)
+
+    def replace(self, table: str, rows: DataFrame, schema: str) -> None:
+        n = self.version(table) + 1
+        names = [f.split()[0] for f in schema.split(", ")]
+        rows.select(*names).write.mode("overwrite").parquet(f"{self.path}/{table}/v{n}")
+        self._fs.create(self._at(f"{table}/pointers/{n}"), False).close()
+
+
 class VectorStore:
-    """A chunk table under a path. Every change writes a new version beside the old one, then points to it."""
+    """A chunk table under a path."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path, 0
+        self.spark, self.path, self._tables = spark, path, Versions(spark, path)
+
+    @property
+    def version(self) -> int:
+        return self._tables.version("chunks")
 
     def rows(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], CHUNKS)
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.path}/v{self.version}")
+        return self._tables.read("chunks", CHUNKS)
 
     def _replace(self, df: DataFrame) -> None:
-        df.select(*[f.split()[0] for f in CHUNKS.split(", ")]).write.parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+        self._tables.replace("chunks", df, CHUNKS)
 
     def add(self, chunks: DataFrame) -> None:
         """New chunks win over old ones of the same key."""
         new = chunks.where(F.col("embedding").isNotNull()).dropDuplicates(["chunk_key"])
         self._replace(self.rows().join(new.select("chunk_key"), "chunk_key", "left_anti").unionByName(new))
 
+    def load(self, processed: DataFrame) -> DataFrame:
+        """Adds the chunks of processed pages in one write; gives the totals of the load."""
+        self.add(chunk_rows(processed.where(F.coalesce("url", F.lit("")) != "")))
+        return load_counts(processed)
+
     def query(self, queries: DataFrame, k: int = 50, where: dict | None = None, metric: str = "l2") -> DataFrame:
         """queries: query_id, query_vector. Hits with text, metadata, distance, score and rank."""
         rows = filtered(self.rows(), where).withColumn("doc_id", F.xxhash64("chunk_key"))
@@ -61,3 +110,88 @@ class VectorStore:
 
     def stats(self) -> DataFrame:
         return self.rows().agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("page_id").alias("pages"), F.max(F.size("embedding")).alias("dimension"))
+
+
+class GraphStore:
+    """Nodes and edges under a path. Nodes are upserted by label and key with merged properties, edges by both ends and kind with added counts."""
+
+    NODE, EDGE = ["label", "key"], ["src_label", "src_key", "rel", "dst_label", "dst_key"]
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._tables = Versions(spark, path)
+
+    def nodes(self) -> DataFrame:
+        return self._tables.read("nodes", graph.NODES)
+
+    def edges(self) -> DataFrame:
+        return self._tables.read("edges", graph.EDGES)
+
+    def add_nodes(self, new: DataFrame) -> None:
+        """Properties merge; name, type and alias are the new ones. Several new rows of one key: the largest (name, type, alias)."""
+        old, rest = self.nodes(), ["name", "type", "alias"]
+        both = old.withColumn("__v", F.lit(0)).unionByName(new.select(*old.columns).withColumn("__v", F.lit(1)))
+        last = both.groupBy(*self.NODE).agg(F.max(F.struct("__v", *rest)).alias("r")).select(*self.NODE, *[F.col(f"r.{c}").alias(c) for c in rest])
+        self._tables.replace("nodes", last.join(graph.merge_properties(old, new, self.NODE), self.NODE), graph.NODES)
+
+    def add_edges(self, new: DataFrame) -> None:
+        old = self.edges()
+        counted = graph.upsert_edges(old, new, self.EDGE)
+        self._tables.replace("edges", counted.join(graph.merge_properties(old, new, self.EDGE), self.EDGE), graph.EDGES)
+
+    def clear(self) -> None:
+        """No nodes and no edges; the versions before stay readable."""
+        self._tables.replace("edges", self.edges().limit(0), graph.EDGES)
+        self._tables.replace("nodes", self.nodes().limit(0), graph.NODES)
+
+    def search(self, kind: str, value: str) -> DataFrame:
+        """faculty: people by part of their name, with labs, projects and topics; topic: topics with people and labs."""
+        found = {"faculty": graph.find_faculty, "topic": graph.find_topic}
+        if kind not in found:
+            raise ValueError(f"no search for {kind}; there are {sorted(found)}")
+        return found[kind](self.nodes(), self.edges(), value)
+
+
+class ChatStore:
+    """Threads, messages and the contexts of messages under a path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._tables = Versions(spark, path)
+
+    def threads(self) -> DataFrame:
+        return self._tables.read("threads", THREADS)
+
+    def messages(self) -> DataFrame:
+        return self._tables.read("messages", MESSAGES)
+
+    def contexts(self) -> DataFrame:
+        return self._tables.read("contexts", CONTEXTS)
+
+    def create(self, first: DataFrame, now: Column) -> DataFrame:
+        """A thread for each first question; gives the new rows."""
+        new = chat.new_threads(first, now)
+        self._tables.replace("threads", self.threads().unionByName(new), THREADS)
+        return new
+
+    def add(self, new: DataFrame, sources: DataFrame | None = None) -> None:
+        """Messages, and the chunks that they were answered from (their first 1000 characters)."""
+        threads, messages = chat.add_messages(self.threads(), self.messages(), new)
+        self._tables.replace("messages", messages, MESSAGES)
+        if sources is not None:
+            self._tables.replace("contexts", self.contexts().unionByName(chat.message_contexts(sources).select("message_id", "chunk_text", "source", "score")), CONTEXTS)
+        self._tables.replace("threads", threads, THREADS)
+
+    def archive(self, thread_id: str, now: Column) -> None:
+        self._tables.replace("threads", chat.archive(self.threads(), thread_id, now), THREADS)
+
+    def delete(self, ids: DataFrame) -> None:
+        threads, messages, contexts = chat.delete(self.threads(), self.messages(), self.contexts(), ids.select("thread_id").distinct())
+        for name, rows, schema in (("contexts", contexts, CONTEXTS), ("messages", messages, MESSAGES), ("threads", threads, THREADS)):
+            self._tables.replace(name, rows, schema)
+
+    def purge(self, now: Column, days: int = 30) -> int:
+        """Deletes threads that are archived and untouched for so many days; gives their number."""
+        old = chat.purgeable(self.threads(), now, days)
+        n = old.count()
+        if n:
+            self.delete(old)
+        return n
