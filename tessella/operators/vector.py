@@ -159,7 +159,7 @@ def hashed_embedding(text: Column, dim: int = 64, limit: int = 8000) -> Column:
     def run(slots: pa.Array) -> pa.Array:
         lists = slots.fill_null([])
         code, row = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
-        x = np.bincount(row * dim + code // 2, 1.0 - 2.0 * (code % 2), minlength=len(lists) * dim).reshape(len(lists), dim)
+        x = np.bincount(row * dim + code // 2, 1.0 - 2.0 * (code % 2), minlength=len(lists) * dim).astype(np.float64).reshape(len(lists), dim)  # counts of a batch without words are integers
         n = np.sqrt((x * x).sum(1, keepdims=True))
         x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
