@@ -4,12 +4,12 @@ Five filters look at a whole text (null: empty): A too few words, B too few diff
 capitals, D marks, E the same text under a smaller id. A document's failures are a mask of five bits, and all
 that an order of filters does follows from how often each mask occurs, so the texts are read once.
 
-1. Bits A to D and an xxhash of the text come from column functions.
-2. Rows are routed as an RDD, partitioned by the xxhash. Each task keeps, for each hash, a chain of the different
-   texts behind it, with the smallest id so far; a row that isn't the smallest is emitted at once with bit E.
-   The same is done before the shuffle, in runs of LOCAL characters, so a group of copies however large sends one
-   text a run, and only short records beside it. Chains hold full texts: equal hashes never make texts equal.
-3. Records (id, part, mask, count) meet their labels; ``combineByKey`` merges a vector of counts for each part.
+1. Bits A to D, an xxhash of the text and its SHA-256 are written for each row, by column functions.
+2. Texts whose xxhash occurs more than once are routed as an RDD, partitioned by it. Each task keeps, for each hash, a chain of the different
+   texts behind it, with the smallest id so far; ids that aren't the smallest are emitted. The same is done before the shuffle, in runs of LOCAL
+   characters, so that a group of copies however large sends one text a run, and short records beside it. Chains hold full
+   texts: equal hashes never make texts equal. (Up to BROADCAST_IDS repeated hashes are broadcast to leave single texts where they are; beyond that all texts are routed.)
+3. Emitted ids set bit E; records (part, mask, count) meet their labels; ``combineByKey`` merges a vector of counts for each part.
 4. Each part's vector gives the rows of all orders and steps.
 
 Rows with the same id and text are no copies of each other; a null id is no copy and makes none. A document is
@@ -27,7 +27,7 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, table
+from .common import BROADCAST_IDS, free, table, written
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
@@ -40,28 +40,23 @@ COUNTS = "kept bigint, removed bigint, redundant bigint, unique_fails bigint, go
 
 def text_failures(text: Column) -> Column:
     """The mask of filters A to D."""
-    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     counts = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("k")))[0]
     few = F.transform(F.array(counts), lambda c: F.when(c["n"] < LEAST_WORDS, 1).otherwise(0) + F.when(100 * c["k"] < DISTINCT_PERCENT * c["n"], 2).otherwise(0))[0]
     capitals = 100 * F.regexp_count(text, F.lit("[A-Z]")) > CAPITAL_PERCENT * F.length(text)
     return few + F.when(capitals, 4).otherwise(0) + F.when(text.rlike(MARKS), 8).otherwise(0)
 
 
-def _place(chains: dict, key: int, text: str, doc_id: int, mask: int, parts: dict) -> tuple | None:
-    """Puts a text into its chain; what turns out not to have the smallest id comes back with bit E."""
+def _place(chains: dict, key: int, text: str, doc_id: int, digest: bytes) -> tuple | None:
+    """Puts a text into its chain; what turns out not to have the smallest id comes back."""
     chain = chains.setdefault(key, [])
     for link in chain:
         if link[0] == text:
-            if doc_id > link[1]:
-                return doc_id, mask | COPY, parts
             if doc_id < link[1]:
-                lost = link[1], mask | COPY, link[3]
-                link[1], link[3] = doc_id, parts
-                return lost
-            for p, n in parts.items():
-                link[3][p] = link[3].get(p, 0) + n
-            return None
-    chain.append([text, doc_id, mask, parts])
+                lost, link[1] = link[1], doc_id
+                return lost, digest
+            return (doc_id, digest) if doc_id > link[1] else None
+    chain.append([text, doc_id, digest])
     return None
 
 
@@ -71,44 +66,53 @@ def _spread(key: int, doc_id: int) -> int:
 
 
 def _before(rows: Iterable) -> Iterator[tuple]:
-    """Records (key, (id, mask, {part: n}, text, or None where E is decided)) of one input partition."""
-    nameless: dict = {}
+    """Records (key, (id, digest, text, or None where the id isn't the smallest)) of one input partition."""
     chains: dict = {}
     size = 0
-    for key, doc_id, part, mask, text in rows:
-        if doc_id is None:
-            nameless[part, mask] = nameless.get((part, mask), 0) + 1
-            continue
-        lost = _place(chains, key, text, doc_id, mask, {part: 1})
+    for key, doc_id, digest, text in rows:
+        lost = _place(chains, key, text, doc_id, digest)
         if lost:
             yield _spread(key, lost[0]), (*lost, None)
         else:
             size += len(text)
         if size > LOCAL:
-            yield from ((k, (d, m, parts, t)) for k, chain in chains.items() for t, d, m, parts in chain)
+            yield from ((k, (d, x, t)) for k, chain in chains.items() for t, d, x in chain)
             chains, size = {}, 0
-    yield from ((k, (d, m, parts, t)) for k, chain in chains.items() for t, d, m, parts in chain)
-    yield from ((_spread(m, i), (None, m, {p: n}, None)) for i, ((p, m), n) in enumerate(nameless.items()))
+    yield from ((k, (d, x, t)) for k, chain in chains.items() for t, d, x in chain)
 
 
 def _after(records: Iterable) -> Iterator[tuple]:
-    """(id, part, mask, count) of one routed partition."""
+    """(id, digest) of one routed partition whose text a smaller id has."""
     chains: dict = {}
-    for key, (doc_id, mask, parts, text) in records:
-        decided = (doc_id, mask, parts) if text is None else _place(chains, key, text, doc_id, mask, parts)
-        if decided:
-            yield from ((decided[0], p, decided[1], n) for p, n in decided[2].items())
-    yield from ((d, p, m, n) for chain in chains.values() for _, d, m, parts in chain for p, n in parts.items())
+    for key, (doc_id, digest, text) in records:
+        lost = (doc_id, digest) if text is None else _place(chains, key, text, doc_id, digest)
+        if lost:
+            yield lost[0], bytearray(lost[1])
+
+
+def later_copies(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """copy_id, copy_digest: the different ids, with their texts' digests, of docs (key, doc_id, digest, text) whose text a smaller id has too. ``repeated``: the keys that occur more than once."""
+    spark, n = docs.sparkSession, repeated.count()
+    rows = docs.where("doc_id IS NOT NULL")
+    rows = (rows.join(F.broadcast(repeated), "key", "left_semi") if n <= BROADCAST_IDS else rows).select("key", "doc_id", "digest", "text").rdd
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ROUTED * rows.getNumPartitions())
+    routed = rows.mapPartitions(_before).partitionBy(parts, lambda key: key).mapPartitions(_after)
+    return spark.createDataFrame(routed, "copy_id bigint, copy_digest binary", verifySchema=False).distinct()
 
 
 def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
-    """doc_id, part, mask, n: how many rows of a document (id) have these failures; rows with a null id are counted together."""
+    """doc_id, part, mask, n: the failures of every row (n = 1); rows with a null id are counted together."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"), text.alias("text"))
-    rows = rows.select(F.xxhash64("text").alias("key"), "doc_id", "part", text_failures(F.col("text")).alias("mask"), "text").rdd
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ROUTED * rows.getNumPartitions())
-    routed = rows.mapPartitions(_before).partitionBy(n, lambda key: key).mapPartitions(_after)
-    return docs.sparkSession.createDataFrame(routed, "doc_id bigint, part string, mask int, n bigint", verifySchema=False)
+    rows = rows.withColumns({"key": F.xxhash64("text"), "digest": F.unhex(F.sha2("text", 256))})
+    facts = written(rows.select("doc_id", "part", "key", "digest", text_failures(F.col("text")).alias("mask")), "failures")
+    repeated = written(facts.groupBy("key").count().where("count > 1").select("key"), "repeated_hashes")
+    copies = written(later_copies(rows, repeated), "later_copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS // 8 else copies
+    named = facts.where("doc_id IS NOT NULL").join(copies, (F.col("doc_id") == F.col("copy_id")) & (F.col("digest") == F.col("copy_digest")), "left")
+    named = named.select("doc_id", "part", F.when(F.col("copy_id").isNull(), F.col("mask")).otherwise(F.col("mask") + COPY).alias("mask"), F.lit(1).cast("long").alias("n"))
+    nameless = facts.where("doc_id IS NULL").groupBy("doc_id", "part", "mask").agg(F.count(F.lit(1)).alias("n"))
+    return named.unionByName(nameless)
 
 
 def _counted(row) -> np.ndarray:
