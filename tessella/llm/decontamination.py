@@ -4,19 +4,23 @@ A window is WINDOW consecutive words of an item (a shorter item is one window).
 contains every shingle of it, hence also the rarest: a prefix of one shingle is necessary and enough for a candidate.
 
 1. The distinct windows of all items, and their shingles of up to SHINGLE words, as 64-bit hashes with their offsets.
-2. One pass over the documents counts how often each of these shingles occurs. That orders a window's shingles by
-   rarity; the rarest is its prefix. A window with a shingle that never occurs is dropped.
-3. A second pass finds the prefixes in the documents, with the words around each (2 * WINDOW - 1 at most). A window
-   can only begin at the place of its prefix less its offset: it must not begin before the document or end behind it (positional
-   and length bounds), and its words must equal the document's there. So hashes only propose, words decide.
+2. One pass over the documents finds all occurrences of these shingles, and writes each with its place and the words around it
+   (2 * WINDOW - 1 at most), beside a row for each document. That is all that is read of the texts.
+3. How often each shingle occurs orders a window's shingles by rarity; the rarest is its prefix. A window with a shingle that
+   never occurs is dropped. Occurrences of prefixes are joined with their windows: a window can only begin at the place
+   of its prefix less its offset; it must not begin before the document or end behind it (positional and length bounds),
+   and its words must equal the document's there. So hashes only propose, words decide.
 4. Hits are spans; a document's hit words are the union of its spans, its items those of its windows.
 
-Hashes to look for are broadcast, BLOCK at a time (16 MB); a larger benchmark takes several passes in blocks. Windows are
-broadcast up to BROADCAST_WINDOWS rows and shuffled beyond. Texts never move. Nothing is paired but a prefix with its own occurrences.
+In the pass a document is cut into segments of SEGMENT words with their surroundings, so that what a place carries along doesn't grow with
+the text. Hashes to look for are broadcast, BLOCK at a time (16 MB); a larger benchmark takes several passes in blocks. Windows are
+broadcast up to BROADCAST_WINDOWS rows and shuffled beyond. Texts never move. Nothing is paired but a prefix with its own occurrences. What is
+written grows with the hits: some 100 bytes for each word of a passage.
 
-Null and empty texts have no words. Items without words have no window. Items with a null id count as one item, listed as an empty string; repeated
-item ids are one item. Documents with equal ids and texts are rows of their own with equal results; null ids are kept. Extra columns are
-ignored. Empty tables: no rows, or no hits. Very long texts are read whole, as one array of words in a task.
+Documents are told apart by their place in the scan, which has to be the same when it is repeated (files are). Null and empty texts have no words. Items
+without words have no window. Items with a null id count as one item, listed as an empty string; repeated item ids are one item. Documents with equal
+ids and texts are rows of their own with equal results; null ids are kept. Extra columns are ignored. Empty tables: no rows, or no hits. Very long texts are
+read whole, as one array of words in a task.
 """
 
 from __future__ import annotations
@@ -24,99 +28,119 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, table, written
+from .common import free, removed, table, written
 
-WINDOW, SHINGLE = 10, 5
+WINDOW, SHINGLE, SEGMENT = 10, 5, 32
 #: Hashes that one pass over the documents looks for; windows and hit documents up to which a side is broadcast (about 200 bytes each).
 BLOCK, BROADCAST_WINDOWS = 1_000_000, 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Stands for a document's own row among the hashes; its place is 0.
+OWN = 0
+
+
+def _table(rows: DataFrame, name: str) -> DataFrame:
+    """Written without compression, whose buffers are memory beside the heap in every task that writes or reads."""
+    return written(rows, name, packed=False)
 
 
 def item_words(text: Column) -> Column:
     """Lower-cases A-Z, by the faster function where all characters are ASCII, and cuts words."""
     text = F.coalesce(text, F.lit(""))
     low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
-def _places(n: Column, size: int) -> Column:
-    """1 to n - size + 1, nothing where there are fewer words."""
-    return F.when(n >= size, F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def shingles(words: Column, sizes: list[int]) -> Column:
-    """Structs (place, h) of all shingles of these sizes. Words are hashed once; the outer transform only names their array."""
-    of = lambda h, k: F.transform(_places(F.size(h), k), lambda i: F.struct(i.alias("place"), F.xxhash64(F.lit(k), F.slice(h, i, k)).alias("h")))
-    return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.concat(*[of(h, k) for k in sizes]))[0]
+def _shingle(hashes: Column, i: Column, k: int) -> Column:
+    """The hash of the k words from the 0-based place i, all of which must be there."""
+    return F.xxhash64(F.lit(k), *[F.get(hashes, i + j) for j in range(k)])
 
 
-def _windows(items: DataFrame, item_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
-    """windows (wid, words) and members (wid, item): each distinct window, and the items that have it."""
-    rows = items.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), item_words(F.col(f"`{text_col}`")).alias("w")).where(F.size("w") > 0)
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - length + 1, F.lit(1))), lambda i: F.slice(F.col("w"), i, length))
-    rows = written(rows.select("item", F.explode(cut).alias("words")).distinct(), "item_windows")
-    windows = written(rows.select("words").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
-    return windows, written(rows.join(windows, "words").select("wid", "item"), "window_items")
+def _segments(words: str, length: int, shingle: int) -> Column:
+    """Structs (n_words, first, near, hashes): the place of a segment's first word, its words and those around it, the hashes from its first word on. One with first 0 stands for the document."""
+
+    def cut(d: Column) -> Column:
+        w, h = d["w"], d["h"]
+        n = F.size(w)
+        of = lambda i: F.struct(n.alias("n_words"), i.alias("first"), F.slice(w, F.greatest(i - length + 1, F.lit(1)), SEGMENT + 2 * (length - 1)).alias("near"), F.slice(h, i, SEGMENT + shingle - 1).alias("hashes"))
+        own = F.struct(n.alias("n_words"), F.lit(0).alias("first"), F.slice(w, 1, 0).alias("near"), F.slice(h, 1, 0).alias("hashes"))
+        return F.concat(F.array(own), F.transform(F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(SEGMENT))).otherwise(F.array().cast("array<int>")), of))
+
+    # The transform of a single value names it, so that words are hashed once.
+    return F.transform(F.array(F.struct(F.col(words).alias("w"), _hashes(F.col(words)).alias("h"))), cut)[0]
 
 
-def _found(docs: DataFrame, keys: DataFrame, sizes: list[int], context: int, *out) -> DataFrame:
-    """Occurrences in docs (columns w and others) of the hashes in ``keys``, in blocks of BLOCK; keys must be a written table."""
+def _windows(items: DataFrame, item_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """windows (wid, words) and members (wid, item): each distinct window, and the items that have it."""
+    rows = items.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), item_words(F.col(f"`{text_col}`")).alias("w"))
+    cut = F.when(F.size("w") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - length + 1, F.lit(1))), lambda i: F.slice(F.col("w"), i, length)))
+    rows = _table(rows.select("item", F.explode(cut).alias("words")).distinct(), "item_windows")
+    windows = _table(rows.select("words").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
+    return windows, _table(rows.join(windows, "words").select("wid", "item"), "window_items")
+
+
+def _grams(windows: DataFrame, shingle: int) -> DataFrame:
+    """wid, k, place, h: the shingles of each window, of k = min(its words, shingle) words."""
+    n = F.size("words")
+    of = lambda k: F.transform(F.array(_hashes(F.col("words"))), lambda h: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.struct(F.lit(k).alias("k"), i.alias("place"), _shingle(h, i - 1, k).alias("h"))))[0]
+    sized = F.when(n >= shingle, of(shingle))
+    for k in range(1, shingle):
+        sized = sized.when(n == k, of(k))
+    return windows.select("wid", F.inline(sized))
+
+
+def occurrences(docs: DataFrame, keys: DataFrame, sizes: list[int], length: int, shingle: int) -> DataFrame:
+    """From docs (row, doc_id, w): row, doc_id, n_words, place, begin, near, h for each occurrence of a hash in ``keys`` (a written table), and a row with place 0 for each document."""
+    keys = keys.unionAll(keys.sparkSession.createDataFrame([(OWN,)], "h bigint"))
     blocks = -(-keys.count() // BLOCK)
-    at = docs.select("*", F.inline_outer(shingles(F.col("w"), sizes)))
-    all_of = None
+    at = docs.select("row", "doc_id", F.inline_outer(_segments("w", length, shingle)))
+    steps = F.when(F.col("first") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SEGMENT * max(1, len(sizes)) - 1)))
+    at = at.select("*", F.explode_outer(steps).alias("p"))
+    i = F.pmod(F.col("p"), F.lit(SEGMENT))
+    h = F.when(F.col("first") == 0, F.lit(OWN).cast("long"))
+    for j, k in enumerate(sizes):
+        h = h.when((F.col("p") < SEGMENT * (j + 1)) & (F.col("p") >= SEGMENT * j) & (F.col("first") + i + k - 1 <= F.col("n_words")), _shingle(F.col("hashes"), i, k))
+    at = at.select("row", "doc_id", "n_words", "first", "near", (F.col("first") + i).alias("place"), h.alias("h"))
+    out = None
     for b in range(blocks):
         own = keys if blocks == 1 else keys.where(F.pmod("h", F.lit(blocks)) == b)
-        here = at.join(F.broadcast(own), "h", "left_semi").select(*out)
-        all_of = here if all_of is None else all_of.unionAll(here)
-    return all_of
-
-
-def hits(docs: DataFrame, windows: DataFrame, length: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """From docs (doc_id, mark, w) and windows (wid, words): doc_id, mark, start, length, wid, a row for each occurrence of a window."""
-    size = F.least(F.size("words"), F.lit(shingle))
-    hashes = F.concat(*[F.when(size == k, shingles(F.col("words"), [k])).otherwise(F.array().cast("array<struct<place:int,h:bigint>>")) for k in range(1, shingle + 1)])
-    grams = written(windows.select("wid", size.alias("k"), F.inline(hashes)), "window_shingles")
-    keys = written(grams.select("h").distinct(), "shingle_keys")
-    sizes = sorted(r["k"] for r in grams.select("k").distinct().collect())
-    if not sizes:
-        return docs.select("doc_id", "mark", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("wid")).where(F.lit(False))
-    count = written(_found(docs.select("w"), keys, sizes, 0, "h").groupBy("h").agg(F.count(F.lit(1)).alias("n")), "shingle_counts")
-    rarest = grams.join(count, "h", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "place")).alias("p")).where(F.col("p.n") > 0)
-    prefix = written(rarest.join(windows, "wid").select("wid", F.col("p.h").alias("h"), F.col("p.place").alias("place"), "words", F.size("words").alias("length")), "prefixes")
-    keys = written(prefix.select("h").distinct(), "prefix_keys")
-    first = F.greatest(F.col("place") - length + 1, F.lit(1))
-    near = F.slice("w", first, F.col("place") - first + length)
-    seen = _found(docs.select("doc_id", "mark", "w"), keys, sizes, length, "doc_id", "mark", F.size("w").alias("n_words"), F.col("place").alias("at"), first.alias("first"), near.alias("near"), "h")
-    if seen is None:
-        return hits(docs, windows.where(F.lit(False)), length, shingle)
-    few = prefix.count() <= BROADCAST_WINDOWS
-    start = F.col("at") - F.col("place") + 1
-    pairs = seen.join(F.broadcast(prefix) if few else prefix, "h").where((start >= 1) & (start + F.col("length") - 1 <= F.col("n_words")))
-    return pairs.where(F.slice("near", start - F.col("first") + 1, F.col("length")) == F.col("words")).select("doc_id", "mark", start.alias("start"), "length", "wid")
+        here = at.join(F.broadcast(own), "h", "left_semi")
+        out = here if out is None else out.unionAll(here)
+    begin, whole = F.greatest(F.col("place") - length + 1, F.lit(1)), F.greatest(F.col("first") - length + 1, F.lit(1))
+    return out.select("row", "doc_id", "n_words", "place", begin.alias("begin"), F.slice("near", begin - whole + 1, F.col("place") - begin + length).alias("near"), "h")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", length: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items (sorted), contaminated."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("mark"), text.alias("text"))
     windows, members = _windows(items, item_col, item_text, length)
-    found = written(hits(base.select("doc_id", "mark", item_words(F.col("text")).alias("w")), windows, length, shingle).distinct(), "window_hits")
-    own = ["doc_id", "mark"]
-    spans = found.groupBy(*own, "start").agg(F.max("length").alias("length"))
+    grams = _table(_grams(windows, shingle), "window_shingles")
+    keys = _table(grams.select("h").distinct(), "shingle_keys")
+    sizes = sorted(r["k"] for r in grams.select("k").distinct().collect())  # at most ``shingle`` of them
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), item_words(F.col(f"`{text_col}`")).alias("w"))
+    seen = _table(occurrences(rows, keys, sizes, length, shingle), "shingle_occurrences")
+    places = seen.where("place > 0")
+
+    count = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    rarest = grams.join(count, "h", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "place")).alias("p")).where(F.col("p.n") > 0)
+    prefix = rarest.join(windows, "wid").select("wid", F.col("p.h").alias("h"), F.col("p.place").alias("offset"), "words", F.size("words").alias("length"))
+    prefix = _table(prefix, "prefixes")
+    start = F.col("place") - F.col("offset") + 1
+    pairs = places.join(F.broadcast(prefix) if prefix.count() <= BROADCAST_WINDOWS else prefix, "h").where((start >= 1) & (start + F.col("length") - 1 <= F.col("n_words")))
+    hits = _table(pairs.where(F.slice("near", start - F.col("begin") + 1, F.col("length")) == F.col("words")).select("row", start.alias("start"), "length", "wid"), "window_hits")
+
     end = F.col("start") + F.col("length")
-    before = F.max(end).over(Window.partitionBy(*own).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    words = spans.withColumn("before", before).groupBy(*own).agg(F.sum(F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce("before", F.lit(0))))).alias("n_hit"))
-    few = members.count() <= BROADCAST_WINDOWS
-    owners = found.select(*own, "wid").distinct().join(F.broadcast(members) if few else members, "wid").groupBy(*own).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    both = written(words.join(owners, words["doc_id"].eqNullSafe(owners["doc_id"]) & (words["mark"] == owners["mark"])).select(words["doc_id"].alias("hit_id"), words["mark"].alias("hit_mark"), "n_hit", "items"), "hit_documents")
-    rows = base.select("doc_id", "mark", F.regexp_count("text", F.lit(ANY_CASE)).cast("long").alias("n_words"))
-    side = F.broadcast(both) if both.count() <= BROADCAST_WINDOWS else both
-    out = rows.join(side, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left")
-    listed = F.coalesce("items", F.array().cast("array<string>"))
-    n = F.coalesce("n_hit", F.lit(0)).cast("long")
+    before = F.max(end).over(Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.groupBy("row", "start").agg(F.max("length").alias("length")).withColumn("before", before)
+    words = spans.groupBy("row").agg(F.sum(F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce("before", F.lit(0))))).alias("n_hit"))
+    owners = hits.select("row", "wid").distinct().join(F.broadcast(members) if members.count() <= BROADCAST_WINDOWS else members, "wid").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    both = _table(words.join(owners, "row"), "hit_documents")
+    out = seen.where("place = 0").select("row", "doc_id", F.col("n_words").cast("long").alias("n_words")).join(F.broadcast(both) if both.count() <= BROADCAST_WINDOWS else both, "row", "left")
+    removed(keys, prefix, hits)
+    listed, n = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), (n > 0).alias("contaminated"))
 
 

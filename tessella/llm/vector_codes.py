@@ -78,7 +78,7 @@ def build(x: np.ndarray) -> dict:
     points, real = full[order], order < n
     nodes: list[list] = [[], [], [], []]
     for level in range(levels + 1):
-        p, w = points.reshape(2**level, -1, d), real.reshape(2**level, -1)
+        p, w = points.reshape(2**level, size >> level, d), real.reshape(2**level, size >> level)
         for out, v in zip(nodes, (p.min(1), p.max(1), (p * w[:, :, None]).sum(1), w.sum(1)), strict=True):
             out.append(v)
     lo, hi, total, count = (np.concatenate(v) for v in nodes)
