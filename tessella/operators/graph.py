@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dictionary import containing
 from .entities import AGGREGATED_TYPES
 
 NODES = "label string, key string, name string, type string, alias string, props map<string,string>"
@@ -91,24 +92,6 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-GRAM = 3
-
-
-def containing(terms: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
-    """terms (term, not empty) and the distinct texts that hold them in one of the columns, in any case: (term, *columns).
-
-    An equality join on the first GRAM characters of a term (all of a shorter one) with the texts' runs of characters, then the
-    comparison itself; no term meets a text that doesn't hold its beginning.
-    """
-    low = [F.lower(F.coalesce(c, F.lit(""))) for c in columns]
-    runs = lambda t: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.array(*[F.substring(t, i, F.lit(n)) for n in range(1, GRAM + 1)])))
-    kept = texts.select(*columns).distinct()
-    index = kept.select(*columns, F.explode(F.array_distinct(F.concat(*[runs(t) for t in low]))).alias("gram"))
-    asked = terms.select("term", F.substring("term", 1, GRAM).alias("gram")).distinct()
-    fits = F.greatest(*[F.contains(t, F.col("term")) for t in low]) if len(low) > 1 else F.contains(low[0], F.col("term"))
-    return index.join(asked, "gram").where(fits).select("term", *columns)
-
-
 def _matching(queries: DataFrame, entities: DataFrame, terms: str) -> DataFrame:
     """(query_id, entity) pairs where a term is part of the entity's name or type."""
     asked = queries.select("query_id", F.explode(terms).alias("term")).where("term <> ''").distinct()
@@ -133,6 +116,15 @@ def search(queries: DataFrame, mentions: DataFrame, entities: DataFrame, pages:
     return exact.unionByName(fuzzy, allowMissingColumns=True).withColumn("source", F.lit("knowledge_graph"))
 
 
+def named_entities(queries: DataFrame, mentions: DataFrame, pages: DataFrame, k: int, divisor: float = 100.0) -> DataFrame:
+    """For each query (query_id, keywords) the k most mentioned entities whose names hold one of its keywords, with their first page as source and title."""
+    asked = queries.select("query_id", F.explode("keywords").alias("term")).where("term <> ''").distinct()
+    rows = mentions.join(pages.select("page_id", "url", "title"), "page_id")
+    known = rows.groupBy("entity_name", "entity_type").agg(F.countDistinct("page_id").alias("page_count"), F.sum("count").alias("total_mentions"), F.min(F.struct("url", "title")).alias("p"))
+    found = containing(asked, known, ["entity_name"]).join(asked, "term").select("query_id", "entity_name").distinct().join(known, "entity_name")
+    return _top(found, k).select("query_id", "entity_name", "entity_type", "page_count", "total_mentions", F.col("p.url").alias("source"), F.col("p.title").alias("title"), F.least(F.col("total_mentions") / divisor, F.lit(1.0)).alias("score"), "rank")
+
+
 def aggregate_entities(queries: DataFrame, mentions: DataFrame, pages: DataFrame, k: int = 20, least: int = 2, divisor: float = 50.0) -> DataFrame:
     """For list questions: entities of the asked type whose name or page fits a domain term, mentioned more than twice.
 

@@ -49,36 +49,43 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", q
     """The k nearest corpus rows of each query: query_id, doc_id, distance, rank. Ties go to the smaller id.
 
     The corpus stays where it is: each task compares its rows with the queries in blocks, as matrix products, and keeps its own
-    k best a query; only those are shuffled and ranked. The queries are read when this is called, in rounds. Rows of one query id are one query
+    k best a query; only those are shuffled and ranked. The queries are read when this is called, in blocks. Ids of rows are numbers or strings. Rows of one query id are one query
     with several vectors, whose best distance to a row counts; rows of one doc_id count as one. Only vectors of equal length are compared. ``match`` names a query column (an array of allowed values) and a
     corpus column to filter by. Distances are rounded to ``digits`` places before ranking.
     """
     spark = corpus.sparkSession
     cols = [F.col(query_id).cast("long").alias("q"), _double(F.col(query_vector)).alias("v")] + ([F.col(match[0]).cast("array<string>").alias("m")] if match else [])
-    asked = queries.select(*cols).where("v IS NOT NULL").orderBy("q", "v")
-    rows = corpus.select(F.col(doc_id).cast("long").alias("d"), _double(F.col(vector)).alias("v"), (F.col(match[1]).cast("string") if match else F.lit(None).cast("string")).alias("m")).where("v IS NOT NULL")
-    found, at = None, 0
-    while True:
-        part = asked.offset(at).limit(QUERIES_AT_ONCE).toPandas()
-        if len(part) or found is None:
-            shared = spark.sparkContext.broadcast((part["q"].to_numpy(dtype=np.int64), part["v"].tolist(), [set(x) for x in part["m"]] if match else None))
-            best = rows.mapInArrow(_block_search(shared, k, metric, digits), "query_id bigint, doc_id bigint, distance double")
-            found = best if found is None else found.unionAll(best)
-        if len(part) < QUERIES_AT_ONCE:
-            break
-        at += QUERIES_AT_ONCE
+    asked = queries.select(*cols).where("v IS NOT NULL")
+    kind = "string" if corpus.schema[doc_id].dataType.simpleString() == "string" else "bigint"
+    rows = corpus.select(F.col(doc_id).cast(kind).alias("d"), _double(F.col(vector)).alias("v"), (F.col(match[1]).cast("string") if match else F.lit(None).cast("string")).alias("m")).where("v IS NOT NULL")
+    found = None
+    for part in _blocks(asked):
+        shared = spark.sparkContext.broadcast((part["q"].to_numpy(dtype=np.int64), part["v"].tolist(), [set(x) for x in part["m"]] if match else None))
+        best = rows.mapInArrow(_block_search(shared, k, metric, digits, kind), f"query_id bigint, doc_id {kind}, distance double")
+        found = best if found is None else found.unionAll(best)
     found = found.repartition("query_id").groupBy("query_id", "doc_id").agg(F.min("distance").alias("distance"))  # one shuffle for both steps
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _blocks(asked: DataFrame) -> Iterator[pd.DataFrame]:
+    """The queries in blocks of about QUERIES_AT_ONCE, by a hash of their ids: nothing is sorted, and a second block is read only if there is one."""
+    first = asked.limit(QUERIES_AT_ONCE + 1).toPandas()
+    if len(first) <= QUERIES_AT_ONCE:
+        yield first
+        return
+    blocks = -(-asked.count() // QUERIES_AT_ONCE)
+    for b in range(blocks):
+        yield asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toPandas()
+
+
 def _by_length(vectors: list) -> dict[int, np.ndarray]:
     """Places of the vectors of each length."""
     size = np.array([len(v) for v in vectors], dtype=np.int64)
     return {int(n): np.flatnonzero(size == n) for n in np.unique(size)}
 
 
-def _block_search(shared, k: int, metric: str, digits: int):
+def _block_search(shared, k: int, metric: str, digits: int, id_type: str = "bigint"):
     """Beside the queries a task holds its k best of each query and one block of distances (QUERY_BLOCK x ROW_BLOCK)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -87,9 +94,10 @@ def _block_search(shared, k: int, metric: str, digits: int):
             return
         kinds_of = np.array([frozenset(m) for m in allowed], dtype=object) if allowed else None
         sides = {n: (at, np.array([raw[i] for i in at], dtype=np.float64).reshape(len(at), n)) for n, at in _by_length(raw).items()}
-        best_d, best_i = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), dtype=np.int64)
+        text = id_type == "string"
+        best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), "" if text else 0, dtype=object if text else np.int64)
         for b in batches:
-            doc, kind = b.column(0).to_numpy(), np.array(b.column(2).to_pylist(), dtype=object)
+            doc, kind = b.column(0).to_numpy(zero_copy_only=False), np.array(b.column(2).to_pylist(), dtype=object)
             lists = b.column(1)
             length = pc.list_value_length(lists).to_numpy()
             for n, (places, queries) in sides.items():
@@ -108,7 +116,7 @@ def _block_search(shared, k: int, metric: str, digits: int):
         for c in range(0, len(ids), QUERY_BLOCK):
             some = ok[c : c + QUERY_BLOCK]
             q = np.broadcast_to(ids[c : c + QUERY_BLOCK, None], some.shape)[some]
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best_i[c : c + QUERY_BLOCK][some]), pa.array(best_d[c : c + QUERY_BLOCK][some])], names=["query_id", "doc_id", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best_i[c : c + QUERY_BLOCK][some], pa.string() if text else pa.int64()), pa.array(best_d[c : c + QUERY_BLOCK][some])], names=["query_id", "doc_id", "distance"])
 
     return run
 

@@ -80,7 +80,7 @@ def templated(names: DataFrame, kind: str, column: str = "name") -> tuple[DataFr
 
 
 def ingest(raw: DataFrame, dim: int = 64, embedder=None, path: str | None = None) -> dict[str, DataFrame]:
-    """From raw pages: page rows, dropped pages, chunks with embeddings, mentions.
+    """From raw pages: page rows, dropped pages, chunks with embeddings, mentions; all, kept and dropped, for callers to unpersist.
 
     Pages are processed once: written under ``path`` and read back, or kept by persist() where no path is given. Without
     that border the optimizer would work out a page's text again in every expression that is made from it.
@@ -95,7 +95,7 @@ def ingest(raw: DataFrame, dim: int = 64, embedder=None, path: str | None = None
     cut = chunks(kept, ["page_id", "url", "domain", "page_type", "title"], "cleaned_text")
     cut = embed(cut.withColumn("chunk_key", F.concat("page_id", F.lit("_"), F.col("chunk_id").cast("string"))), "text", embedder, dim)
     named = kept.select("page_id", entities.page_entities(F.col("cleaned_text"), F.col("url"), F.col("title")).alias("entities"))
-    return {"pages": kept, "dropped": every.where("drop_reason IS NOT NULL"), "chunks": cut, "mentions": entities.mentions(named)}
+    return {"all": every, "pages": kept, "dropped": every.where("drop_reason IS NOT NULL"), "chunks": cut, "mentions": entities.mentions(named)}
 
 
 def ranked(df: DataFrame, score: Column, tie: str, k: int | None = None) -> DataFrame:
