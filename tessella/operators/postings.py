@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK, SHARD_TOKENS = 128, 2_000_000
+BLOCK, SHARD_TOKENS = 128, 500_000
 #: Distinct terms of one round of queries, which go to all tasks (about 100 bytes each).
 TERMS_AT_ONCE = 200_000
 POSTINGS = "shard bigint, term string, docs array<bigint>, tf array<int>, size array<int>, top_tf array<int>, least_size array<int>"
