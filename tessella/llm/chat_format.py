@@ -25,6 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free
+
+
 def _fields(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
@@ -111,22 +114,23 @@ LAYOUTS = _layouts()
 
 
 def json_turns(records: DataFrame, json_col: str) -> DataFrame:
-    """Adds layout (its name, null if unknown) and turns to records that are JSON objects of any known layout."""
-    read = records.withColumn("__r", F.from_json(json_col, RECORD))
-    read = read.withColumn("__f", record_fingerprint(F.col("__r")))
+    """Adds layout (its name, null if unknown) and turns to records that are JSON objects of any known layout; with underscores behind these names where columns have them."""
+    parsed_as, known = (free(c, records.columns) for c in ("own_record", "own_fingerprint"))
+    read = records.withColumn(parsed_as, F.from_json(F.col(f"`{json_col}`"), RECORD))
+    read = read.withColumn(known, record_fingerprint(F.col(parsed_as)))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role string, text string>>")
     for layout, paths, mapping in LAYOUTS:
-        here = F.col("__f") == fingerprint(paths)
-        name, turns = F.when(here, layout).otherwise(name), F.when(here, mapping(F.col("__r"))).otherwise(turns)
-    return read.withColumns({"layout": name, "turns": turns}).drop("__r", "__f")
+        here = F.col(known) == fingerprint(paths)
+        name, turns = F.when(here, layout).otherwise(name), F.when(here, mapping(F.col(parsed_as))).otherwise(turns)
+    return read.withColumns({free("layout", records.columns): name, free("turns", records.columns): turns}).drop(parsed_as, known)
 
 
 def table_turns(df: DataFrame) -> DataFrame:
-    """Adds turns to a table whose schema has a known layout."""
+    """Adds turns to a table whose schema has a known layout; with underscores behind the name where a column has it."""
     key = schema_fingerprint(df.schema)
     for _, paths, mapping in LAYOUTS:
         if fingerprint(paths) == key:
-            return df.withColumn("turns", mapping({f: F.col(f"`{f}`") for f in {p.split("[]")[0] for p in paths}}))
+            return df.withColumn(free("turns", df.columns), mapping({f: F.col(f"`{f}`") for f in {p.split("[]")[0] for p in paths}}))
     raise ValueError(f"no layout has the fields {sorted(set(_paths(df.schema)) & set(KNOWN))}")
 
 
@@ -141,13 +145,13 @@ def unescaped(text: Column) -> Column:
 END = "\n</turn>\n"
 
 
-def formatted(turns: DataFrame, conv: str = "conv_id", order: tuple[str, ...] = ("turn",)) -> DataFrame:
+def formatted(turns: DataFrame, conv: str = "conv_id", order: tuple[str, ...] = ("turn",), turns_col: str = "turns") -> DataFrame:
     """From rows with an id, order columns and an array ``turns``: conv id, formatted, loss_spans.
 
     One shuffle, by conversation; offsets are running sums, so long conversations cost in proportion.
     """
     keys = [F.col(c) for c in order]
-    rows = turns.select(F.col(conv).alias("conv_id"), *[k.alias(f"k{i}") for i, k in enumerate(keys)], F.posexplode("turns").alias("pos", "t"))
+    rows = turns.select(F.col(conv).alias("conv_id"), *[k.alias(f"k{i}") for i, k in enumerate(keys)], F.posexplode(turns_col).alias("pos", "t"))
     rows = rows.select("*", F.concat(F.lit("<turn "), F.url_encode("t.role"), F.lit(">\n")).alias("head"), escaped(F.col("t.text")).alias("body"))
     rows = rows.withColumn("size", F.length("head") + F.length("body") + len(END))
     own = Window.partitionBy("conv_id").orderBy(*[f"k{i}" for i in range(len(keys))], "pos", "t.role", "t.text")

@@ -5,18 +5,20 @@ accepted URLs and one of rejected ones, share a table of character-gram counts.
 The probability of a character mixes all orders from 0 to ORDER, each with the weight of
 its context's count against MIX (an unseen context leaves the shorter one's estimate).
 A URL is blocked when the log ratio (rejected over accepted), divided by its
-length, exceeds a threshold calibrated on the URLs of a held-out fifth of the hosts, so on hosts whose names the
-model hasn't seen: above the share 1 - MAX_FALSE of the accepted ones, and half way to the low end of the rejected ones when
-the two lie apart and some are held out. The counts come from all other URLs, in aggregations that combine on the
+length, exceeds a threshold. The counts come from all labelled URLs, in aggregations that combine on the
 map side. They are kept for the grams themselves, so the table grows with the input. Each
 different window of ORDER + 1 characters is looked up once; the smallest tables, up to
 BROADCAST_GRAMS rows together, are broadcast, the others shuffled.
 
-Labelled URLs can be passed as ``examples``. Without them labels come from seed terms: a URL whose host has one is a
-rejected example, any other an accepted one, so some accepted examples may be bad ones that no term names.
+Labelled URLs can be passed as ``examples``. Without them labels are weak: a URL whose host has one of a few seed terms is a
+rejected example, any other an accepted one, so some accepted examples may be bad ones that no term names. So that the verdict is the models' and
+no echo of the list, hosts are dealt into FOLDS folds, all hosts with one term into the same, and every URL is judged by models that saw
+no URL of its fold: neither its host nor, where it has one, its term. A host with a term that looks like no other rejected one is allowed, and one without any term that
+looks like them is blocked. The threshold comes from the same unseen scores: above the share 1 - MAX_FALSE of the accepted ones, and half way to the low end of the
+rejected ones when the two lie apart.
 
 Null URLs and URLs without ``://`` have an empty host and path, no rule, and are allowed, as
-are all URLs without a rule when there are no rejected or no accepted examples. Very long
+are URLs without a rule when the other folds have no rejected or no accepted examples. Very long
 URLs are read whole, in segments. Repeated URLs are judged alike. Extra columns are ignored.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-ORDER, MIX, MAX_FALSE, SEGMENT = 4, 2.0, 0.001, 128
+ORDER, MIX, MAX_FALSE, SEGMENT, FOLDS = 4, 2.0, 0.001, 128, 5
 #: Rows of grams, and of windows with their log ratios, up to which tables are broadcast.
 BROADCAST_GRAMS = 300_000
 ALPHABET = 96.0
@@ -84,20 +86,30 @@ def _gram(slot: int) -> Column:
 
 
 def train(urls: DataFrame) -> DataFrame:
-    """From host, path, rejected: slot, gram, a, r (counts among accepted and rejected URLs), a row for each gram that occurs."""
-    counts = _windows(urls, ["rejected"]).groupBy("w").agg(F.sum(F.when(F.col("rejected"), 0.0).otherwise(1.0)).alias("a"), F.sum(F.when(F.col("rejected"), 1.0).otherwise(0.0)).alias("r"))
-    grams = counts.select(F.explode(F.array(*[F.struct(F.lit(j).alias("slot"), _gram(j).alias("gram")) for j in range(SLOTS)])).alias("g"), "a", "r")
-    return grams.select("g.*", "a", "r").groupBy("slot", "gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    """From host, path, rejected: slot, gram, a, r (counts among accepted and rejected URLs), a row for each gram that occurs.
+
+    With a column fold, a and r are arrays: at place f the counts of the URLs that are not in fold f.
+    """
+    keys = ["fold"] if "fold" in urls.columns else []
+    counts = _windows(urls, ["rejected", *keys]).groupBy("w", *keys).agg(F.sum(F.when(F.col("rejected"), 0.0).otherwise(1.0)).alias("a"), F.sum(F.when(F.col("rejected"), 1.0).otherwise(0.0)).alias("r"))
+    grams = counts.select(F.explode(F.array(*[F.struct(F.lit(j).alias("slot"), _gram(j).alias("gram")) for j in range(SLOTS)])).alias("g"), "a", "r", *keys).select("g.*", "a", "r", *keys).groupBy("slot", "gram")
+    if not keys:
+        return grams.agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    others = lambda c: F.array(*[F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0.0)) for f in range(FOLDS)])
+    return grams.agg(others("a").alias("a"), others("r").alias("r"))
 
 
 def _ratios(windows: DataFrame, model: DataFrame) -> DataFrame:
-    """For each different window: ratio, the log-likelihood of its last character among rejected URLs less that among accepted ones."""
+    """For each different window (of a fold): ratio, the log-likelihood of its last character among rejected URLs less that among accepted ones."""
     size = {r["slot"]: r["count"] for r in model.groupBy("slot").count().collect()}
-    out, room = windows.select("w").distinct(), BROADCAST_GRAMS
+    keys = [c for c in ("w", "fold") if c in windows.columns]
+    own = (lambda c: F.get(c, F.col("fold"))) if "fold" in keys else (lambda c: c)
+    out, room = windows.select(*keys).distinct(), BROADCAST_GRAMS
     for j in sorted(range(SLOTS), key=lambda j: (size.get(j, 0), j)):
         room -= size.get(j, 0)
         grams = model.where(F.col("slot") == j).select(F.col("gram").alias(f"g{j}"), F.col("a").alias(f"a{j}"), F.col("r").alias(f"r{j}"))
         out = out.withColumn(f"g{j}", _gram(j)).join(F.broadcast(grams) if room >= 0 else grams.hint("shuffle_merge"), f"g{j}", "left").drop(f"g{j}")
+        out = out.withColumns({f"a{j}": own(F.col(f"a{j}")), f"r{j}": own(F.col(f"r{j}"))})
 
     def prob(side: str) -> Column:
         p = F.lit(1 / ALPHABET)
@@ -106,36 +118,57 @@ def _ratios(windows: DataFrame, model: DataFrame) -> DataFrame:
             p = (seen + F.lit(MIX) * p) / (context + F.lit(MIX))
         return p
 
-    return out.select("w", (F.log(prob("r")) - F.log(prob("a"))).alias("ratio"))
+    return out.select(*keys, (F.log(prob("r")) - F.log(prob("a"))).alias("ratio"))
 
 
 def scored(rows: DataFrame, keys: list[str], model: DataFrame) -> DataFrame:
-    """keys (host and path among them) and score: the length-normalised log-likelihood difference, rejected less accepted."""
+    """keys (host and path among them; fold, for a model with folds) and score: the length-normalised log-likelihood difference, rejected less accepted."""
     at = _windows(rows, keys)
     ratios = written(_ratios(at, model), "url_ratios")
-    at = at.join(F.broadcast(ratios) if ratios.count() <= BROADCAST_GRAMS else ratios.hint("shuffle_merge"), "w")
+    by = [c for c in ("w", "fold") if c in ratios.columns]
+    at = at.join(F.broadcast(ratios) if ratios.count() <= BROADCAST_GRAMS else ratios.hint("shuffle_merge"), by)
     return at.groupBy(*keys).agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
 
 
+def seed_term(host: Column, terms=SEED_TERMS) -> Column:
+    """The first of the terms that the host has, else null."""
+    return F.coalesce(*[F.when(F.contains(host, F.lit(t)), F.lit(t)) for t in terms], F.lit(None).cast("string"))
+
+
+def fold_of(host: Column, terms=()) -> Column:
+    """Hosts with the same term are in one fold."""
+    return F.pmod(F.xxhash64(F.coalesce(seed_term(host, terms), host)), F.lit(FOLDS)).cast("int")
+
+
+def threshold(held: DataFrame) -> Column:
+    """Of scores with rejected: above all but MAX_FALSE of the accepted ones, half way to the low end of the rejected ones if that is higher; null without accepted ones."""
+    cut = held.agg(F.percentile_approx(F.when(~F.col("rejected"), F.col("score")), 1 - MAX_FALSE, 10000).alias("a"), F.percentile_approx(F.when(F.col("rejected"), F.col("score")), 0.05, 10000).alias("r"))
+    return written(cut.select(F.greatest(F.col("a"), F.coalesce((F.col("a") + F.col("r")) / 2, F.col("a"))).alias("threshold")), "url_threshold").select("threshold").scalar()
+
+
 def judged(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", rules=RULES, seed_terms=SEED_TERMS, examples: DataFrame | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (null where a rule decides)."""
-    url = F.col(url_col)
-    rows = pages.select(F.col(id_col).alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"))
-    seeds = (examples.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "rejected") if examples is not None
-             else rows.where("host <> ''").select("host", "path", F.greatest(F.lit(False), *[F.contains("host", F.lit(t)) for t in seed_terms]).alias("rejected")))
-    seeds = seeds.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(5)))
-    model = written(train(seeds.where("fold <> 0").select("host", "path", "rejected")), "url_model")
-    taught = not model.where("r > 0").isEmpty()
-    held = scored(seeds.where("fold = 0").withColumn("n", F.monotonically_increasing_id()), ["n", "host", "path", "rejected"], model)
-    cut = held.agg(F.percentile_approx(F.when(~F.col("rejected"), F.col("score")), 1 - MAX_FALSE, 10000).alias("a"), F.percentile_approx(F.when(F.col("rejected"), F.col("score")), 0.05, 10000).alias("r"))
-    above = F.greatest(F.col("a"), F.coalesce((F.col("a") + F.col("r")) / 2, F.col("a")))
-    cut = written(cut.select((above if taught else F.lit(None).cast("double")).alias("threshold")), "url_threshold")
-    rows = rows.withColumn("hit", ruled(F.col("host"), F.col("path"), rules))
-    left = rows.where("hit IS NULL").withColumn("n", F.monotonically_increasing_id()).select("n", "page_id", "host", "path")
-    decided = rows.where("hit IS NOT NULL").select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict"), F.lit(None).cast("double").alias("score"))
-    own = F.when((F.col("host") != "") & (F.col("score") > F.col("threshold")), "block").otherwise("allow")
-    left = scored(left, ["n", "page_id", "host", "path"], model).withColumn("threshold", cut.select("threshold").scalar())
-    return decided.unionAll(left.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), own.alias("verdict"), "score"))
+    url = F.col(f"`{url_col}`")
+    terms = seed_terms if examples is None else ()
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path")).withColumns({"n": F.monotonically_increasing_id(), "fold": fold_of(F.col("host"), terms)})
+    # The written rows fix the numbers that scores are kept under.
+    rows = written(rows.withColumns({"hit": ruled(F.col("host"), F.col("path"), rules), "rejected": seed_term(F.col("host"), terms).isNotNull()}), "url_rows")
+    keys = ["n", "host", "path", "fold"]
+    if examples is None:
+        taught = rows.where("host <> ''")
+    else:
+        taught = examples.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "rejected").withColumns({"n": F.monotonically_increasing_id(), "fold": fold_of(F.col("host"))})
+        taught = written(taught, "url_examples")
+    model = written(train(taught.select("host", "path", "rejected", "fold")), "url_model")
+    scores = written(scored(rows.select(*keys), keys, model).select("n", "score"), "url_scores")
+    own = scores if examples is None else scored(taught.select(*keys), keys, model).select("n", "score")
+    cut = threshold(taught.select("n", "rejected").join(own, "n"))
+    both = {r["fold"]: (r["a"], r["r"]) for r in taught.groupBy("fold").agg(F.count_if(~F.col("rejected")).alias("a"), F.count_if("rejected").alias("r")).collect()}  # a row for each fold
+    known = [all(sum(both.get(g, (0, 0))[i] for g in range(FOLDS) if g != f) for i in (0, 1)) for f in range(FOLDS)]
+    block = F.get(F.array(*[F.lit(k) for k in known]), F.col("fold")) & (F.col("host") != "") & (F.col("score") > F.col("threshold"))
+    out = rows.join(scores, "n").withColumn("threshold", cut)
+    free = F.col("hit").isNull()
+    return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.when(free, F.when(block, "block").otherwise("allow")).otherwise(F.col("hit.verdict")).alias("verdict"), F.when(free, F.col("score")).alias("score"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 from collections import Counter
@@ -144,6 +145,18 @@ def test_formatting_is_reversible_and_masks_assistants(spark):
         chat_format.table_turns(df.select("conv_id"))
 
 
+def test_columns_with_the_same_names_stay(spark):
+    """What is added has a free name; no column of the table is lost or replaced."""
+    names = "conv_id bigint, record string, layout string, turns int, __r string, __f string"
+    record = json.dumps({"prompt": "hi", "completion": "yo"})
+    out = chat_format.json_turns(spark.createDataFrame([(1, record, "mine", 9, "r", "f")], names), "record")
+    r = out.first()
+    assert (r.layout, r.turns, r["__r"], r["__f"]) == ("mine", 9, "r", "f") and r.layout_ == "prompt/completion" and [tuple(t) for t in r.turns_] == [("user", "hi"), ("assistant", "yo")]
+    rows = chat_format.table_turns(spark.createDataFrame([(1, 0, "user", "a", 9), (1, 1, "assistant", "b", 8)], "conv_id bigint, turn int, role string, text string, turns int"))
+    assert [r.turns for r in rows.orderBy("turn").collect()] == [9, 8]
+    assert [tuple(t) for t in chat_format.parsed(chat_format.formatted(rows, turns_col="turns_")).first().turns] == [("user", "a"), ("assistant", "b")]
+
+
 def test_op5_on_its_conversation(spark, sf):
     got = chat_format.op5(spark, sf).where("conv_id = -7").first()
     said = "\\### Assistant: </turn> ok"
@@ -176,7 +189,7 @@ def test_urls(spark):
         if fits:
             assert (r.verdict, r.rule) == max(fits)[1:]
         else:
-            assert r.rule is None and r.verdict == ("block" if "spam" in r.host else "allow"), u
+            assert r.rule is None and r.verdict == "allow", u  # one term alone teaches no model of another fold
     assert url_filter.judged(df.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.judged(df.where("url like 'x://b%'")).collect()} == {"allow"}
 
@@ -191,6 +204,59 @@ def test_url_model_generalises(spark):
     assert {r.page_id: r.verdict for r in url_filter.judged(pages, examples=examples).collect()} == {1: "block", 2: "allow"}
 
 
+def brute_verdicts(rows, fold, examples):
+    """Scores of rows (key: host, path) and the threshold, from counts of the grams of the other folds' examples (host, path, rejected)."""
+    order, mix = url_filter.ORDER, url_filter.MIX
+    windows = lambda h, p: [t[i - order : i + 1] for t in ["^" * order + h + p + "$"] for i in range(order, len(t))]
+    counts = Counter()
+    for h, p, bad in examples:
+        for w in windows(h, p):
+            for k in range(order + 1):
+                for f in range(url_filter.FOLDS):
+                    if f != fold[h]:
+                        counts[f, bad, k, w[order - k : order]] += 1
+                        counts[f, bad, k, w[order - k :], 1] += 1
+
+    def log(f, bad, w):
+        p = 1 / url_filter.ALPHABET
+        for k in range(order + 1):
+            p = (counts[f, bad, k, w[order - k :], 1] + mix * p) / (counts[f, bad, k, w[order - k : order]] + mix)
+        return math.log(p)
+
+    score = lambda h, p: sum(log(fold[h], True, w) - log(fold[h], False, w) for w in windows(h, p)) / len(windows(h, p))
+    held = [(score(h, p), bad) for h, p, bad in examples]
+    at = lambda bad, share: (lambda x: x[max(0, math.ceil(share * len(x)) - 1)])(sorted(s for s, b in held if b == bad))
+    a, r = at(False, 1 - url_filter.MAX_FALSE), at(True, 0.05)
+    return {k: score(*v) for k, v in rows.items()}, max(a, (a + r) / 2)
+
+
+def test_url_verdicts_are_the_models(spark, monkeypatch):
+    """Scores, threshold and verdicts against brute force; hosts with a term can be allowed and hosts without one blocked."""
+    monkeypatch.setattr(url_filter, "MAX_FALSE", 0.02)
+    rnd = random.Random(7)
+    good = ["".join(rnd.choice(["ta", "ri", "no", "el"]) for _ in range(rnd.randint(3, 5))) + ".com" for _ in range(40)]
+    bad = [f"{t}-xq{rnd.choice(['zx', 'qz', 'xz'])}-{rnd.choice(['win', 'zx'])}.biz" for t in url_filter.SEED_TERMS for _ in range(2)]
+    odd = ["xqz-win-xqzx.biz", "tarinoel.com", "trackrinoeltari.com"]  # like the rejected ones; like the accepted ones; accepted in all but its term
+    hosts = good * 3 + bad + odd
+    urls = {i: f"http://{h}/{rnd.choice(['en', 'de'])}/{rnd.randint(1, 99)}" for i, h in enumerate(hosts)}
+    df = spark.createDataFrame([(i, u, "t", 1, 2.0) for i, u in urls.items()], "page_id bigint, url string, n string, fold int, score double").repartition(3)
+    got = {r.page_id: r for r in url_filter.judged(df, rules=()).collect()}
+    split = {i: split_url(u) for i, u in urls.items()}
+    folds = spark.createDataFrame([(h,) for h in set(hosts)], "host string").select("host", url_filter.fold_of(F.col("host"), url_filter.SEED_TERMS).alias("f"))
+    examples = [(h, p, any(t in h for t in url_filter.SEED_TERMS)) for h, p in split.values()]
+    scores, cut = brute_verdicts(split, {r.host: r.f for r in folds.collect()}, examples)
+    assert {i: r.score for i, r in got.items()} == pytest.approx(scores, abs=1e-9)
+    assert {i: r.verdict for i, r in got.items()} == {i: "block" if s > cut else "allow" for i, s in scores.items()}
+    verdict = {h: got[i].verdict for i, h in enumerate(hosts)}
+    assert verdict[odd[0]] == "block" and verdict[odd[1]] == verdict[odd[2]] == "allow"
+    assert sum(verdict[h] == "block" for h in bad) > 0.7 * len(bad) and not any(verdict[h] == "block" for h in good)
+    given = spark.createDataFrame([(urls[i], b) for i, (_, _, b) in enumerate(examples)], "url string, rejected boolean")
+    told = {r.page_id: r for r in url_filter.judged(df, rules=(), examples=given).collect()}
+    plain = spark.createDataFrame([(h,) for h in set(hosts)], "host string").select("host", url_filter.fold_of(F.col("host")).alias("f"))
+    scores, cut = brute_verdicts(split, {r.host: r.f for r in plain.collect()}, examples)
+    assert {i: r.verdict for i, r in told.items()} == {i: "block" if s > cut else "allow" for i, s in scores.items()}
+
+
 # --- toxicity
 
 
