@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.profile import EXAMPLE
-from ..operators import adaptive, analyze, chat, context, entities, fuse, graph, pages, phrases, rerank, vector
+from ..operators import adaptive, analyze, chat, context, entities, fuse, graph, pages, phrases, rerank, tfidf, vector
 from ..sources import stores
 from . import retrieval
 from . import sql as S
@@ -136,7 +136,7 @@ def confident_spans(spark, sf):
 
 @query("keyword_summary", f"WITH k AS ({S.TFIDF}) SELECT doc_id, count(*) AS n, round(avg(score), 8) AS avg_score, min(score) AS min_score, max(score) AS max_score, arg_min(keyword, rank) AS top_keyword, string_agg(keyword, ',' ORDER BY rank) AS top_keywords FROM k GROUP BY 1")
 def keyword_summary(spark, sf):
-    out = entities.keyword_summary(entities.tfidf_keywords(_wide(spark, sf, "documents").select("doc_id", "text"), 5))
+    out = entities.keyword_summary(tfidf.keywords(_wide(spark, sf, "documents").select("doc_id", "text"), 5))
     return out.select("doc_id", F.col("count").alias("n"), F.round("avg_score", 8).alias("avg_score"), "min_score", "max_score", "top_keyword", F.array_join("top_keywords", ",").alias("top_keywords"))
 
 

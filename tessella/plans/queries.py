@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html, text, urls
 from ..functions.partitions import spread
 from ..functions.profile import EXAMPLE, Profile
-from ..operators import adaptive, analyze, chat, context, entities, fuse, graph, pages, rerank, vector
+from ..operators import adaptive, analyze, chat, context, entities, fuse, graph, pages, rerank, tfidf, vector
 from . import sql as S
 
 QUERIES: dict = {}
@@ -159,7 +159,7 @@ def keyword_categories(spark, sf):
 
 @query("keywords_tfidf", S.TFIDF)
 def keywords_tfidf(spark, sf):
-    return entities.tfidf_keywords(_wide(spark, sf, "documents").select("doc_id", "text"), 5).withColumn("rank", F.col("rank").cast("int"))
+    return tfidf.keywords(_wide(spark, sf, "documents").select("doc_id", "text"), 5)
 
 
 # --- Entities and graph: a gazetteer of frequent words of the data stands in for names

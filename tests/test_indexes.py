@@ -274,3 +274,21 @@ def test_knowledge_search(spark):
     assert of(1, "graph") == [("Entity: Vision Lab (Lab)", "https://x/a", 0.1), ("Entity: Ada Vision (Person)", "https://x/a", 0.04)]
     assert len(of(1, "vector")) == 5
     assert of(2, "graph_entity") == [("Ada Vision (Person) - Mentioned 4 times", "https://x/a", 0.08)]
+
+
+# --- tf-idf in rounds
+
+
+@pytest.mark.parametrize(("first", "held"), [(4, 4_000_000), (1, 50)])
+def test_tfidf_in_rounds_equals_the_plain_form(spark, sf, monkeypatch, first, held):
+    from tessella.operators import entities, tfidf
+
+    monkeypatch.setattr(tfidf, "FIRST", first)
+    monkeypatch.setattr(tfidf, "HELD", held)
+    rnd = random.Random(9)
+    words = [f"w{i:03d}" for i in range(300)]
+    texts = [" ".join(rnd.choices(words[:20], k=rnd.randint(0, 80)) + rnd.sample(words, rnd.randint(0, 60))) for _ in range(150)] + ["", None, "the and of", "alpha", "Alpha beta ALPHA beta", "common words here"] + ["common words here and there"] * 40
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, keyword string").repartition(4)
+    key = lambda d: {(r.doc_id, r["rank"]): (r.keyword, round(r.score, 6)) for r in d.collect()}
+    assert key(tfidf.keywords(docs, 5)) == key(entities.tfidf_keywords(docs, 5))
+    assert tfidf.keywords(docs.limit(0), 5).count() == 0
