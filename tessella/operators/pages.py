@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
+from ..functions.names import free
 from ..functions.text import contains_any, words
+from .phrases import gate
 
 #: Terms of research texts; weights of relevance; page types in order of precedence.
 RESEARCH_TERMS = ("research", "publication", "paper", "study", "analysis", "journal", "conference", "proceedings", "phd", "thesis", "professor")
@@ -82,16 +84,22 @@ def relevance(raw: Column, lowered: Column | None = None) -> Column:
     return F.aggregate(terms, start, step, lambda a: F.when(a["present"] > 0, F.least(F.lit(1.0), a["top"] / (2 * a["present"]))).otherwise(0.0))
 
 
+PROCESSED_COLUMNS = ("word_count", "page_type", "text_quality_score", "relevance_score", "content_length", "page_id", "drop_reason", "chunking_hints")
+
+
 def process(raw: DataFrame, url: str = "url", body: str = "html", status: str | None = None) -> DataFrame:
     """Raw pages to page rows: text, title, metadata, type, quality, ids and hints; one pass, no shuffle."""
     u, h = F.col(url), F.col(body)
     code = F.col(status) if status else F.lit(200)
-    out = raw.select("*", html.title(h, u).alias("title"), urls.part(u, "host").alias("domain"), html.page_text(h).alias("cleaned_text"), html.metadata(h).alias("metadata"), code.alias("response_status"), F.lower(h).alias("__low"))
+    made = {"title": html.title(h, u), "domain": urls.part(u, "host"), "cleaned_text": html.page_text(h), "metadata": html.metadata(h), "response_status": code}
+    low, cut = (free(c, [*raw.columns, *made, *PROCESSED_COLUMNS]) for c in ("own_low", "own_words"))
+    # Columns of the raw table that are made here are replaced; all others stay.
+    out = raw.withColumns({low: F.lower(h)} | made)
     text = F.col("cleaned_text")
-    out = out.withColumn("__w", words(text)).withColumns({
-        "word_count": F.size("__w"), "page_type": page_type(u, text), "text_quality_score": text_quality(text, F.col("__w")),
-        "relevance_score": relevance(h, F.col("__low")), "content_length": F.octet_length(h), "page_id": urls.page_id(u, F.col("domain")), "drop_reason": quality_reason(text, F.col("response_status"), F.col("__w")),
-    }).drop("__w", "__low")
+    out = out.withColumn(cut, words(text)).withColumns({
+        "word_count": F.size(cut), "page_type": page_type(u, text), "text_quality_score": text_quality(text, F.col(cut)),
+        "relevance_score": relevance(h, F.col(low)), "content_length": F.octet_length(h), "page_id": urls.page_id(u, F.col("domain")), "drop_reason": quality_reason(text, F.col("response_status"), F.col(cut)),
+    }).drop(cut, low)
     return out.withColumn("chunking_hints", chunk_hints(F.col("page_type"), F.size("metadata.headings")))
 
 
@@ -115,16 +123,19 @@ def top_domains(progress: DataFrame, k: int = 5) -> DataFrame:
 def expand_frontier(seeds: DataFrame, link_table: DataFrame, primary_host: str, internal_depth: int = 5, external_depth: int = 2, visited: DataFrame | None = None) -> DataFrame:
     """Breadth-first crawl over a table of links (source, link): url, depth, internal; depth starts anew across the host boundary.
 
-    One join a round; rounds end when nothing new is reached, at most after the sum of both depths.
+    One join a round; rounds end when nothing new is reached, at most after the sum of both depths. Where the table has a column relevance (of the
+    source page), only pages that pass the relevance gate are followed.
     """
     inner = lambda c: urls.is_internal(urls.part(c, "host"), primary_host)
     limit = F.when(F.col("internal"), internal_depth).otherwise(external_depth)
+    relevance_of = F.coalesce(F.col("relevance"), F.lit(0.0)) if "relevance" in link_table.columns else F.lit(1.0)
     front = seeds.select("url").distinct().withColumns({"depth": F.lit(0), "internal": inner(F.col("url"))})
     if visited is not None:
         front = front.join(visited.select("url").distinct(), "url", "left_anti")
     seen = front
     for _ in range(internal_depth + external_depth + 1):
-        step = front.where(F.col("depth") < limit).join(link_table.select(F.col("source").alias("url"), F.col("link")), "url")
+        step = front.where(F.col("depth") < limit).join(link_table.select(F.col("source").alias("url"), F.col("link"), relevance_of.alias("relevance")), "url")
+        step = step.where(gate(F.col("depth"), limit, F.col("relevance")))
         step = step.select(F.col("link").alias("url"), "depth", "internal", inner(F.col("link")).alias("to"))
         step = step.select("url", urls.next_depth(F.col("internal"), F.col("to"), F.col("depth")).alias("depth"), F.col("to").alias("internal"))
         step = step.groupBy("url", "internal").agg(F.min("depth").alias("depth")).select("url", "depth", "internal")

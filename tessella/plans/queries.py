@@ -9,6 +9,7 @@ from ..functions import html, text, urls
 from ..functions.partitions import spread
 from ..functions.profile import EXAMPLE, Profile
 from ..operators import adaptive, analyze, chat, context, entities, fuse, graph, pages, rerank, tfidf, vector
+from ..sources.shared import shared_folder
 from . import sql as S
 
 QUERIES: dict = {}
@@ -435,9 +436,12 @@ def hybrid_retrieval(spark, sf):
     """All four strategies to diversified hits, over processed pages with hashed embeddings."""
     from .retrieval import ingest, retrieve
 
-    made = ingest(_wide(spark, sf, "pages").drop("page_id"))
-    corpus = made["chunks"].select(F.xxhash64("chunk_key").alias("doc_id"), F.col("url").alias("source"), "title", "page_type", "domain", "text", "embedding").persist()
-    made["mentions"] = made["mentions"].persist()
+    folder = shared_folder(spark, "hybrid")
+    made = ingest(_wide(spark, sf, "pages").drop("page_id"), path=folder)
+    made["chunks"].select(F.col("chunk_key").alias("doc_id"), F.col("url").alias("source"), "title", "page_type", "domain", "text", "embedding").write.parquet(f"{folder}/chunks")
+    made["mentions"].write.parquet(f"{folder}/mentions")
+    corpus = spark.read.parquet(f"{folder}/chunks")
+    made["mentions"] = spark.read.parquet(f"{folder}/mentions")
     known = made["mentions"].select("entity_name", "entity_type").distinct().withColumn("alias", F.lit(None).cast("string"))
     out = retrieve(_questions(spark, sf), corpus, made["mentions"], known, 20)
     return out.select("query_id", "source", F.round("final_score", 9).alias("final_score"), F.col("rank").cast("int").alias("rank"))

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import free
+
 PAGES = (
     "page_id string, url string, title string, domain string, page_type string, crawl_date timestamp, cleaned_text string, raw_html string, depth int, response_status int, content_length int, "
     "word_count int, relevance_score double, text_quality_score double, metadata struct<description string, keywords string, author string, headings array<struct<level int, text string>>>, "
@@ -46,8 +48,9 @@ def item_id(df: DataFrame) -> Column:
 
 def unprocessed(pages: DataFrame, done: DataFrame) -> DataFrame:
     """Pages that no row of done stands for."""
-    ids = done.select(item_id(done).alias("__id")).distinct()
-    return pages.withColumn("__id", item_id(pages)).join(ids, "__id", "left_anti").drop("__id")
+    own = free("own_id", pages.columns)
+    ids = done.select(item_id(done).alias(own)).distinct()
+    return pages.withColumn(own, item_id(pages)).join(ids, own, "left_anti").drop(own)
 
 
 def unseen(urls: DataFrame, visited: DataFrame) -> DataFrame:
@@ -81,17 +84,17 @@ class Settings:
 
     def __init__(self, source: dict | str | None = None, overrides: dict | None = None):
         if isinstance(source, str):
-            with open(source) as f:
+            path = source
+            with open(path) as f:
                 text = f.read()
             try:
                 source = json.loads(text)
             except ValueError:
                 try:
                     import yaml
-
-                    source = yaml.safe_load(text)
-                except Exception:
-                    source = {}
+                except ImportError as e:
+                    raise ValueError(f"{path} is no JSON, and YAML can't be read here") from e
+                source = yaml.safe_load(text)  # a broken file is an error, not an empty one
         self.values = source or {}
         for name, value in (overrides or {}).items():
             at = self.values
