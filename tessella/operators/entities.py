@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,19 +51,54 @@ def _titled(found: Column, longer_than: int = 3, without=()) -> Column:
     return F.array_sort(F.array_distinct(F.transform(kept, title_case)))
 
 
-def labs(text: Column) -> Column:
+@dataclass(frozen=True)
+class Rules:
+    """Patterns of entity types and the topics to look for, in place of the built-in ones; types without patterns keep those.
+
+    Patterns have one group, the name, and are applied to lower-cased text; \\w, \\s and \\b follow Unicode.
+    """
+
+    lab: tuple[str, ...] | None = None
+    research_topic: tuple[str, ...] | None = None
+    organization: tuple[str, ...] | None = None
+    topics: tuple[str, ...] = TOPICS
+
+    @classmethod
+    def of(cls, settings) -> Rules:
+        """From settings with ``extraction_patterns.TYPE`` lists and an optional list ``topics``; types are read in any spelling of case and underscores."""
+        plain = lambda t: t.lower().replace("_", "")
+        given = {plain(t): tuple(p) for t, p in (settings.get("extraction_patterns") or {}).items()}
+        for patterns in given.values():
+            for p in patterns:
+                if re.compile(p).groups != 1:
+                    raise ValueError(f"a pattern needs one group: {p}")
+        return cls(given.get("lab"), given.get("researchtopic"), given.get("organization"), tuple(settings.get("topics") or TOPICS))
+
+
+def _own(text: Column, patterns: tuple[str, ...]) -> list[Column]:
+    return [_all(text, f"(?U){p}") for p in patterns]
+
+
+def labs(text: Column, rules: Rules | None = None) -> Column:
     low = F.lower(text)
+    if rules and rules.lab is not None:
+        return _titled(F.concat(F.array().cast("array<string>"), *_own(low, rules.lab)), without=NOT_LABS)
     return _titled(F.concat(*[_all_where(low, p, "lab" if "group" not in p else "research") for p in LAB_PATTERNS]), without=NOT_LABS)
 
 
-def topics(text: Column, gazetteer=TOPICS) -> Column:
+def topics(text: Column, gazetteer=TOPICS, rules: Rules | None = None) -> Column:
     low = F.lower(text)
-    listed = _all(low, "(" + "|".join(t.replace(" ", r"\s+") for t in gazetteer) + ")")
+    gazetteer = rules.topics if rules else gazetteer
+    listed = _all(low, "(" + "|".join(t.replace(" ", r"\s+") for t in gazetteer) + ")") if gazetteer else F.array().cast("array<string>")
+    if rules and rules.research_topic is not None:
+        return _titled(F.concat(*_own(low, rules.research_topic), listed))
     return _titled(F.concat(*[_all_where(low, p, *needles) for p, needles in zip(TOPIC_PATTERNS, (("research",), ("stud", "work")), strict=True)], listed))
 
 
-def organizations(text: Column, institutes: bool = False) -> Column:
+def organizations(text: Column, institutes: bool = False, rules: Rules | None = None) -> Column:
     low = F.lower(text)
+    if rules and rules.organization is not None:
+        return _titled(F.concat(F.array().cast("array<string>"), *_own(low, rules.organization)))
     return _titled(F.concat(*[_all_where(low, p, p.split("\\")[0]) for p in ORG_PATTERNS + ((INSTITUTE_PATTERN,) if institutes else ())]))
 
 
@@ -92,10 +130,10 @@ def url_departments(url: Column, title: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(F.concat(path, F.array(F.when(sub.isin("www", "web", "portal"), "").otherwise(sub), short)), lambda x: x != ""), F.upper)))
 
 
-def page_entities(text: Column, url: Column, title: Column, longer_than: int = 2) -> Column:
+def page_entities(text: Column, url: Column, title: Column, longer_than: int = 2, rules: Rules | None = None) -> Column:
     """Struct of persons, labs, topics and organizations of a page, each sorted."""
     clean = lambda a: F.array_sort(F.array_distinct(F.filter(a, lambda x: F.length(x) > longer_than)))
-    return F.struct(clean(F.concat(url_persons(url), title_persons(title))).alias("persons"), clean(F.concat(labs(text), title_labs(title))).alias("labs"), clean(topics(text)).alias("topics"), clean(organizations(text)).alias("organizations"))
+    return F.struct(clean(F.concat(url_persons(url), title_persons(title))).alias("persons"), clean(F.concat(labs(text, rules), title_labs(title))).alias("labs"), clean(topics(text, rules=rules)).alias("topics"), clean(organizations(text, rules=rules)).alias("organizations"))
 
 
 def mentions(pages: DataFrame, page_id: str = "page_id", entities: str = "entities") -> DataFrame:

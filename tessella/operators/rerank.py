@@ -160,3 +160,12 @@ def apply_listwise(hits: DataFrame, orders: DataFrame, rank: str = "rank") -> Da
     pos = orders.select("query_id", F.posexplode("positions").alias("__p", rank)).groupBy("query_id", rank).agg(F.min("__p").alias("__p"))
     rows = hits.join(pos, ["query_id", rank], "left")
     return rows.withColumn("llm_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("__p"), rank))).drop("__p")
+
+
+def conversation_rerank(hits: DataFrame, history: DataFrame, factor: float = 1.3, score: str = "score") -> DataFrame:
+    """Hits in a new order: the score grows where the text holds an entity of the conversation so far (history: query_id, entities), in any case."""
+    said = history.select("query_id", F.transform(F.filter("entities", lambda e: e != ""), lambda e: F.lower(e)).alias("history_entities"))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    known = F.coalesce(F.exists("history_entities", lambda e: F.contains(low, e)), F.lit(False))
+    out = hits.join(said, "query_id", "left").withColumn("history_match", known).withColumn(score, F.when(F.col("history_match"), F.col(score) * factor).otherwise(F.col(score))).drop("history_entities")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round(score, 12)), "rank")))

@@ -139,3 +139,17 @@ def cached_questions(spark, sf):
     """Vectors as questions: the most similar one that is not too old (its label), if it is similar enough."""
     earlier = _vectors(spark, sf).where("doc_id % 100 <> 0 AND page_type <> '3'")
     return answers.matches(_asked(spark, sf), earlier, 0.4)
+
+
+@query("conversation_rerank", f"""
+WITH {S._PH}, f AS (SELECT conv_id % 7 AS query_id, min(conv_id) AS conv_id FROM conversations WHERE turn = 0 GROUP BY 1),
+e AS (SELECT f.query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '{_WORD}'), lambda w: length(w) >= 8)) AS es FROM f JOIN conversations c ON c.conv_id = f.conv_id AND c.turn = 0),
+m AS (SELECT h.page_id, h.query_id, h.rank, h.score, coalesce(len(list_filter(es, lambda w: contains(lower(coalesce(h.text, '')), w))) > 0, false) AS hit FROM h LEFT JOIN e ON h.query_id = e.query_id)
+SELECT query_id, page_id, hit AS history_match, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN hit THEN score * 1.3 ELSE score END, 12) DESC, rank)::INT AS rank FROM m""")
+def conversation_rerank(spark, sf):
+    """Page hits after a conversation: the longer words of a first turn stand for the entities spoken of."""
+    first = _t(spark, sf, "conversations").where("turn = 0").withColumn("query_id", F.col("conv_id") % 7)
+    said = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)), lambda w: F.length(w) >= 8))
+    history = first.groupBy("query_id").agg(F.min_by("text", "conv_id").alias("text")).select("query_id", said.alias("entities"))
+    out = rerank.conversation_rerank(_page_hits(spark, sf), history)
+    return out.select("query_id", "page_id", "history_match", F.col("rank").cast("int").alias("rank"))

@@ -1,10 +1,12 @@
 """The command line from raw pages to a conversation; names that clash; the crawl's relevance gate."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessella import __main__ as cli
-from tessella.operators import pages
+from tessella.operators import entities, pages
 from tessella.sources import files, stores
 
 
@@ -61,3 +63,15 @@ def test_broken_settings_are_an_error(tmp_path):
     (tmp_path / "s.yaml").write_text("a: [1, 2\nb: {")
     with pytest.raises(Exception):  # noqa: B017  the YAML reader's own error, or a ValueError without one
         files.Settings(str(tmp_path / "s.yaml"))
+
+
+def test_entity_rules_from_a_file(spark, tmp_path):
+    """Patterns and topics of an institution replace the built-in ones, type by type."""
+    (tmp_path / "rules.json").write_text(json.dumps({"extraction_patterns": {"Research_Topic": [r"topic\s+(\w+)"], "lab": [r"(\w+)\s+workshop"]}, "topics": ["glass blowing"]}))
+    rules = entities.Rules.of(files.Settings(str(tmp_path / "rules.json")))
+    text = "The Küche workshop has topic ätzen; glass   blowing, machine learning. The robotics lab. Department of physics."
+    e = spark.createDataFrame([(text,)], "t string").select(entities.page_entities(F.col("t"), F.lit(""), F.lit(""), rules=rules).alias("e")).first().e
+    assert (e.labs, e.topics) == (["Küche"], ["Glass   Blowing", "Ätzen"]) and any("Physics" in o for o in e.organizations)
+    with pytest.raises(ValueError, match="one group"):
+        entities.Rules.of(files.Settings({"extraction_patterns": {"lab": ["no group"]}}))
+    assert entities.Rules.of(files.Settings({})) == entities.Rules()
