@@ -1,15 +1,17 @@
 """Keywords by tf-idf without moving the texts' terms: frequencies by hash, then only as many candidates as the answer needs.
 
 1. One pass counts in how many texts each term's hash occurs. Tasks add up before they send (hash, count), 16 bytes each; terms of a single text are not kept.
-2. A term's score is at most its count times the idf of a term of one text. Each text sends its FIRST best candidates by that bound, in the order (bound,
-   term), and the bound of the next one. They meet their frequencies by hash. A text is done when k of its scores come before anything unsent; the others
-   send GROW times as many in the next round. So the rounds end, and every text's k best are exact (but for two terms with one 64-bit hash).
+2. The most frequent hashes, KNOWN at most, are broadcast with their counts. The score of any other term is at most its count in the text times the idf of a term
+   of one text. Each text sends its FIRST best candidates by that bound, in the order (bound, term), and the bound of the next one. They meet their frequencies by
+   hash. A text is done when k of its scores come before anything unsent; the others send GROW times as many in the next round. So the
+   rounds end, and every text's k best are exact (but for two terms with one 64-bit hash).
 
 Terms are words and pairs of neighbouring words, without stop words and words of one or two characters. Null texts have none.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +29,10 @@ from ..sources.shared import shared_folder
 FIRST, GROW = 4, 8
 #: Hashes that a task adds up before it sends their counts (32 MB).
 HELD = 4_000_000
+#: Frequent hashes that go to all tasks (16 bytes each; some 100 in a worker's table).
+KNOWN = 300_000
+#: Bounds nearer than this are not told apart: scores are rounded before they are ranked.
+NEAR = 2e-6
 #: Texts that are left up to which their ids are broadcast in a later round.
 BROADCAST_TEXTS = 1_000_000
 _WORD = re.compile(r"\w+")
@@ -65,24 +71,44 @@ def frequencies(low: DataFrame, stop: frozenset[str]) -> DataFrame:
     return low.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("df")).where("df > 1")
 
 
-def _candidates(rows: DataFrame, keys: list[str], stop: frozenset[str], most: int) -> DataFrame:
-    """keys, row, keyword, tf, hash of each text's ``most`` candidates, with next_tf and next_keyword of the first one that isn't sent (null: none)."""
-    n = len(keys)
+def most_frequent(df: DataFrame, most: int = KNOWN) -> dict[int, int]:
+    """Frequencies of all hashes above the lowest power of two that at most ``most`` exceed."""
+    steps = [1 << i for i in range(1, 40)]
+    above = df.agg(*[F.count_if(F.col("df") > t) for t in steps]).first()
+    least = next((t for t, n in zip(steps, above, strict=True) if n <= most), None)
+    return {} if least is None else {r[0]: r[1] for r in df.where(F.col("df") > least).select("hash", "df").collect()}  # at most KNOWN rows
+
+
+def _candidates(rows: DataFrame, keys: list[str], stop: frozenset[str], most: int, known: dict[int, int], texts: int) -> DataFrame:
+    """keys, keyword, tf, hash of each text's ``most`` candidates, with next_tf, next_df (1: not known) and next_keyword of the first one that isn't sent (null: none); apart: no later one is near its bound."""
+    n, shared = len(keys), rows.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]):
+        known = shared.value
+        idf = {d: math.log((1 + texts) / (1 + d)) for d in {1, *known.values()}}
         for b in batches:
             at, out = [], []
             for i, t in enumerate(b.column(n)):
-                best = sorted(_terms(t.as_py(), stop).items(), key=lambda x: (-x[1], x[0]))
-                after = best[most] if len(best) > most else (None, None)
-                for term, tf in best[:most]:
+                rated = []
+                for term, tf in _terms(t.as_py(), stop).items():
+                    h = _hash(term)
+                    d = known.get(h, 1)
+                    rated.append((-tf * idf[d], term, tf, h, d))
+                rated.sort()
+                after, apart = (None, None, None), True
+                if len(rated) > most:
+                    bound, term, tf, _, d = rated[most]
+                    after = (tf, d, term)
+                    apart = next((x[0] - bound > NEAR for x in rated[most + 1 :] if x[0] != bound), True)
+                for _, term, tf, h, _ in rated[:most]:
                     at.append(i)
-                    out.append((term, tf, _hash(term), after[1], after[0]))
-            cols = list(zip(*out, strict=True)) or [()] * 5
+                    out.append((term, tf, h, *after, apart))
+            cols = list(zip(*out, strict=True)) or [()] * 7
             own = [b.column(c).take(pa.array(at, pa.int64())) for c in range(n)]
-            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=[*b.schema.names[:n], "keyword", "tf", "hash", "next_tf", "next_keyword"])
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*b.schema.names[:n], "keyword", "tf", "hash", "next_tf", "next_df", "next_keyword", "apart"])
 
-    made = [T.StructField("keyword", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("next_tf", T.LongType()), T.StructField("next_keyword", T.StringType())]
+    made = [T.StructField(c, k) for c, k in (("keyword", T.StringType()), ("tf", T.LongType()), ("hash", T.LongType()), ("next_tf", T.LongType()), ("next_df", T.LongType()), ("next_keyword", T.StringType()), ("apart", T.BooleanType()))]
     return rows.mapInArrow(run, T.StructType([*rows.select(*keys).schema.fields, *made]))
 
 
@@ -92,16 +118,18 @@ def keywords(docs: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "
     low = docs.select(F.col(doc_id), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     frequencies(low.select("text"), words).write.parquet(f"{folder}/df")
     df, n = spark.read.parquet(f"{folder}/df"), docs.count()
-    bound = lambda tf: F.round(tf * F.log(F.lit((1 + n) / 2)), digits)
+    known = most_frequent(df)
+    rated = lambda tf, d: F.round(F.col(tf) * F.log(F.lit(float(1 + n)) / (1 + d)), digits)
     out, left, most, number = None, low, FIRST * k if n > 1 else 1 << 60, 0  # of a single text all scores are equal
     while True:
-        rows = _candidates(left, [doc_id], words, most).join(df, "hash", "left")
-        rows = rows.withColumn("score", F.round(F.col("tf") * F.log(F.lit(float(1 + n)) / (1 + F.coalesce("df", F.lit(1)))), digits))
+        rows = _candidates(left, [doc_id], words, most, known, n).join(df, "hash", "left")
+        rows = rows.withColumn("score", rated("tf", F.coalesce("df", F.lit(1)))).drop("hash", "tf", "df")
         rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(doc_id).orderBy(F.desc("score"), "keyword"))).where(F.col("rank") <= k)
-        last = F.struct((-F.col("score")).alias("s"), "keyword")
-        sure = F.col("next_tf").isNull() | ((F.col("of") == k) & (F.col("worst") < F.struct((-bound(F.col("next_tf"))).alias("s"), F.col("next_keyword").alias("keyword"))))
         own = Window.partitionBy(doc_id)
-        rows = rows.withColumns({"worst": F.max(last).over(own), "of": F.count(F.lit(1)).over(own)}).withColumn("sure", sure)
+        worst, bound = F.max(F.struct((-F.col("score")).alias("s"), F.col("keyword").alias("w"))).over(own), rated("next_tf", F.col("next_df"))
+        over = -F.col("worst.s") - bound
+        before = (over > NEAR) | ((F.abs(over) <= NEAR) & F.col("apart") & (-F.col("worst.s") >= bound) & (F.col("worst.w") < F.col("next_keyword")))
+        rows = rows.withColumns({"worst": worst, "of": F.count(F.lit(1)).over(own)}).withColumn("sure", F.col("next_tf").isNull() | ((F.col("of") == k) & before))
         rows.select(doc_id, "keyword", "score", "rank", "sure").write.parquet(f"{folder}/{number}")
         rows = spark.read.parquet(f"{folder}/{number}")
         done = rows.where("sure").drop("sure")

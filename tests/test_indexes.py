@@ -279,12 +279,13 @@ def test_knowledge_search(spark):
 # --- tf-idf in rounds
 
 
-@pytest.mark.parametrize(("first", "held"), [(4, 4_000_000), (1, 50)])
-def test_tfidf_in_rounds_equals_the_plain_form(spark, sf, monkeypatch, first, held):
+@pytest.mark.parametrize(("first", "held", "known"), [(4, 4_000_000, 300_000), (1, 50, 30), (2, 50, 0)])
+def test_tfidf_in_rounds_equals_the_plain_form(spark, sf, monkeypatch, first, held, known):
     from tessella.operators import entities, tfidf
 
     monkeypatch.setattr(tfidf, "FIRST", first)
     monkeypatch.setattr(tfidf, "HELD", held)
+    monkeypatch.setattr(tfidf.most_frequent, "__defaults__", (known,))
     rnd = random.Random(9)
     words = [f"w{i:03d}" for i in range(300)]
     texts = [" ".join(rnd.choices(words[:20], k=rnd.randint(0, 80)) + rnd.sample(words, rnd.randint(0, 60))) for _ in range(150)] + ["", None, "the and of", "alpha", "Alpha beta ALPHA beta", "common words here"] + ["common words here and there"] * 40
