@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Elements whose content is no text of the page.
-UNWANTED = "script style nav footer header aside iframe noscript".split()
+UNWANTED = ("script", "style", "nav", "footer", "header", "aside", "iframe", "noscript")
 #: Entities and the characters they stand for.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
 

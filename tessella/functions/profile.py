@@ -27,21 +27,54 @@ ACRONYMS = (
     ("iap", "instrumentation and applied physics"), ("physics", "department of physics"), ("cbr", "centre for brain research"),
     ("fsid", "foundation for science, innovation and development"), ("diarcoe", "department of interdisciplinary and applied research in chemical engineering"),
 )
-#: Names of departments other than what their acronym stands for.
-MORE_NAMES = {
-    "biochem": ("biochemistry department", "biochemistry"), "ces": ("ecological sciences centre", "ecological sciences"), "cidr": ("infectious disease research centre",),
-    "cns": ("neuroscience centre", "neuroscience"), "mcb": ("microbiology and cell biology",), "mbu": ("molecular biophysics",), "dbg": ("developmental biology and genetics",),
-    "ipc": ("inorganic and physical chemistry",), "mrc": ("materials research",), "orgchem": ("organic chemistry department",), "sscu": ("solid state chemistry",),
-    "csa": ("csa department",), "ece": ("ece department",), "dese": ("electronic systems engineering",), "ee": ("electrical engineering department",),
-    "be": ("bioengineering department",), "csp": ("sustainable technologies centre",), "cense": ("nanoscience and engineering",), "cds": ("computational data sciences", "cds department"),
-    "mgmt": ("management department",), "icer": ("energy research centre",), "icwar": ("water research centre",), "cps": ("contemporary studies centre",),
-    "msci": ("materials science department",), "serc": ("supercomputer research centre",), "longevity": ("longevity research centre",), "aero": ("aerospace engineering department",),
-    "caos": ("atmospheric and oceanic sciences",), "ceas": ("earth sciences centre",), "dm": ("mathematics department", "mathematics"), "cst": ("scientific teaching centre",),
-    "chemeng": ("chemical engineering department",), "civil": ("civil engineering department",), "dccc": ("cloud computing centre",), "materials": ("materials engineering department",),
-    "mecheng": ("mechanical engineering department",), "physics": ("physics department", "physics"), "cbr": ("brain research centre",), "math": ("mathematics",), "iap": ("applied physics",),
-}
-#: Acronyms that name no department of their own.
-NO_DEPARTMENT = ("physics_jap", "cct", "chep", "fsid", "diarcoe")
+#: Departments with all their names.
+DEPARTMENTS = {
+    "biochem": ("department of biochemistry", "biochemistry department", "biochemistry"),
+    "caf": ("central animal facility",),
+    "ces": ("centre for ecological sciences", "ecological sciences centre", "ecological sciences"),
+    "cidr": ("centre for infectious disease research", "infectious disease research centre"),
+    "cns": ("centre for neuroscience", "neuroscience centre", "neuroscience"),
+    "mcb": ("department of microbiology and cell biology", "microbiology and cell biology"),
+    "mbu": ("molecular biophysics unit", "molecular biophysics"),
+    "dbg": ("department of developmental biology and genetics", "developmental biology and genetics"),
+    "ipc": ("department of inorganic and physical chemistry", "inorganic and physical chemistry"),
+    "mrc": ("materials research centre", "materials research"),
+    "orgchem": ("department of organic chemistry", "organic chemistry department"),
+    "sscu": ("solid state and structural chemistry unit", "solid state chemistry"),
+    "csa": ("computer science and automation", "csa department"),
+    "ece": ("electrical communication engineering", "ece department"),
+    "dese": ("department of electronic systems engineering", "electronic systems engineering"),
+    "ee": ("electrical engineering", "electrical engineering department"),
+    "cistup": ("centre for infrastructure, sustainable transportation and urban planning",),
+    "be": ("bioengineering", "bioengineering department"),
+    "csp": ("centre for sustainable technologies", "sustainable technologies centre"),
+    "cense": ("centre for nanoscience and engineering", "nanoscience and engineering"),
+    "cds": ("computational and data sciences", "computational data sciences", "cds department"),
+    "mgmt": ("management studies", "management department"),
+    "icer": ("interdisciplinary centre for energy research", "energy research centre"),
+    "icwar": ("interdisciplinary centre for water research", "water research centre"),
+    "cps": ("centre for contemporary studies", "contemporary studies centre"),
+    "msci": ("department of materials science", "materials science department"),
+    "serc": ("supercomputer education and research centre", "supercomputer research centre"),
+    "iqti": ("international centre for quantum technology initiatives",),
+    "abcmc": ("atomic, biomolecular and chemical sciences centre",),
+    "longevity": ("centre for longevity research", "longevity research centre"),
+    "aero": ("aerospace engineering", "aerospace engineering department"),
+    "caos": ("centre for atmospheric and oceanic sciences", "atmospheric and oceanic sciences"),
+    "ceas": ("centre for earth sciences", "earth sciences centre"),
+    "camm": ("centre for advanced manufacturing and materials",),
+    "dm": ("department of mathematics", "mathematics department", "mathematics"),
+    "cst": ("centre for scientific teaching", "scientific teaching centre"),
+    "chemeng": ("chemical engineering", "chemical engineering department"),
+    "civil": ("civil engineering", "civil engineering department"),
+    "dccc": ("digital campus and cloud computing centre", "cloud computing centre"),
+    "materials": ("materials engineering", "materials engineering department"),
+    "mecheng": ("mechanical engineering", "mechanical engineering department"),
+    "math": ("mathematics department", "mathematics"),
+    "iap": ("instrumentation and applied physics", "applied physics"),
+    "physics": ("department of physics", "physics department", "physics"),
+    "cbr": ("centre for brain research", "brain research centre"),
+}
 
 
 @dataclass(frozen=True)
@@ -50,7 +83,7 @@ class Profile:
     academic_hosts: tuple[str, ...] = (".edu", ".ac.")
     external_hosts: tuple[str, ...] = (".edu/", ".ac.uk")
     acronyms: tuple[tuple[str, str], ...] = ACRONYMS
-    departments: dict[str, tuple[str, ...]] = field(default_factory=lambda: {k: (v, *MORE_NAMES.get(k, ())) for k, v in ACRONYMS if k not in NO_DEPARTMENT})
+    departments: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(DEPARTMENTS))
 
 
 EXAMPLE = Profile()

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 #: Stop words of keyword extraction, and the shorter list of query analysis.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by from as is are was were be this that these those what which who when where how why all about tell me"
-).split()
-SHORT_STOP_WORDS = "the and for are with this that".split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "are", "was", "were", "be", "this",
+    "that", "these", "those", "what", "which", "who", "when", "where", "how", "why", "all", "about", "tell", "me",
+)
+SHORT_STOP_WORDS = ("the", "and", "for", "are", "with", "this", "that")
 
 
 def words(text: Column) -> Column:

@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from .text import contains_any
 
 #: Fixed values of the link rules.
-BLOCKED_EXTENSIONS = "pdf doc docx ppt pptx xls xlsx zip tar gz rar 7z jpg jpeg png gif svg ico webp mp4 mp3 avi mov wav exe dmg apk deb rpm".split()
-SKIPPED_EXTENSIONS = "pdf doc docx ppt pptx xls xlsx zip tar gz jpg jpeg png gif mp4 mp3".split()
-NOISE_WORDS = "schedule timetable time-table exam-schedule calendar event news announcement gallery photo image login signin download- print share comment reply".split()
+BLOCKED_EXTENSIONS = (
+    "pdf", "doc", "docx", "ppt", "pptx", "xls", "xlsx", "zip", "tar", "gz", "rar", "7z", "jpg", "jpeg", "png", "gif", "svg", "ico", "webp", "mp4",
+    "mp3", "avi", "mov", "wav", "exe", "dmg", "apk", "deb", "rpm",
+)
+SKIPPED_EXTENSIONS = (
+    "pdf", "doc", "docx", "ppt", "pptx", "xls", "xlsx", "zip", "tar", "gz", "jpg", "jpeg", "png", "gif", "mp4", "mp3",
+)
+NOISE_WORDS = (
+    "schedule", "timetable", "time-table", "exam-schedule", "calendar", "event", "news", "announcement", "gallery", "photo", "image", "login",
+    "signin", "download-", "print", "share", "comment", "reply",
+)
 DATE_PARAMS = ("date=", "month=", "year=", "day=", "time=")
 DATE_WORDS = ("calendar", "schedule", "event", "news")
 TRACKING_PARAMS = ("session=", "sid=", "token=", "utm_", "ref=")
@@ -94,7 +102,7 @@ def should_follow(url: Column, source: Column, allowed_hosts: tuple[str, ...] =
     """http(s) only, no files, no anchors into the page itself; with allowed_hosts, hosts that contain one of them."""
     bare = lambda u: F.concat(part(u, "scheme"), F.lit("://"), part(u, "host"), part(u, "path"))
     same_page = (part(url, "fragment") != "") & (part(url, "query") == "") & (bare(url) == bare(source))
-    files = SKIPPED_EXTENSIONS + ["avi", "mov"] if allowed_hosts else SKIPPED_EXTENSIONS
+    files = (*SKIPPED_EXTENSIONS, "avi", "mov") if allowed_hosts else SKIPPED_EXTENSIONS
     ok = part(url, "scheme").isin("http", "https") & ~_ends_with(part(url, "path"), files) & ~same_page
     return ok & contains_any(part(url, "host"), allowed_hosts) if allowed_hosts else ok
 

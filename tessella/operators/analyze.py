@@ -24,6 +24,7 @@ INTENTS = {
     "person_query": (r"\bwho\s+is\s+[A-Z][a-z]+\b", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b"),
     "about_query": (r"\b(tell|about|describe|what|explain|info|information)\b",),
 }
+#: The type of a query by its first intent; words of list and faculty questions; words for people and labs.
 QUERY_TYPES = (("list_all", "list_aggregation"), ("person_query", "person_lookup"), ("faculty_query", "faculty_search"), ("lab_query", "lab_search"), ("department_query", "department_search"), ("about_query", "information_retrieval"))
 LIST_WORDS = ("list", "all", "show all", "who are", "faculty members", "researchers")
 FACULTY_WORDS = ("faculty", "professor", "researcher", "staff", "who is", "people")

@@ -42,7 +42,7 @@ def error_routing(spark, sf):
 _FOLLOWED = ("example.com", "example.net")
 
 
-@query("follow_allowed", f"""SELECT page_id, {S.part("url", "scheme")} IN ('http', 'https') AND NOT regexp_matches(lower({S.part("url", "path")}), '\\.({"|".join(urls.SKIPPED_EXTENSIONS + ["avi", "mov"])})$') AND {S.any_in(S.part("url", "host"), _FOLLOWED)} AS follow,
+@query("follow_allowed", f"""SELECT page_id, {S.part("url", "scheme")} IN ('http', 'https') AND NOT regexp_matches(lower({S.part("url", "path")}), '\\.({"|".join((*urls.SKIPPED_EXTENSIONS, "avi", "mov"))})$') AND {S.any_in(S.part("url", "host"), _FOLLOWED)} AS follow,
   {S.any_in(S.part("url", "host"), ("example.org",))} AS override FROM pages""")
 def follow_allowed(spark, sf):
     u = F.col("url")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from ..functions import html, urls
 from ..functions.profile import EXAMPLE
+from ..functions.text import STOP_WORDS
 from ..operators import analyze, entities, pages
 
 QUESTIONS = (
@@ -159,7 +160,7 @@ SELECT doc_id, (i + 1)::INT AS chunk_id, len(w[200 * i + 1 : 200 * i + 250])::IN
 DOCUMENT_QUALITY = f"WITH w AS (SELECT doc_id, text, {words('text')} AS w FROM documents) SELECT doc_id, round({quality('w', 'text')}, 6)::DOUBLE AS quality_score, {reason('w')} AS reason, quality FROM w LEFT JOIN labels USING (doc_id)"
 KEYWORD_CATEGORIES = "WITH d AS (SELECT doc_id, lower(text || ' ' || source || ' Python CLOUD theory') AS t FROM documents) SELECT doc_id, " + ", ".join(f"array_to_string(list_filter({lst(v)}, lambda k: contains(t, k)), ',') AS {k}" for k, v in entities.KEYWORDS.items()) + " FROM d"
 _W = r"[\p{L}\p{N}_]+"
-_STOP = "(" + ", ".join(q(w) for w in ("the a an and or but in on at to for of with by from as is are was were be this that these those what which who when where how why all about tell me").split()) + ")"
+_STOP = "(" + ", ".join(q(w) for w in STOP_WORDS) + ")"
 TFIDF = f"""
 WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '{_W}'), lambda w: length(w) > 2 AND w NOT IN {_STOP}) AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS keyword FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
