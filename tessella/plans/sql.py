@@ -206,11 +206,11 @@ SELECT query_id, entity_name, page_count, total_mentions, p.u AS source, p.t AS
 NODE_UPSERT = "SELECT source AS key, arg_max(lang, doc_id) AS name, max(doc_id) AS version FROM documents GROUP BY 1"
 EDGE_UPSERT = "SELECT source AS src_key, lang AS dst_key, sum(n_chars)::BIGINT AS count FROM documents GROUP BY ALL"
 FACULTY_PROFILES = """
-WITH r AS (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45), t AS (SELECT l_suppkey, string_agg(p_brand, ',' ORDER BY p_brand) AS topics FROM r GROUP BY 1)
+WITH r AS (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey), t AS (SELECT l_suppkey, string_agg(p_brand, ',' ORDER BY p_brand) AS topics FROM r GROUP BY 1)
 SELECT s_suppkey::VARCHAR AS key, s_name AS name, coalesce(n_name, '') AS labs, '' AS projects, coalesce(topics, '') AS topics FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN t ON l_suppkey = s_suppkey WHERE contains(lower(s_name), '0')"""
 TOPIC_SEARCH = """
-SELECT p_partkey::VARCHAR AS key, p_brand AS topic, count(DISTINCT s_name)::INT AS faculty, 0 AS labs FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity >= 45 LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE contains(lower(p_brand), '1') GROUP BY ALL"""
-TWO_HOPS = "SELECT p::VARCHAR AS src_key, s_nationkey::VARCHAR AS dst_key, count(*) AS ways FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity >= 45) JOIN supplier ON s_suppkey = s GROUP BY ALL"
+SELECT p_partkey::VARCHAR AS key, p_brand AS topic, count(DISTINCT s_name)::INT AS faculty, 0 AS labs FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE contains(lower(p_brand), '1') GROUP BY ALL"""
+TWO_HOPS = "SELECT p::VARCHAR AS src_key, s_nationkey::VARCHAR AS dst_key, count(*) AS ways FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) JOIN supplier ON s_suppkey = s GROUP BY ALL"
 
 _D = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))"
 _C = "1 - list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE ** 2))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE ** 2))))"
