@@ -94,12 +94,16 @@ def name_mentions(pages: DataFrame, entities: DataFrame, page_id: str = "page_id
     return found.join(names, "name").groupBy(page_id, "entity_name", "entity_type").agg(F.sum("count").alias("count"))
 
 
-def containing(terms: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
-    """terms (term) and the distinct texts that hold them in one of the columns, in any case, inside words too: (term, *columns)."""
-    kept = texts.select(*columns).distinct()
+def containing(terms: DataFrame, texts: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """terms (term) and the distinct texts that hold them in one of the columns, in any case, inside words too: (term, *columns).
+
+    With ``keys``, rows are taken as they are, without a shuffle for different texts, and their keys come first: (term, *keys, *columns).
+    """
+    out = [*(keys or []), *columns]
+    kept = texts.select(*out) if keys else texts.select(*out).distinct()
     low = [F.lower(F.coalesce(c, F.lit(""))) for c in columns]
     # A mark that no term holds keeps terms from reaching over the border of two columns.
     joined = kept.withColumn("_both", F.concat_ws("\u0001", *low))
-    found = occurrences(joined, terms.where(~F.contains("term", F.lit("\u0001"))), columns, "_both", "term", whole=False)
+    found = occurrences(joined, terms.where(~F.contains("term", F.lit("\u0001"))), out, "_both", "term", whole=False)
     lowered = terms.select("term", F.lower("term").alias("name")).where("name <> ''").distinct()
-    return found.join(lowered, "name").select("term", *columns)
+    return found.join(lowered, "name").select("term", *out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
 from .dictionary import containing
 from .entities import AGGREGATED_TYPES
 
@@ -87,8 +88,8 @@ def stats(pages: DataFrame, entities: DataFrame, mentions: DataFrame, chunks: Da
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
-def _top(rows: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("total_mentions"), F.desc("page_count"), "entity_name", "entity_type")
+def _top(rows: DataFrame, k: int, key: str = "query_id") -> DataFrame:
+    order = Window.partitionBy(key).orderBy(F.desc("total_mentions"), F.desc("page_count"), "entity_name", "entity_type")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -134,19 +135,26 @@ def aggregate_entities(queries: DataFrame, mentions: DataFrame, pages: DataFrame
     arr = lambda *x: F.array(*[F.lit(v) for v in x])
     kind = F.when(F.arrays_overlap(kw, arr("faculty", "professor", "researcher", "staff")), "PERSON").when(F.arrays_overlap(kw, arr("lab", "laboratory", "group")), "ORG")
     terms = F.when(F.size(acronyms) > 0, F.transform(acronyms, F.lower)).otherwise(F.slice(F.filter(kw, lambda w: F.length(w) > 3), 1, 3))
-    asked = queries.select("query_id", kind.alias("kind"), F.explode(terms).alias("term")).where("kind IS NOT NULL").distinct()
+    asked = queries.select("query_id", kind.alias("kind"), F.explode(terms).alias("term")).where("kind IS NOT NULL AND term <> ''")
+    asked = asked.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("kind", "term"))).alias("wants")).withColumn("key", F.sha2(F.to_json("wants"), 256))
+    # Queries that want the same are answered once: pages meet each set of wants, not each query.
+    wants = asked.groupBy("key").agg(F.first("wants").alias("wants")).select("key", F.explode("wants").alias("w")).select("key", "w.kind", "w.term")
     own = None
     for name, types in AGGREGATED_TYPES.items():
         own = (F.when if own is None else own.when)(F.lower("entity_type").isin(name.lower(), *types), name)
-    rows = mentions.withColumn("kind", own).where("kind IS NOT NULL").join(pages.select("page_id", "url", "title"), "page_id")
-    named = containing(asked, rows, ["entity_name"]).join(asked, "term").select("query_id", "kind", "entity_name").distinct()
-    paged = containing(asked, pages, ["url", "title"]).join(asked, "term").select("query_id", "kind", "url", "title").distinct()
-    same = lambda c: F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}"))
-    one = rows.join(named, ["kind", "entity_name"])
-    two = rows.alias("r").join(paged.alias("p"), same("kind") & same("url") & same("title")).select("query_id", "r.*")
-    hit = one.unionByName(two).select("query_id", "entity_name", "entity_type", "page_id", "url", "title", "count").distinct()
-    out = hit.groupBy("query_id", "entity_name", "entity_type").agg(F.countDistinct("page_id").alias("page_count"), F.sum("count").alias("total_mentions"), F.min(F.struct("url", "title")).alias("p"))
-    out = _top(out.where(F.col("total_mentions") > least), k)
+    # Names, and the mentions that fit by name and by page, are all read from here, so that texts are searched once.
+    spark, folder = mentions.sparkSession, shared_folder(mentions.sparkSession, "aggregated")
+    mentions.select("page_id", "entity_name", "entity_type", "count", own.alias("kind")).where("kind IS NOT NULL").write.parquet(folder)
+    rows, about = spark.read.parquet(folder), pages.select("page_id", "url", "title")
+    named = containing(wants, rows, ["entity_name"]).join(wants, "term").select("key", "kind", "entity_name").distinct()
+    paged = containing(wants, about, ["url", "title"], keys=["page_id"]).join(wants, "term").select("key", "kind", "page_id", "url", "title").distinct()
+    one = rows.join(named, ["kind", "entity_name"]).join(about, "page_id")
+    two = rows.join(paged, ["kind", "page_id"])
+    cols = ["key", "entity_name", "entity_type", "page_id", "url", "title", "count"]
+    hit = one.select(*cols).unionByName(two.select(*cols)).distinct()
+    out = hit.groupBy("key", "entity_name", "entity_type").agg(F.countDistinct("page_id").alias("page_count"), F.sum("count").alias("total_mentions"), F.min(F.struct("url", "title")).alias("p"))
+    best = _top(out.where(F.col("total_mentions") > least), k, "key")
+    out = asked.select("query_id", "key").join(best, "key")
     return out.select("query_id", "entity_name", "entity_type", "page_count", "total_mentions", F.col("p.url").alias("source"), F.col("p.title").alias("title"), F.least(F.col("total_mentions") / divisor, F.lit(1.0)).alias("score"), "rank")
 
 
