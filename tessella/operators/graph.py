@@ -93,11 +93,14 @@ def _top(rows: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _matching(queries: DataFrame, entities: DataFrame, terms: str) -> DataFrame:
-    """(query_id, entity) pairs where a term is part of the entity's name or type."""
+def _matching(queries: DataFrame, entities: DataFrame, terms: str, k: int, columns: tuple[str, ...] = ("entity_name", "entity_type")) -> DataFrame:
+    """For each query_id the entities that a term is part of (of their name or type); of each term only the k best, as no other can be among a query's k best.
+
+    So entities meet different terms, not queries, however many queries share a term that is part of many names.
+    """
     asked = queries.select("query_id", F.explode(terms).alias("term")).where("term <> ''").distinct()
-    named = containing(asked, entities, ["entity_name", "entity_type"])
-    return named.join(asked, "term").select("query_id", "entity_name", "entity_type").distinct().join(entities, ["entity_name", "entity_type"])
+    best = _top(containing(asked, entities, [*columns]).join(entities, [*columns]), k, "term")
+    return best.join(asked, "term").select("query_id", *entities.columns).dropDuplicates(["query_id", "entity_name", "entity_type"])
 
 
 def search(queries: DataFrame, mentions: DataFrame, entities: DataFrame, pages: DataFrame | None = None, k: int = 20, divisor: float = 100.0) -> DataFrame:
@@ -112,17 +115,16 @@ def search(queries: DataFrame, mentions: DataFrame, entities: DataFrame, pages:
     nulls = {"page_count": F.lit(None).cast("long"), "total_mentions": F.lit(None).cast("long")}
     exact = exact.withColumns(nulls | {"score": F.lit(1.0), "text": F.concat("entity_name", F.lit(" ("), "entity_type", F.lit(")"))})
     rest = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    fuzzy = _top(_matching(rest, entity_statistics(mentions, pages), "search_keywords"), k)
+    fuzzy = _top(_matching(rest, entity_statistics(mentions, pages), "search_keywords", k), k)
     fuzzy = fuzzy.withColumns({"score": F.least(F.lit(1.0), F.coalesce("total_mentions", F.lit(0)) / divisor), "text": F.concat("entity_name", F.lit(" ("), "entity_type", F.lit(") - "), F.col("total_mentions").cast("string"), F.lit(" mentions"))})
     return exact.unionByName(fuzzy, allowMissingColumns=True).withColumn("source", F.lit("knowledge_graph"))
 
 
 def named_entities(queries: DataFrame, mentions: DataFrame, pages: DataFrame, k: int, divisor: float = 100.0) -> DataFrame:
     """For each query (query_id, keywords) the k most mentioned entities whose names hold one of its keywords, with their first page as source and title."""
-    asked = queries.select("query_id", F.explode("keywords").alias("term")).where("term <> ''").distinct()
     rows = mentions.join(pages.select("page_id", "url", "title"), "page_id")
     known = rows.groupBy("entity_name", "entity_type").agg(F.countDistinct("page_id").alias("page_count"), F.sum("count").alias("total_mentions"), F.min(F.struct("url", "title")).alias("p"))
-    found = containing(asked, known, ["entity_name"]).join(asked, "term").select("query_id", "entity_name").distinct().join(known, "entity_name")
+    found = _matching(queries, known, "keywords", k, ("entity_name",))
     return _top(found, k).select("query_id", "entity_name", "entity_type", "page_count", "total_mentions", F.col("p.url").alias("source"), F.col("p.title").alias("title"), F.least(F.col("total_mentions") / divisor, F.lit(1.0)).alias("score"), "rank")
 
 

@@ -17,6 +17,8 @@ from ..functions.text import words
 QUERIES_AT_ONCE = 50_000
 #: Queries and corpus rows of one matrix product (a block of 16 MB).
 QUERY_BLOCK, ROW_BLOCK = 1024, 2048
+#: Share of a block's distances up to which those within the kth best so far are merged one by one.
+SPARSE = 0.02
 
 
 def _double(v: Column) -> Column:
@@ -94,7 +96,7 @@ def _block_search(shared, k: int, metric: str, digits: int, id_type: str = "bigi
             return
         kinds_of = np.array([frozenset(m) for m in allowed], dtype=object) if allowed else None
         sides = {n: (at, np.array([raw[i] for i in at], dtype=np.float64).reshape(len(at), n)) for n, at in _by_length(raw).items()}
-        text = id_type == "string"
+        text, slack = id_type == "string", 10.0**-digits
         best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), "" if text else 0, dtype=object if text else np.int64)
         for b in batches:
             doc, kind = b.column(0).to_numpy(zero_copy_only=False), np.array(b.column(2).to_pylist(), dtype=object)
@@ -107,7 +109,18 @@ def _block_search(shared, k: int, metric: str, digits: int, id_type: str = "bigi
                     rows, part = own[r : r + ROW_BLOCK], x[r : r + ROW_BLOCK]
                     for c in range(0, len(places), QUERY_BLOCK):
                         at = places[c : c + QUERY_BLOCK]
-                        d = np.round(_distances(queries[c : c + QUERY_BLOCK], part, metric), digits) + 0.0
+                        raw_d = _distances(queries[c : c + QUERY_BLOCK], part, metric)
+                        near = np.flatnonzero(raw_d <= best_d[at, -1:] + slack)
+                        if len(near) <= SPARSE * raw_d.size:
+                            row, col = near // len(part), near % len(part)
+                            if allowed:
+                                fits = np.array([t in m for m, t in zip(kinds_of[at][row], kind[rows][col], strict=True)], dtype=bool)
+                                near, row, col = near[fits], row[fits], col[fits]
+                            if len(near):
+                                some, new_d, new_i = _merged(best_d[at], best_i[at], row, np.round(raw_d.ravel()[near], digits) + 0.0, doc[rows][col], k)
+                                best_d[at[some]], best_i[at[some]] = new_d, new_i
+                            continue
+                        d = np.round(raw_d, digits) + 0.0
                         if allowed:
                             for ok in set(kinds_of[at]):
                                 d[np.ix_(np.array([m == ok for m in kinds_of[at]]), np.array([t not in ok for t in kind[rows]]))] = np.inf
@@ -121,6 +134,17 @@ def _block_search(shared, k: int, metric: str, digits: int, id_type: str = "bigi
     return run
 
 
+def _merged(best_d: np.ndarray, best_i: np.ndarray, row: np.ndarray, d: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows that get new distances (row, d, doc), and their k smallest of old and new, ties to the smaller id."""
+    some = np.unique(row)
+    at, d, i = np.concatenate([row, np.repeat(some, k)]), np.concatenate([d, best_d[some].ravel()]), np.concatenate([doc, best_i[some].ravel()])
+    order = np.lexsort((i, d, at))
+    count = np.bincount(at)[some]
+    first = np.cumsum(count) - count
+    kept = order[(first[:, None] + np.arange(k)).ravel()]
+    return some, d[kept].reshape(-1, k), i[kept].reshape(-1, k)
+
+
 def _smallest(best_d: np.ndarray, best_i: np.ndarray, d: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k smallest of each row's best and new distances, ties to the smaller id: a partition by distance leaves few to sort."""
     i = np.broadcast_to(doc, d.shape)

@@ -21,6 +21,10 @@ def retrieve(queries: DataFrame, corpus: DataFrame, mentions: DataFrame | None =
     vector = embedder or hashed_embedding
     asked = analyze.analyze(queries, "query", profile)
     asked = asked.withColumns({"v_dense": vector(F.col("expanded_query")), "v_lexical": vector(F.concat_ws(" ", F.array_join("search_keywords", " "), F.array_join("departments", " "))), "v_plain": vector(F.col("query"))})
+    # Every strategy reads the analysed queries; they are written, so that they are worked out once.
+    folder = shared_folder(corpus.sparkSession, "asked")
+    asked.write.parquet(folder)
+    asked = corpus.sparkSession.read.schema(asked.schema).parquet(folder)
     base = filtered(corpus, filters)
     named = lambda found, strategy: found.select("query_id", "doc_id", "distance", "rank", F.lit(strategy).alias("strategy"))
     typed = asked.where(F.size("target_page_types") > 0)
