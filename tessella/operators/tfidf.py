@@ -31,6 +31,8 @@ FIRST, GROW = 4, 8
 HELD = 4_000_000
 #: Frequent hashes that go to all tasks (16 bytes each; some 100 in a worker's table).
 KNOWN = 300_000
+#: Candidates that a task gathers before it sends them (some 500 bytes each in Python).
+SENT = 50_000
 #: Bounds nearer than this are not told apart: scores are rounded before they are ranked.
 NEAR = 2e-6
 #: Texts that are left up to which their ids are broadcast in a later round.
@@ -83,6 +85,13 @@ def _candidates(rows: DataFrame, keys: list[str], stop: frozenset[str], most: in
     """keys, keyword, tf, hash of each text's ``most`` candidates, with next_tf, next_df (1: not known) and next_keyword of the first one that isn't sent (null: none); apart: no later one is near its bound."""
     n, shared = len(keys), rows.sparkSession.sparkContext.broadcast(known)
 
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+
+    def sent(b: pa.RecordBatch, at: list[int], out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * 7
+        own = [b.column(c).take(pa.array(at, pa.int64())) for c in range(n)]
+        return pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*b.schema.names[:n], "keyword", "tf", "hash", "next_tf", "next_df", "next_keyword", "apart"])
+
     def run(batches: Iterator[pa.RecordBatch]):
         known = shared.value
         idf = {d: math.log((1 + texts) / (1 + d)) for d in {1, *known.values()}}
@@ -103,10 +112,10 @@ def _candidates(rows: DataFrame, keys: list[str], stop: frozenset[str], most: in
                 for _, term, tf, h, _ in rated[:most]:
                     at.append(i)
                     out.append((term, tf, h, *after, apart))
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            own = [b.column(c).take(pa.array(at, pa.int64())) for c in range(n)]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*b.schema.names[:n], "keyword", "tf", "hash", "next_tf", "next_df", "next_keyword", "apart"])
+                if len(out) >= SENT:  # of a batch too: a later round sends thousands of candidates a text
+                    yield sent(b, at, out)
+                    at, out = [], []
+            yield sent(b, at, out)
 
     made = [T.StructField(c, k) for c, k in (("keyword", T.StringType()), ("tf", T.LongType()), ("hash", T.LongType()), ("next_tf", T.LongType()), ("next_df", T.LongType()), ("next_keyword", T.StringType()), ("apart", T.BooleanType()))]
     return rows.mapInArrow(run, T.StructType([*rows.select(*keys).schema.fields, *made]))
