@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 #: Elements whose content is no text of the page.
 UNWANTED = ("script", "style", "nav", "footer", "header", "aside", "iframe", "noscript")
 #: Entities and the characters they stand for.
@@ -15,25 +17,31 @@ def _strip(html: Column, pattern: str) -> Column:
     return F.regexp_replace(html, pattern, " ")
 
 
+def _decoded(text: Column) -> Column:
+    for name, char in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
 def plain(html: Column) -> Column:
     """Tags out, entities decoded, white space to single spaces, none before punctuation."""
-    t = _strip(html, "<[^>]*>")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = bound(_strip(html, "<[^>]*>"), lambda x: F.when(F.contains(x, F.lit("&")), _decoded(x)).otherwise(x))
     t = F.regexp_replace(t, r"[\s ]+", " ")
     return F.trim(F.regexp_replace(t, r" ([.,!?;:])", "$1"))
 
 
 def without_unwanted(html: Column) -> Column:
-    both = "|".join(f"<{t}\\b[^>]*>.*?</{t}\\s*>" for t in UNWANTED)
-    return _strip(_strip(html, "(?is)<!--.*?-->"), f"(?is){both}")
+    return _strip(_strip(html, "(?is)<!--.*?-->"), rf"(?is)<({'|'.join(UNWANTED)})\b[^>]*>.*?</\1\s*>")
 
 
 def main_content(html: Column) -> Column:
     """The first main element, else article, else div of a content or main class, else all of it."""
-    kept = without_unwanted(html)
-    found = [F.regexp_extract(kept, p, 1) for p in (r"(?is)<main\b[^>]*>(.*?)</main>", r"(?is)<article\b[^>]*>(.*?)</article>", r"""(?is)<div\b[^>]*class=["'][^"']*(?:content|main)[^"']*["'][^>]*>(.*?)</div>""")]
-    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found], kept)
+    patterns = (r"(?is)<main\b[^>]*>(.*?)</main>", r"(?is)<article\b[^>]*>(.*?)</article>", r"""(?is)<div\b[^>]*class=["'][^"']*(?:content|main)[^"']*["'][^>]*>(.*?)</div>""")
+
+    def first(kept: Column) -> Column:
+        return F.coalesce(*[bound(F.regexp_extract(kept, p, 1), lambda x: F.when(x != "", x)) for p in patterns], kept)
+
+    return bound(without_unwanted(html), first)
 
 
 def page_text(html: Column) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, contains_any, title_case
+from ..functions.text import STOP_WORDS, bound, contains_any, title_case
 
 W = r"[\p{L}\p{N}_]+"
 #: Patterns (applied to lower-cased text) and lists of the extraction rules.
@@ -80,26 +80,29 @@ def _own(text: Column, patterns: tuple[str, ...]) -> list[Column]:
 
 
 def labs(text: Column, rules: Rules | None = None) -> Column:
-    low = F.lower(text)
     if rules and rules.lab is not None:
-        return _titled(F.concat(F.array().cast("array<string>"), *_own(low, rules.lab)), without=NOT_LABS)
-    return _titled(F.concat(*[_all_where(low, p, "lab" if "group" not in p else "research") for p in LAB_PATTERNS]), without=NOT_LABS)
+        return _titled(F.concat(F.array().cast("array<string>"), *_own(F.lower(text), rules.lab)), without=NOT_LABS)
+    return _titled(bound(F.lower(text), lambda low: F.concat(*[_all_where(low, p, "lab" if "group" not in p else "research") for p in LAB_PATTERNS])), without=NOT_LABS)
 
 
 def topics(text: Column, gazetteer=TOPICS, rules: Rules | None = None) -> Column:
-    low = F.lower(text)
     gazetteer = rules.topics if rules else gazetteer
-    listed = _all(low, "(" + "|".join(t.replace(" ", r"\s+") for t in gazetteer) + ")") if gazetteer else F.array().cast("array<string>")
+
+    def listed(low: Column) -> Column:
+        pattern = "(" + "|".join(t.replace(" ", r"\s+") for t in gazetteer) + ")"
+        if gazetteer is TOPICS:
+            return _all_where(low, pattern, *dict.fromkeys(t.split(" ")[0] for t in TOPICS))
+        return _all(low, pattern) if gazetteer else F.array().cast("array<string>")
+
     if rules and rules.research_topic is not None:
-        return _titled(F.concat(*_own(low, rules.research_topic), listed))
-    return _titled(F.concat(*[_all_where(low, p, *needles) for p, needles in zip(TOPIC_PATTERNS, (("research",), ("stud", "work")), strict=True)], listed))
+        return _titled(bound(F.lower(text), lambda low: F.concat(*_own(low, rules.research_topic), listed(low))))
+    return _titled(bound(F.lower(text), lambda low: F.concat(*[_all_where(low, p, *needles) for p, needles in zip(TOPIC_PATTERNS, (("research",), ("stud", "work")), strict=True)], listed(low))))
 
 
 def organizations(text: Column, institutes: bool = False, rules: Rules | None = None) -> Column:
-    low = F.lower(text)
     if rules and rules.organization is not None:
-        return _titled(F.concat(F.array().cast("array<string>"), *_own(low, rules.organization)))
-    return _titled(F.concat(*[_all_where(low, p, p.split("\\")[0]) for p in ORG_PATTERNS + ((INSTITUTE_PATTERN,) if institutes else ())]))
+        return _titled(F.concat(F.array().cast("array<string>"), *_own(F.lower(text), rules.organization)))
+    return _titled(bound(F.lower(text), lambda low: F.concat(*[_all_where(low, p, p.split("\\")[0]) for p in ORG_PATTERNS + ((INSTITUTE_PATTERN,) if institutes else ())])))
 
 
 def url_persons(url: Column, without=NOT_NAMES) -> Column:

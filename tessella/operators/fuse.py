@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,26 +111,49 @@ def diversified(hits: DataFrame, k: int = 50, host_cap: int = 5, type_cap: int =
     A query's hits (at most twice k come out of fusion) are one group; adds div_rank.
     """
     host = F.coalesce(F.when(F.col("domain") != "", F.col("domain")), host_of(F.col("source")))
-    rows = hits.withColumns({"__host": host, "__own": host_of(F.col("source"))})
-    schema = rows.drop("__host", "__own").withColumn("div_rank", F.lit(1)).schema
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["final_score", "fused_rank"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        if len(pdf) > k:
-            taken, skipped, hosts, types = [], [], {}, {}
-            for i, (h, own, t, s) in enumerate(zip(pdf["__host"], pdf["__own"], pdf["page_type"], pdf["final_score"], strict=True)):
-                if len(taken) == k:
-                    break
-                if s <= sure and (hosts.get(h, 0) >= host_cap or types.get(t, 0) >= type_cap):
-                    skipped.append(i)
-                    continue
-                taken.append(i)
-                hosts[own] = hosts.get(own, 0) + 1
-                types[t] = types.get(t, 0) + 1
-            pdf = pdf.iloc[taken + skipped[: k - len(taken)]]
-        return pdf.drop(columns=["__host", "__own"]).assign(div_rank=range(1, len(pdf) + 1))
-
-    return rows.groupBy("query_id").applyInPandas(pick, schema)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.nanvl("final_score", F.lit(None))), "fused_rank"))
+    rows = hits.withColumns({"__host": host, "__own": host_of(F.col("source")), "__place": place})
+    schema = hits.withColumn("div_rank", F.lit(1)).schema
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The window leaves a query's rows together and in order, so a query ends where a first place follows; its rows may stand in two batches."""
+        left = None
+        for b in batches:
+            whole = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
+            first = np.flatnonzero(whole.column("__place").to_numpy() == 1)
+            if len(first):
+                yield from chosen(whole.slice(0, first[-1]), first)
+            left = whole.slice(first[-1] if len(first) else 0)
+        if left is not None:
+            yield from chosen(left, np.zeros(1, dtype=int))
+
+    def chosen(whole: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(whole):
+            return
+        score, hosts, owns, types = whole.column("final_score").to_numpy(), *(whole.column(c).to_pylist() for c in ("__host", "__own", "page_type"))
+        rows, ranks = [], []
+        for start, end in zip(first, [*first[1:], len(whole)], strict=True):
+            if start < end:
+                own = range(start, end) if end - start <= k else greedy(score, hosts, owns, types, start, end)
+                rows += own
+                ranks += range(1, len(own) + 1)
+        out = whole.take(pa.array(rows)).drop_columns(["__host", "__own", "__place"]).append_column("div_rank", pa.array(ranks, pa.int32()))
+        yield from out.combine_chunks().to_batches()
+
+    def greedy(score, hosts, owns, types, start: int, end: int) -> list[int]:
+        taken, skipped, by_host, by_type = [], [], {}, {}
+        for i in range(start, end):
+            if len(taken) == k:
+                break
+            if score[i] <= sure and (by_host.get(hosts[i], 0) >= host_cap or by_type.get(types[i], 0) >= type_cap):
+                skipped.append(i)
+                continue
+            taken.append(i)
+            by_host[owns[i]] = by_host.get(owns[i], 0) + 1
+            by_type[types[i]] = by_type.get(types[i], 0) + 1
+        return taken + skipped[: k - len(taken)]
+
+    return rows.mapInArrow(pick, schema)
 
 
 def cap_per_source(hits: DataFrame, n: int = 10, order: str = "rank") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, urls
 from ..functions.names import free
-from ..functions.text import contains_any, words
+from ..functions.text import bound, contains_any, words
 from .phrases import gate
 
 #: Terms of research texts; weights of relevance; page types in order of precedence.
@@ -46,19 +46,22 @@ def filter_statistics(pages: DataFrame, reason: str = "reason") -> DataFrame:
 def text_quality(text: Column, split: Column | None = None) -> Column:
     """From 0 (empty) over 0.5 to 1 by length, research terms and diversity."""
     w = words(text) if split is None else split
-    n, low = F.size(w), F.lower(text)
-    terms = sum((F.contains(low, F.lit(t)).cast("int") for t in RESEARCH_TERMS), F.lit(0))
+    n = F.size(w)
+    terms = bound(F.lower(text), lambda low: sum((F.contains(low, F.lit(t)).cast("int") for t in RESEARCH_TERMS), F.lit(0)))
     score = 0.5 + F.when(n >= 200, 0.2).when(n >= 100, 0.1).otherwise(0.0) + F.when(terms >= 3, 0.2).when(terms >= 1, 0.1).otherwise(0.0) + F.when(F.size(F.array_distinct(w)) / n > 0.5, 0.1).otherwise(0.0)
     return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), score))
 
 
 def page_type(url: Column, text: Column, types=PAGE_TYPES) -> Column:
     """The first type of which a URL pattern or two keywords occur, else general."""
-    u, t, out = F.lower(url), F.lower(text), None
-    for name, patterns, terms in types:
-        fits = contains_any(u, patterns) | (sum((F.contains(t, F.lit(k)).cast("int") for k in terms), F.lit(0)) >= 2)
-        out = (F.when if out is None else out.when)(fits, name)
-    return out.otherwise("general")
+    def first(t: Column) -> Column:
+        u, out = F.lower(url), None
+        for name, patterns, terms in types:
+            fits = contains_any(u, patterns) | (sum((F.contains(t, F.lit(k)).cast("int") for k in terms), F.lit(0)) >= 2)
+            out = (F.when if out is None else out.when)(fits, name)
+        return out.otherwise("general")
+
+    return bound(F.lower(text), first)
 
 
 def chunk_hints(kind: Column, heading_count: Column) -> Column:
@@ -73,15 +76,15 @@ def relevance(raw: Column, lowered: Column | None = None) -> Column:
     ``lowered``: the page in lower case, if a column has it; else it is made anew for every keyword.
     """
     low = F.lower(raw) if lowered is None else lowered
-    terms = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in RELEVANCE])
-    times = lambda k: F.least((F.length(low) - F.length(F.replace(low, k, F.lit("")))) / F.length(k), F.lit(5.0))
-    start = F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("present"))
+    # Each keyword is counted by its own search, as keywords lie inside others (lab, laboratory).
+    times = F.array(*[F.least(F.regexp_count(low, F.lit(k)), F.lit(5)) for k, _ in RELEVANCE])
 
-    def step(acc: Column, t: Column) -> Column:
-        n = F.floor(times(t["k"]))
-        return F.struct((acc["top"] + n * t["w"]).alias("top"), (acc["present"] + F.when(n > 0, t["w"]).otherwise(0.0)).alias("present"))
+    def score(n: Column) -> Column:
+        top = sum((n[i] * w for i, (_, w) in enumerate(RELEVANCE)), F.lit(0.0))
+        present = sum((F.when(n[i] > 0, w).otherwise(0.0) for i, (_, w) in enumerate(RELEVANCE)), F.lit(0.0))
+        return F.when(present > 0, F.least(F.lit(1.0), top / (2 * present))).otherwise(0.0)
 
-    return F.aggregate(terms, start, step, lambda a: F.when(a["present"] > 0, F.least(F.lit(1.0), a["top"] / (2 * a["present"]))).otherwise(0.0))
+    return bound(times, score)
 
 
 PROCESSED_COLUMNS = ("word_count", "page_type", "text_quality_score", "relevance_score", "content_length", "page_id", "drop_reason", "chunking_hints")
