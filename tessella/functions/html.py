@@ -48,33 +48,40 @@ def page_text(html: Column) -> Column:
     return plain(main_content(html))
 
 
-def meta(html: Column, name: str, attribute: str = "name") -> Column:
+def _where(lowered: Column | None, part: str, found: Column, empty: Column) -> Column:
+    """What is found in pages that hold a part without which nothing can be; ``lowered``: the page in lower case, if a column has it."""
+    return found if lowered is None else F.when(F.contains(lowered, F.lit(part)), found).otherwise(empty)
+
+
+def meta(html: Column, name: str, attribute: str = "name", lowered: Column | None = None) -> Column:
     """Content of a meta element, null if there is none."""
     a = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*{attribute}=["']{name}["'][^>]*content=["']([^"']*)["']""", 1)
     b = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*content=["']([^"']*)["'][^>]*{attribute}=["']{name}["']""", 1)
-    return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
+    return _where(lowered, name.lower(), F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))), F.lit(None).cast("string"))
 
 
-def title(html: Column, url: Column) -> Column:
+def title(html: Column, url: Column, lowered: Column | None = None) -> Column:
     """title element, else first h1, else og:title, else the last part of the URL, else Untitled."""
     t = plain(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1))
     h = plain(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
     last = F.substring_index(url, "/", -1)
-    return F.trim(F.coalesce(F.nullif(t, F.lit("")), F.nullif(h, F.lit("")), meta(html, "og:title", "property"), F.nullif(last, F.lit("")), F.lit("Untitled")))
+    return F.trim(F.coalesce(F.nullif(t, F.lit("")), F.nullif(h, F.lit("")), meta(html, "og:title", "property", lowered), F.nullif(last, F.lit("")), F.lit("Untitled")))
 
 
-def headings(html: Column, limit: int = 10) -> Column:
+def headings(html: Column, limit: int = 10, lowered: Column | None = None) -> Column:
     """Structs (level, text) of h1, then h2, then h3, the first ten."""
     def level(k: int) -> Column:
         found = F.regexp_extract_all(html, F.lit(rf"(?is)<h{k}\b[^>]*>(.*?)</h{k}>"), F.lit(1))
+        found = _where(lowered, f"<h{k}", found, F.when(html.isNotNull(), F.array().cast("array<string>")))
         return F.transform(found, lambda h: F.struct(F.lit(k).alias("level"), plain(h).alias("text")))
 
     parts = [level(k) for k in (1, 2, 3)]
     return F.slice(F.concat(*parts), 1, limit)
 
 
-def metadata(html: Column) -> Column:
-    return F.struct(meta(html, "description").alias("description"), meta(html, "keywords").alias("keywords"), meta(html, "author").alias("author"), headings(html).alias("headings"))
+def metadata(html: Column, lowered: Column | None = None) -> Column:
+    own = {k: meta(html, k, lowered=lowered).alias(k) for k in ("description", "keywords", "author")}
+    return F.struct(*own.values(), headings(html, lowered=lowered).alias("headings"))
 
 
 def hrefs(html: Column) -> Column:

@@ -76,8 +76,8 @@ def relevance(raw: Column, lowered: Column | None = None) -> Column:
     ``lowered``: the page in lower case, if a column has it; else it is made anew for every keyword.
     """
     low = F.lower(raw) if lowered is None else lowered
-    # Each keyword is counted by its own search, as keywords lie inside others (lab, laboratory).
-    times = F.array(*[F.least(F.regexp_count(low, F.lit(k)), F.lit(5)) for k, _ in RELEVANCE])
+    # Each keyword is counted by its own search, as keywords lie inside others (lab, laboratory); of a page without it, at the price of looking for it.
+    times = F.array(*[F.when(~F.contains(low, F.lit(k)), 0).otherwise(F.least(F.regexp_count(low, F.lit(k)), F.lit(5))) for k, _ in RELEVANCE])
 
     def score(n: Column) -> Column:
         top = sum((n[i] * w for i, (_, w) in enumerate(RELEVANCE)), F.lit(0.0))
@@ -87,6 +87,7 @@ def relevance(raw: Column, lowered: Column | None = None) -> Column:
     return bound(times, score)
 
 
+MADE_COLUMNS = ("title", "domain", "cleaned_text", "metadata", "response_status")
 PROCESSED_COLUMNS = ("word_count", "page_type", "text_quality_score", "relevance_score", "content_length", "page_id", "drop_reason", "chunking_hints")
 
 
@@ -94,10 +95,10 @@ def process(raw: DataFrame, url: str = "url", body: str = "html", status: str |
     """Raw pages to page rows: text, title, metadata, type, quality, ids and hints; one pass, no shuffle."""
     u, h = F.col(url), F.col(body)
     code = F.col(status) if status else F.lit(200)
-    made = {"title": html.title(h, u), "domain": urls.part(u, "host"), "cleaned_text": html.page_text(h), "metadata": html.metadata(h), "response_status": code}
-    low, cut = (free(c, [*raw.columns, *made, *PROCESSED_COLUMNS]) for c in ("own_low", "own_words"))
+    low, cut = (free(c, [*raw.columns, *MADE_COLUMNS, *PROCESSED_COLUMNS]) for c in ("own_low", "own_words"))
+    made = dict(zip(MADE_COLUMNS, (html.title(h, u, F.col(low)), urls.part(u, "host"), html.page_text(h), html.metadata(h, F.col(low)), code), strict=True))
     # Columns of the raw table that are made here are replaced; all others stay.
-    out = raw.withColumns({low: F.lower(h)} | made)
+    out = raw.withColumn(low, F.lower(h)).withColumns(made)
     text = F.col("cleaned_text")
     out = out.withColumn(cut, words(text)).withColumns({
         "word_count": F.size(cut), "page_type": page_type(u, text), "text_quality_score": text_quality(text, F.col(cut)),
