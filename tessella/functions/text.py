@@ -62,8 +62,9 @@ def chunks(df: DataFrame, keys: list[str], text_col: str = "text", size: int = 2
     """
     step = size - overlap
     rows = df.select(*keys, words(F.col(text_col)).alias("__w"))
-    rows = rows.withColumn("__n", chunk_count(F.size("__w"), size, overlap, least)).where("__n > 0")
-    rows = rows.select(*keys, "__w", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__i"))
+    windows = bound(chunk_count(F.size("__w"), size, overlap, least), lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)))
+    # Texts without a window go after the generator: a filter before it, written or inferred, would cut every text into words again.
+    rows = rows.select(*keys, "__w", F.explode_outer(windows).alias("__i")).where("__i IS NOT NULL")
     part = F.slice("__w", F.col("__i") * step + 1, size)
     return rows.select(
         *keys, (F.col("__i") + 1).alias("chunk_id"), F.array_join(part, " ").alias("text"), F.size(part).alias("word_count"),

@@ -37,11 +37,14 @@ def reciprocal_rank(hits: DataFrame, key: str = "doc_key", top: int | None = 100
     order = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("strategy")), F.lit(0))
     order = F.when(order == 0, len(STRATEGIES) + 1).otherwise(order)
     rows = hits.withColumn("__seen", F.struct(order.alias("o"), F.col("rank").alias("r")))
-    kept = [F.min_by(F.col(c), F.col("__seen")).alias(c) for c in payload or []]
+    first = [F.min_by(F.struct(*payload), F.col("__seen")).alias("__payload")] if payload else []
+    # Distinct strategies are counted in the list: a distinct count beside other aggregates takes two more rounds of them.
     fused = rows.groupBy("query_id", key).agg(
         F.sum(1 / (RRF_K + F.col("rank"))).alias("rrf_score"), F.transform(F.array_sort(F.collect_list(F.struct("__seen", "strategy"))), lambda s: s["strategy"]).alias("matched_strategies"),
-        F.count(F.lit(1)).alias("num_strategies"), F.countDistinct("strategy").alias("n_distinct_strategies"), F.min("__seen").alias("__first"), *kept,
+        F.count(F.lit(1)).alias("num_strategies"), F.min("__seen").alias("__first"), *first,
     )
+    distinct = F.size(F.array_compact(F.array_distinct("matched_strategies"))).cast("long")
+    fused = fused.select("query_id", key, "rrf_score", "matched_strategies", "num_strategies", distinct.alias("n_distinct_strategies"), "__first", *[F.col(f"__payload.{c}").alias(c) for c in payload or []])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf_score", 12)), "__first", key))
     fused = fused.withColumn("fused_rank", rank).drop("__first")
     return fused.where(F.col("fused_rank") <= top) if top else fused

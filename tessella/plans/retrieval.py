@@ -102,13 +102,19 @@ def templated(names: DataFrame, kind: str, column: str = "name") -> tuple[DataFr
     return names.select("query_id", question.alias("query")), filters
 
 
-def ingest(raw: DataFrame, dim: int = 64, embedder=None, path: str | None = None) -> dict[str, DataFrame]:
+#: Columns of processed pages that chunks, embeddings and mentions are made from.
+READ_COLUMNS = ("page_id", "url", "domain", "page_type", "title", "cleaned_text", "drop_reason")
+
+
+def ingest(raw: DataFrame, dim: int = 64, embedder=None, path: str | None = None, columns: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
     """From raw pages: page rows, dropped pages, chunks with embeddings, mentions; all, kept and dropped, for callers to unpersist.
 
     Pages are processed once: written under ``path`` and read back, or kept by persist() where no path is given. Without
-    that border the optimizer would work out a page's text again in every expression that is made from it.
+    that border the optimizer would work out a page's text again in every expression that is made from it. ``columns``: what is asked of page rows
+    (READ_COLUMNS at least), where not all is; the border keeps the optimizer from finding that out.
     """
     every = pages.process(raw)
+    every = every.select(*columns) if columns else every
     if path:
         every.write.mode("overwrite").parquet(f"{path}/pages")
         every = raw.sparkSession.read.parquet(f"{path}/pages")
